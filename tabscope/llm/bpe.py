@@ -30,10 +30,12 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscope.llm.shared import prepare
+
 #: Words remembered by a Python worker (some 200 bytes each) before it starts anew.
-WORD_MEMORY = 250_000
+WORD_MEMORY = 150_000
 #: Texts are taken in slices of this many characters.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 #: Failing words up to this many bytes are merged together, longer ones one by one.
 SHORT_WORD = 48
 
@@ -267,6 +269,7 @@ class Codec:
     """
 
     def __init__(self, spark: SparkSession, vocabulary_path: str):
+        prepare(spark)
         with open(vocabulary_path, encoding="utf-8") as f:
             text = f.read()
         shipped = spark.sparkContext.broadcast(text)

@@ -6,10 +6,18 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Texts in a batch for Python workers.
+BATCH_ROWS = 1000
+
+_shipped: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
@@ -25,6 +33,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ready a session for functions in Python workers.
+
+    They get at most ``BATCH_ROWS`` texts at once, so that their memory doesn't hang on
+    the table, and this package, wherever the driver has it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    context = spark.sparkContext
+    if _shipped.get("to") != context.applicationId:
+        package = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp(prefix="tabscope-")  # the driver serves the file from here
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = Path(folder) / f"tabscope-{uuid.uuid4().hex}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped["to"] = context.applicationId
+
+
 class Scratch:
     """Tables of one operator run in the shared folder.
 
