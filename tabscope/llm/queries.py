@@ -23,8 +23,66 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    from tabscope.llm.licenses import scan
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    base = F.filter("spans", lambda s: s["base"])
+    label = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return scan(docs).select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda s: s["first"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda s: s["first"])).alias("last_word"),
+        label(base).alias("base_labels"),
+        label(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned from those not held out."""
+    from tabscope.llm import langid
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics, base rule and robust outlier verdict of every document."""
+    from tabscope.llm.quality import judged
+
+    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    from tabscope.llm.secrets import BASE_RULES, scan, spans_text
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = scan(docs)
+    base = F.filter("spans", lambda s: s["order"] < len(BASE_RULES))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    count = {f"n_{r.kind}": F.size(kinds) - F.size(F.array_remove(kinds, r.kind)) for r in BASE_RULES}
+    return found.select(
+        "doc_id",
+        *[c.cast("long").alias(name) for name, c in count.items()],
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_licenses": op2_licenses,
+    "op4_langid": op4_langid,
+    "op5_quality": op5_quality,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
