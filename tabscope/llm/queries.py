@@ -60,6 +60,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 % of their 3-word shingles."""
+    from tabscope.llm.neardup import Likeness, near_duplicates
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_duplicates(docs, Likeness(words=3, percent=85))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     from tabscope.llm.secrets import BASE_RULES, scan, spans_text
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op4_langid": op4_langid,
     "op5_quality": op5_quality,
+    "op7_neardup": op7_neardup,
     "op10_secrets": op10_secrets,
 }
 
