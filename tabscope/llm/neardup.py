@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.llm.components import components
-from tabscope.llm.shared import Scratch, prepare
+from tabscope.llm.shared import FILTER_BITS, Scratch, key_filter, passing, prepare
 from tabscope.llm.words import STEP, joined, mixed, slices, words_of
 
 COORDINATES = 64
@@ -42,8 +42,6 @@ COORDINATES = 64
 MISS = 1e-9
 #: Members of a list that meet in one task.
 LIST = 4000
-#: Bits of the filter that tells which documents' sets are needed; a fuller filter only lets more pass.
-FILTER_BITS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -113,30 +111,15 @@ def signatures(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFram
     )
 
 
-def likely(needed: DataFrame) -> np.ndarray:
-    """Filter of fixed size over the keys in ``node``: one bit for each hash."""
-    place = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    parts = (
-        needed.groupBy(F.shiftright(place, 15).alias("part"))
-        .agg(F.bitmap_construct_agg(place.bitwiseAND(32767)).alias("bits"))
-        .collect()
-    )
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return bits
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    bits = docs.sparkSession.sparkContext.broadcast(likely(needed))
-    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS)).alias("place")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).alias("place")
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(needed.select(place("node"))))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = batch["place"].to_numpy()
-            batch = batch[(bits.value[at >> 3] >> (at & 7)) & 1 == 1]
+            batch = batch[passing(bits.value, batch["place"].to_numpy())]
             rows = list(zip(batch["node"], batch["text"], strict=True))
             for part in slices(rows, lambda r: len(r[1] or "")):
                 found = shingle_sets([t for _, t in part], like.words)
@@ -144,7 +127,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, like: Likeness, key: str, text:
 
     held = (
         docs.where(F.col(key).isNotNull())
-        .select(F.col(key).cast("long").alias("node"), place, F.col(text).alias("text"))
+        .select(F.col(key).cast("long").alias("node"), place(F.col(key).cast("long")), F.col(text).alias("text"))
         .mapInPandas(sets, "node long, grams binary")
     )
 

@@ -60,6 +60,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, as they are or with other numbers, names and units."""
+    from tabscope.llm.decontam import leaks
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 % of their 3-word shingles."""
     from tabscope.llm.neardup import Likeness, near_duplicates
@@ -90,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op4_langid": op4_langid,
     "op5_quality": op5_quality,
+    "op6_decontam": op6_decontam,
     "op7_neardup": op7_neardup,
     "op10_secrets": op10_secrets,
 }

@@ -9,7 +9,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Texts in a batch for Python workers.
@@ -55,6 +57,29 @@ def prepare(spark: SparkSession) -> None:
         _shipped["to"] = context.applicationId
 
 
+#: Bits of a key filter.  Its size is fixed; a fuller filter only lets more keys pass.
+FILTER_BITS = 1 << 23
+
+
+def key_filter(places: DataFrame) -> np.ndarray:
+    """Bits set at the values of the one column, each in [0, FILTER_BITS)."""
+    place = F.col(places.columns[0])
+    parts = (
+        places.groupBy(F.shiftright(place, 15).alias("part"))
+        .agg(F.bitmap_construct_agg(place.bitwiseAND(32767)).alias("bits"))
+        .collect()  # FILTER_BITS / 32768 rows at most
+    )
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def passing(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which places the filter has."""
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
 class Scratch:
     """Tables of one operator run in the shared folder.
 
