@@ -76,6 +76,15 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, Likeness(words=3, percent=85))
 
 
+def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from tabscope.llm.pages import main_texts
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    text = F.col("main_text")
+    return main_texts(pages).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     from tabscope.llm.secrets import BASE_RULES, scan, spans_text
@@ -100,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_decontam": op6_decontam,
     "op7_neardup": op7_neardup,
+    "op8_pages": op8_pages,
     "op10_secrets": op10_secrets,
 }
 
