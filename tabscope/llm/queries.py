@@ -85,6 +85,13 @@ def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(pages).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that documents share."""
+    from tabscope.llm.substring import repeated_passages
+
+    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     from tabscope.llm.secrets import BASE_RULES, scan, spans_text
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontam": op6_decontam,
     "op7_neardup": op7_neardup,
     "op8_pages": op8_pages,
+    "op9_substring": op9_substring,
     "op10_secrets": op10_secrets,
 }
 
