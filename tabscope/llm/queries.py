@@ -42,6 +42,13 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document."""
+    from tabscope.llm.lm import scores
+
+    return scores(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; learned from those not held out."""
     from tabscope.llm import langid
@@ -112,6 +119,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
+    "op3_lm": op3_lm,
     "op4_langid": op4_langid,
     "op5_quality": op5_quality,
     "op6_decontam": op6_decontam,
