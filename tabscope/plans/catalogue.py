@@ -1,10 +1,600 @@
-"""Every query by name, with the same query in plain SQL where SQL can say it."""
+"""Every query by name, with the same query in plain SQL where SQL can say it.
+
+The sample tables hold no missing values, so queries about them make some, alike on both
+sides.  Doubles are rounded on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabscope.functions.special import chi2_above
+from tabscope.functions.values import with_ordinal
+from tabscope.operators import dataflow, explore, pivot, profile, quality, relate, schema, stats, temporal, transform
+from tabscope.operators.records import (
+    CorrelationMethod,
+    DropColumns,
+    PivotAggregation,
+    RemoveEmptyRows,
+    ReplaceValueWithMissing,
+    TransformationPlan,
+)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+PLACES = 4
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to the places that the SQL keeps."""
+    return df.select(*[F.round(c, PLACES).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+# --- Pivots -----------------------------------------------------------------------
+
+FLAGS = ("l_returnflag", "l_linestatus")
+PIVOT_SQL = {
+    "row_count": "count(*)", "count": "count(l_quantity)", "sum": "round(sum(l_quantity), 4)", "mean": "round(avg(l_quantity), 4)",
+    "median": "round(median(l_quantity), 4)", "min": "min(l_quantity)", "max": "max(l_quantity)",
+}
+
+
+def pivot_query(how: str) -> None:
+    sql = f"SELECT l_returnflag, l_linestatus, {PIVOT_SQL[how]} AS value FROM lineitem GROUP BY ALL"
+
+    @query(f"pivot_tidy_{how}", sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        value = None if how == "row_count" else "l_quantity"
+        return rounded(pivot.tidy_frame(table(spark, sf_dir, "lineitem"), FLAGS, value, PivotAggregation(how)))
+
+
+for _how in PIVOT_SQL:
+    pivot_query(_how)
+
+
+@query(
+    "pivot_matrix",
+    "SELECT l_returnflag, round(avg(l_quantity) FILTER (WHERE l_linestatus = 'F'), 4) AS \"F\", "
+    "round(avg(l_quantity) FILTER (WHERE l_linestatus = 'O'), 4) AS \"O\" FROM lineitem GROUP BY 1",
+)
+def pivot_matrix(spark, sf_dir):
+    found = pivot.build_pivot_table(table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_linestatus"], value_column="l_quantity", aggregation="mean")
+    return rounded(found.table)
+
+
+def orders_with_gaps(spark, sf_dir):
+    return table(spark, sf_dir, "orders").withColumn("status", F.nullif("o_orderstatus", F.lit("P")))
+
+
+@query(
+    "pivot_missing_included",
+    "SELECT nullif(o_orderstatus, 'P') AS status, o_orderpriority, round(sum(o_totalprice), 4) AS value FROM orders GROUP BY ALL",
+)
+def pivot_missing_included(spark, sf_dir):
+    return rounded(pivot.tidy_frame(orders_with_gaps(spark, sf_dir), ["status", "o_orderpriority"], "o_totalprice", PivotAggregation.SUM, True))
+
+
+@query(
+    "pivot_missing_excluded",
+    "SELECT o_orderstatus AS status, round(sum(o_totalprice), 4) AS value FROM orders WHERE nullif(o_orderstatus, 'P') IS NOT NULL GROUP BY ALL",
+)
+def pivot_missing_excluded(spark, sf_dir):
+    return rounded(pivot.tidy_frame(orders_with_gaps(spark, sf_dir), ["status"], "o_totalprice", PivotAggregation.SUM))
+
+
+@query(
+    "pivot_cardinality",
+    "SELECT count(DISTINCT o_orderstatus) AS row_group_count, count(DISTINCT o_orderpriority) AS column_group_count, "
+    "count(DISTINCT o_orderstatus) * count(DISTINCT o_orderpriority) AS potential_cell_count FROM orders WHERE o_orderstatus <> 'P'",
+)
+def pivot_cardinality(spark, sf_dir):
+    return pivot.cardinality_frame(orders_with_gaps(spark, sf_dir), ["status"], ["o_orderpriority"])
+
+
+# --- Exploration ------------------------------------------------------------------
+
+
+@query(
+    "missingness",
+    "WITH e AS (SELECT event_id, nullif(event_type, 'error') AS event_type, CASE WHEN value < 20 THEN NULL ELSE value END AS value FROM events) "
+    "SELECT 0 AS position, 'event_id' AS \"column\", count(*) - count(event_id) AS missing_count, round(1 - count(event_id) / count(*), 4) AS missing_ratio FROM e "
+    "UNION ALL SELECT 1, 'event_type', count(*) - count(event_type), round(1 - count(event_type) / count(*), 4) FROM e "
+    "UNION ALL SELECT 2, 'value', count(*) - count(value), round(1 - count(value) / count(*), 4) FROM e",
+)
+def missingness(spark, sf_dir):
+    nan = F.when(F.col("value") < 20, F.lit(float("nan"))).otherwise(F.col("value"))
+    events = table(spark, sf_dir, "events").select("event_id", F.nullif("event_type", F.lit("error")).alias("event_type"), nan.alias("value"))
+    return rounded(explore.missingness_frame(events))
+
+
+DISTRIBUTION_SQL = """
+WITH x AS (SELECT l_extendedprice AS v, l_linenumber AS k FROM lineitem), f AS (SELECT v FROM x WHERE k NOT IN (6, 7))
+SELECT (SELECT count(*) FROM x) AS total_count, count(v) AS valid_count,
+  (SELECT count(*) FROM x WHERE k = 7) AS missing_count, (SELECT count(*) FROM x WHERE k = 6) AS non_finite_count,
+  round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS standard_deviation, min(v) AS minimum,
+  round(quantile_cont(v, 0.25), 4) AS first_quartile, round(quantile_cont(v, 0.5), 4) AS median,
+  round(quantile_cont(v, 0.75), 4) AS third_quartile, max(v) AS maximum FROM f
+"""
+
+
+@query("numeric_distribution", DISTRIBUTION_SQL)
+def numeric_distribution(spark, sf_dir):
+    odd = F.when(F.col("l_linenumber") == 7, F.lit(float("nan"))).when(F.col("l_linenumber") == 6, F.lit(float("inf")))
+    rows = table(spark, sf_dir, "lineitem").select(F.coalesce(odd, "l_extendedprice").alias("price"))
+    return rounded(explore.distribution_frame(rows, "price"))
+
+
+HISTOGRAM_SQL = """
+WITH e AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem),
+b AS (SELECT k, lo + k * (hi - lo) / 8 AS l, CASE WHEN k = 7 THEN hi ELSE lo + (k + 1) * (hi - lo) / 8 END AS r FROM e, range(8) t(k))
+SELECT CAST(k AS INTEGER) AS bin, round(l, 4) AS "left", round(r, 4) AS "right",
+  (SELECT count(*) FROM lineitem WHERE l_quantity >= l AND (l_quantity < r OR (k = 7 AND l_quantity <= r))) AS "count" FROM b
+"""
+
+
+@query("histogram", HISTOGRAM_SQL)
+def histogram(spark, sf_dir):
+    return rounded(explore.histogram_frame(table(spark, sf_dir, "lineitem"), "l_quantity", 8))
+
+
+OUTLIER_SQL = """
+WITH x AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN c_acctbal * 100 ELSE c_acctbal END AS v FROM customer),
+q AS (SELECT count(*) AS total_count, count(v) AS valid_count, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM x)
+SELECT total_count, valid_count, round(a, 4) AS first_quartile, round(b, 4) AS third_quartile, round(b - a, 4) AS iqr,
+  round(a - 1.5 * (b - a), 4) AS lower_bound, round(b + 1.5 * (b - a), 4) AS upper_bound,
+  (SELECT count(*) FROM x WHERE v < a - 1.5 * (b - a)) AS lower_outlier_count,
+  (SELECT count(*) FROM x WHERE v > b + 1.5 * (b - a)) AS upper_outlier_count,
+  (SELECT count(*) FROM x WHERE v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)) AS outlier_count,
+  round((SELECT count(*) FROM x WHERE v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)) / valid_count, 4) AS outlier_ratio FROM q
+"""
+
+
+@query("iqr_outliers", OUTLIER_SQL)
+def iqr_outliers(spark, sf_dir):
+    balance = F.when(F.col("c_custkey") % 50 == 0, F.col("c_acctbal") * 100).otherwise(F.col("c_acctbal"))
+    return rounded(explore.outlier_frame(table(spark, sf_dir, "customer").select(balance.alias("v")), "v"))
+
+
+TOP_SQL = """
+WITH c AS (SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1), t AS (SELECT * FROM c ORDER BY n DESC, value LIMIT 5),
+r AS (SELECT value, n FROM t UNION ALL SELECT 'Other categories', (SELECT count(*) FROM part) - (SELECT sum(n) FROM t))
+SELECT value, CAST(n AS BIGINT) AS "count", round(n / (SELECT count(*) FROM part), 4) AS ratio FROM r WHERE n > 0
+"""
+
+
+@query("top_categories", TOP_SQL)
+def top_categories(spark, sf_dir):
+    return rounded(explore.frequencies_with_other(table(spark, sf_dir, "part"), "p_brand", 5))
+
+
+@query(
+    "numeric_pair",
+    "SELECT CAST(l_quantity AS DOUBLE) AS l_quantity, l_extendedprice FROM lineitem WHERE l_linenumber NOT IN (6, 7)",
+)
+def numeric_pair(spark, sf_dir):
+    odd = F.when(F.col("l_linenumber") == 7, F.lit(float("nan"))).when(F.col("l_linenumber") == 6, F.lit(float("-inf")))
+    rows = table(spark, sf_dir, "lineitem").select(F.coalesce(odd, "l_quantity").alias("l_quantity"), "l_extendedprice")
+    return explore.pair_frame(rows, "l_quantity", "l_extendedprice").drop("_ordinal")
+
+
+@query("missingness_ranking", "SELECT 1 AS position, 'status' AS \"column\", count(*) FILTER (WHERE o_orderstatus = 'P') AS missing_count, "
+       "round(count(*) FILTER (WHERE o_orderstatus = 'P') / count(*), 4) AS missing_ratio FROM orders")
+def missingness_ranking(spark, sf_dir):
+    return rounded(explore.missingness_ranking(orders_with_gaps(spark, sf_dir).select("o_orderkey", "status")))
+
+
+# --- Schema, quality and profile --------------------------------------------------
+
+
+
+@query(
+    "semantic_types",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{kind}' AS semantic_type, CAST({sure} AS DOUBLE) AS confidence, count(*) - count({c}) AS missing_count, count(DISTINCT {c}) AS unique_count FROM {t}"
+        for t, c, kind, sure in (
+            ("events", "event_id", "identifier", 0.95), ("events", "ts", "datetime", 1.0), ("events", "event_type", "categorical", 0.85),
+            ("events", "value", "numeric_continuous", 0.9), ("orders", "o_orderstatus", "categorical", 0.85),
+            ("orders", "o_orderpriority", "categorical", 0.85), ("part", "p_size", "numeric_discrete", 0.85),
+            ("lineitem", "l_linenumber", "numeric_discrete", 0.85), ("lineitem", "l_linestatus", "binary", 0.95),
+        )
+    ),
+)
+def semantic_types(spark, sf_dir):
+    parts = []
+    for name, columns in (("events", ["event_id", "ts", "event_type", "value"]), ("orders", ["o_orderstatus", "o_orderpriority"]), ("part", ["p_size"]), ("lineitem", ["l_linenumber", "l_linestatus"])):
+        found = schema.schema_frame(table(spark, sf_dir, name).select(*columns))
+        parts.append(found.select("column", "semantic_type", "confidence", "missing_count", "unique_count"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+FORMATS_SQL = """
+WITH t AS (SELECT strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%d/%m/%Y') AS e, strftime(ts, '%H:%M:%S') AS h FROM events ORDER BY event_id LIMIT 500)
+SELECT 'iso' AS form, count(*) AS sampled, count(try_strptime(d, '%Y-%m-%d')) AS hits FROM t
+UNION ALL SELECT 'day_first', count(*), count(try_strptime(e, '%d/%m/%Y')) FROM t
+UNION ALL SELECT 'month_first', count(*), count(try_strptime(e, '%m/%d/%Y')) FROM t
+UNION ALL SELECT 'clock', count(*), count(try_strptime(h, '%H:%M:%S')) FROM t
+"""
+
+
+@query("temporal_formats", FORMATS_SQL)
+def temporal_formats(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("_ordinal", F.col("event_id"))
+    texts = events.select("_ordinal", F.date_format("ts", "yyyy-MM-dd").alias("d"), F.date_format("ts", "dd/MM/yyyy").alias("e"), F.date_format("ts", "HH:mm:ss").alias("h"))
+    form = [*schema.TIME_FORMATS, *schema.DATETIME_FORMATS]
+    parts = []
+    for name, column, f in (("iso", "d", "%Y-%m-%d"), ("day_first", "e", "%d/%m/%Y"), ("month_first", "e", "%m/%d/%Y"), ("clock", "h", "%H:%M:%S")):
+        found = schema.format_scores(texts, column)
+        parts.append(found.select(F.lit(name).alias("form"), "sampled", F.col(f"score_{form.index(f)}").alias("hits")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(
+    "quality_rows",
+    "WITH x AS (SELECT nullif(l_returnflag, 'N') AS a, CASE WHEN l_quantity < 25 THEN NULL ELSE l_quantity END AS b FROM lineitem), "
+    "g AS (SELECT a, b, count(*) AS n, CASE WHEN a IS NULL THEN 1 ELSE 0 END + CASE WHEN b IS NULL THEN 1 ELSE 0 END AS m FROM x GROUP BY 1, 2) "
+    "SELECT CAST(sum(n) AS BIGINT) AS \"rows\", CAST(sum(n * m) AS BIGINT) AS missing_cells, CAST(sum(n) FILTER (WHERE m = 2) AS BIGINT) AS empty_rows, "
+    "CAST(sum(n - 1) FILTER (WHERE m < 2) AS BIGINT) AS duplicate_rows FROM g",
+)
+def quality_rows(spark, sf_dir):
+    small = F.when(F.col("l_quantity") < 25, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
+    return quality.row_findings(table(spark, sf_dir, "lineitem").select(F.nullif("l_returnflag", F.lit("N")).alias("a"), small.alias("b")))
+
+
+@query(
+    "quality_findings",
+    "SELECT 'constant' AS code, 'same' AS \"column\", CAST(NULL AS BIGINT) AS affected_count "
+    "UNION ALL SELECT 'all_missing', 'void', NULL UNION ALL SELECT 'probable_identifier', 'doc_id', NULL "
+    "UNION ALL SELECT 'high_missingness', 'gap', count(*) FILTER (WHERE lang = 'en') FROM documents",
+)
+def quality_findings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.lit("x").alias("same"), F.lit(None).cast("string").alias("void"), F.nullif("lang", F.lit("en")).alias("gap"))
+    return quality.findings_frame(rows).select("code", "column", "affected_count")
+
+
+SENTINEL_SQL = """
+WITH x AS (SELECT CASE WHEN event_id % 20 = 0 THEN -200.0 ELSE value END AS v FROM events), r AS (SELECT v FROM x WHERE v <> -200),
+m AS (SELECT median(v) AS middle FROM r), s AS (SELECT median(abs(v - middle)) AS mad FROM r, m)
+SELECT CAST(-200 AS DOUBLE) AS observed_value, (SELECT count(*) FROM x WHERE v = -200) AS affected_count,
+  round((SELECT count(*) FROM x WHERE v = -200) / (SELECT count(*) FROM x), 4) AS affected_ratio
+FROM m, s WHERE abs(-200 - middle) / (1.4826 * mad) >= 2.5
+"""
+
+
+@query("quality_sentinel", SENTINEL_SQL)
+def quality_sentinel(spark, sf_dir):
+    value = F.when(F.col("event_id") % 20 == 0, -200.0).otherwise(F.col("value"))
+    found = quality.findings_frame(table(spark, sf_dir, "events").select(value.alias("v")))
+    return rounded(found.where("code = 'possible_sentinel'").select("observed_value", "affected_count", "affected_ratio"))
+
+
+@query(
+    "profile_numeric",
+    "SELECT count(l_discount) AS \"count\", round(avg(l_discount), 4) AS mean, round(median(l_discount), 4) AS median, "
+    "round(stddev_samp(l_discount), 4) AS standard_deviation, min(l_discount) AS minimum, max(l_discount) AS maximum FROM lineitem",
+)
+def profile_numeric(spark, sf_dir):
+    return rounded(profile.numeric_frame(table(spark, sf_dir, "lineitem"), "l_discount"))
+
+
+@query("profile_categorical", 'SELECT o_orderpriority AS value, count(*) AS "count" FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1')
+def profile_categorical(spark, sf_dir):
+    return profile.top_value_frame(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query("profile_datetime", 'SELECT count(o_orderdate) AS "count", min(o_orderdate) AS earliest, max(o_orderdate) AS latest FROM orders')
+def profile_datetime(spark, sf_dir):
+    return profile.datetime_frame(table(spark, sf_dir, "orders"), "o_orderdate", None)
+
+
+@query(
+    "profile_time",
+    'WITH x AS (SELECT epoch_us(ts) % 86400000000 // 1000000 * 1000000 AS t FROM events) SELECT count(t) AS "count", min(t) AS earliest, max(t) AS latest FROM x',
+)
+def profile_time(spark, sf_dir):
+    return profile.time_frame(table(spark, sf_dir, "events").select(F.date_format("ts", "HH:mm:ss").alias("t")), "t", "%H:%M:%S")
+
+
+# --- Transformations --------------------------------------------------------------
+
+PLAN = TransformationPlan((ReplaceValueWithMissing(("o_orderstatus", "o_orderpriority"), "F"), DropColumns(("o_orderdate",))))
+GAPS = TransformationPlan((ReplaceValueWithMissing(("s",), "P"), ReplaceValueWithMissing(("n",), 0), RemoveEmptyRows()))
+
+
+@query(
+    "transform_replace_drop",
+    "SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'F') AS o_orderstatus, o_totalprice, nullif(o_orderpriority, 'F') AS o_orderpriority FROM orders",
+)
+def transform_replace_drop(spark, sf_dir):
+    return transform.transform_frame(table(spark, sf_dir, "orders"), PLAN)
+
+
+def sparse_orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("s"), (F.col("o_custkey") % 5).alias("n"))
+
+
+@query(
+    "transform_empty_rows",
+    "SELECT nullif(o_orderstatus, 'P') AS s, nullif(o_custkey % 5, 0) AS n FROM orders WHERE NOT (o_orderstatus = 'P' AND o_custkey % 5 = 0)",
+)
+def transform_empty_rows(spark, sf_dir):
+    return transform.transform_frame(sparse_orders(spark, sf_dir), GAPS)
+
+
+@query(
+    "transform_log",
+    "SELECT CAST(0 AS INTEGER) AS position, 'replace_value_with_missing' AS operation, count(*) AS affected_rows, count(*) AS affected_cells FROM orders WHERE o_orderstatus = 'P' "
+    "UNION ALL SELECT 1, 'replace_value_with_missing', count(*), count(*) FROM orders WHERE o_custkey % 5 = 0 "
+    "UNION ALL SELECT 2, 'remove_empty_rows', count(*), 2 * count(*) FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 5 = 0",
+)
+def transform_log(spark, sf_dir):
+    return transform.log_frame(sparse_orders(spark, sf_dir), GAPS)
+
+
+# --- Relationships ----------------------------------------------------------------
+
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+UPPER = [(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]]
+PEARSON_SQL = " UNION ALL ".join(
+    f"SELECT '{a}' AS x_column, '{b}' AS y_column, round(corr({a}, {b}), 4) AS coefficient, count(*) AS valid_count FROM lineitem" for a, b in UPPER
+)
+
+
+@query(
+    "pearson_matrix",
+    f"WITH u AS ({PEARSON_SQL}) SELECT * FROM u UNION ALL SELECT y_column, x_column, coefficient, valid_count FROM u UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{a}', '{a}', 1.0, count(*) FROM lineitem" for a in NUMBERS),
+)
+def pearson_matrix(spark, sf_dir):
+    return rounded(relate.matrix_cells(table(spark, sf_dir, "lineitem"), NUMBERS, CorrelationMethod.PEARSON))
+
+
+@query(
+    "pearson_top",
+    f"WITH u AS ({PEARSON_SQL.replace('round(', '(').replace(', 4)', ')')}) SELECT x_column, y_column, round(coefficient, 4) AS coefficient, valid_count, "
+    "round(abs(coefficient), 4) AS absolute_coefficient FROM u ORDER BY abs(coefficient) DESC LIMIT 2",
+)
+def pearson_top(spark, sf_dir):
+    cells = relate.matrix_cells(table(spark, sf_dir, "lineitem"), NUMBERS, CorrelationMethod.PEARSON)
+    return rounded(relate.strongest_frame(cells, NUMBERS, 2))
+
+
+SPEARMAN_SQL = """
+WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS x,
+  rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS y FROM lineitem)
+SELECT 'l_quantity' AS x_column, 'l_extendedprice' AS y_column, count(*) AS total_count, count(*) AS valid_count, CAST(0 AS BIGINT) AS excluded_count,
+  round(corr(x, y), 4) AS coefficient, 'ok' AS status FROM r
+"""
+
+
+@query("spearman_pair", SPEARMAN_SQL)
+def spearman_pair(spark, sf_dir):
+    return rounded(relate.relationship_frame(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "spearman"))
+
+
+# --- Tests ------------------------------------------------------------------------
+
+
+def one_row(spark, **values) -> DataFrame:
+    kind = {float: "double", int: "long", str: "string", bool: "boolean"}
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {kind[type(v)]}" for k, v in values.items()))
+
+
+WELCH_SQL = """
+WITH g AS (SELECT o_orderstatus AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1),
+p AS (SELECT a.n AS na, a.m AS ma, a.v AS va, b.n AS nb, b.m AS mb, b.v AS vb FROM g a, g b WHERE a.g = 'F' AND b.g = 'O')
+SELECT na AS n_a, nb AS n_b, round((ma - mb) / sqrt(va / na + vb / nb), 4) AS statistic,
+  round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) * (1 - 3 / (4 * (na + nb - 2) - 1)), 4) AS effect_size FROM p
+"""
+
+
+@query("welch_t", WELCH_SQL)
+def welch_t(spark, sf_dir):
+    r = stats.compare_two_numeric_groups(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", "F", "O")
+    return rounded(one_row(spark, n_a=r.group_a_summary.count, n_b=r.group_b_summary.count, statistic=r.statistic, effect_size=r.effect_size))
+
+
+@query("welch_p_value")
+def welch_p_value(spark, sf_dir):
+    r = stats.compare_two_numeric_groups(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", "F", "O")
+    return one_row(spark, p_value=r.p_value, significant=r.significant)
+
+
+RANKED_SQL = """
+WITH r AS (SELECT {group} AS g, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2 AS r,
+  o_totalprice AS v FROM orders WHERE {where}),
+t AS (SELECT sum(k * k * k - k) AS tied FROM (SELECT CAST(count(*) AS DOUBLE) AS k FROM r GROUP BY v)),
+s AS (SELECT g, count(*) AS n, sum(r) AS rank_sum FROM r GROUP BY g)
+"""
+
+
+@query(
+    "mann_whitney",
+    RANKED_SQL.format(group="o_orderstatus", where="o_orderstatus IN ('F', 'P')")
+    + ", u AS (SELECT a.rank_sum - a.n * (a.n + 1) / 2 AS u, a.n * b.n AS nn FROM s a, s b WHERE a.g = 'F' AND b.g = 'P') "
+    "SELECT CAST(u AS DOUBLE) AS statistic, round(2 * u / nn - 1, 4) AS effect_size FROM u",
+)
+def mann_whitney(spark, sf_dir):
+    r = stats.compare_two_numeric_groups(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", "F", "P", method="mann_whitney")
+    return rounded(one_row(spark, statistic=r.statistic, effect_size=r.effect_size))
+
+
+
+
+def priorities(spark, sf_dir) -> list[str]:
+    return sorted(r[0] for r in table(spark, sf_dir, "orders").select("o_orderpriority").distinct().collect())
+
+
+ANOVA_SQL = """
+WITH g AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1),
+a AS (SELECT avg(o_totalprice) AS m FROM orders), s AS (SELECT sum(g.n * (g.m - a.m) ^ 2) AS b, sum((g.n - 1) * g.v) AS w, sum(g.n) AS n, count(*) AS k FROM g, a)
+SELECT round((b / (k - 1)) / (w / (n - k)), 4) AS statistic, round(b / (b + w), 4) AS effect_size FROM s
+"""
+
+
+@query("anova_eta", ANOVA_SQL)
+def anova_eta(spark, sf_dir):
+    r = stats.compare_multiple_numeric_groups(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority", priorities(spark, sf_dir))
+    return rounded(one_row(spark, statistic=r.statistic, effect_size=r.effect_size))
+
+
+@query(
+    "kruskal_epsilon",
+    RANKED_SQL.format(group="o_orderpriority", where="true")
+    + ", n AS (SELECT sum(n) AS n, count(*) AS k, sum(rank_sum ^ 2 / n) AS q FROM s), "
+    "h AS (SELECT (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - tied / (n ^ 3 - n)) AS h, n, k FROM n, t) "
+    "SELECT round(h, 4) AS statistic, round(exp(-h / 2) * (1 + h / 2), 4) AS p_value, round(greatest(0, least(1, (h - k + 1) / (n - k))), 4) AS effect_size FROM h",
+)
+def kruskal_epsilon(spark, sf_dir):
+    r = stats.compare_multiple_numeric_groups(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority", priorities(spark, sf_dir), method="kruskal_wallis")
+    return rounded(one_row(spark, statistic=r.statistic, p_value=r.p_value, effect_size=r.effect_size))
+
+
+CROSSTAB_SQL = """
+WITH r AS (SELECT o_orderstatus AS "row", count(*) AS a FROM orders GROUP BY 1), c AS (SELECT o_orderpriority AS "column", count(*) AS b FROM orders GROUP BY 1),
+x AS (SELECT "row", "column", (SELECT count(*) FROM orders WHERE o_orderstatus = "row" AND o_orderpriority = "column") AS observed,
+  a * b / (SELECT count(*) FROM orders) AS expected FROM r, c)
+"""
+
+
+@query("crosstab_expected", CROSSTAB_SQL + 'SELECT "row", "column", observed, round(expected, 4) AS expected FROM x')
+def crosstab_expected(spark, sf_dir):
+    return rounded(stats.crosstab_frame(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority"))
+
+
+@query(
+    "chi_square",
+    CROSSTAB_SQL
+    + ', s AS (SELECT sum((observed - expected) ^ 2 / expected) AS q, sum(observed) AS n, min(expected) AS least, count(DISTINCT "row") AS r, count(DISTINCT "column") AS c FROM x) '
+    "SELECT CAST((r - 1) * (c - 1) AS BIGINT) AS degrees_of_freedom, round(q, 4) AS statistic, "
+    "round(exp(-q / 2) * (1 + q / 2 + (q / 2) ^ 2 / 2 + (q / 2) ^ 3 / 6), 4) AS p_value, round(sqrt(q / (n * least(r - 1, c - 1))), 4) AS cramers_v, round(least, 4) AS minimum_expected FROM s",
+)
+def chi_square(spark, sf_dir):
+    r = stats.analyze_categorical_association(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
+    return rounded(
+        one_row(spark, degrees_of_freedom=r.degrees_of_freedom, statistic=r.statistic, p_value=r.p_value, cramers_v=r.cramers_v, minimum_expected=r.minimum_expected_frequency)
+    )
+
+
+@query(
+    "group_summary",
+    'SELECT c_mktsegment AS "group", count(*) AS "count", round(avg(c_acctbal), 4) AS mean, round(median(c_acctbal), 4) AS median, '
+    "round(stddev_samp(c_acctbal), 4) AS standard_deviation, min(c_acctbal) AS minimum, max(c_acctbal) AS maximum FROM customer GROUP BY 1",
+)
+def group_summary(spark, sf_dir):
+    return rounded(stats.summary_frame(table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment"))
+
+
+# --- Time -------------------------------------------------------------------------
+
+
+def events_axis(spark, sf_dir) -> DataFrame:
+    return temporal.axis_frame(table(spark, sf_dir, "events").withColumn("_ordinal", F.col("event_id")), "ts")
+
+
+def orders_axis(spark, sf_dir) -> DataFrame:
+    return temporal.axis_frame(table(spark, sf_dir, "orders"), "o_orderdate")
+
+
+def bucket_query(frequency: str, aggregation: str) -> None:
+    how = {"mean": "avg"}.get(aggregation, aggregation)
+    sql = f"SELECT CAST(date_trunc('{frequency}', ts) AS TIMESTAMP) AS bucket, round({how}(value), 4) AS value, count(*) AS \"count\" FROM events WHERE value >= 1 GROUP BY 1"
+
+    @query(f"time_buckets_{frequency}_{aggregation}", sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        axis = events_axis(spark, sf_dir).withColumn("value", F.when(F.col("value") >= 1, F.col("value")).otherwise(F.lit(float("inf"))))
+        return rounded(temporal.buckets_frame(axis, "value", frequency, aggregation))
+
+
+for _frequency in ("hour", "day", "week", "month"):
+    for _aggregation in ("mean", "median", "sum", "min", "max"):
+        bucket_query(_frequency, _aggregation)
+
+STEPS_SQL = "WITH d AS (SELECT DISTINCT {ts} AS ts FROM {t}), s AS (SELECT ts AS a, lead(ts) OVER (ORDER BY ts) AS b FROM d), w AS (SELECT a, b, epoch_us(b) - epoch_us(a) AS duration FROM s WHERE b IS NOT NULL) "
+
+
+@query(
+    "time_gaps",
+    STEPS_SQL.format(ts="ts", t="events") + "SELECT a AS start, b AS \"end\", duration, duration - 900000000 AS excess FROM w WHERE duration > 900000000",
+)
+def time_gaps(spark, sf_dir):
+    return temporal.gaps_frame(events_axis(spark, sf_dir), timedelta(minutes=15))
+
+
+SAMPLING_SQL = """
+, c AS (SELECT o_orderdate AS ts, count(*) AS n FROM orders GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS total_count, CAST(sum(n) AS BIGINT) AS valid_count, count(*) AS unique_timestamp_count, CAST(sum(n - 1) AS BIGINT) AS duplicate_row_count,
+  count(*) FILTER (WHERE n > 1) AS duplicate_timestamp_count, epoch_us(min(ts)) AS earliest, epoch_us(max(ts)) AS latest, (SELECT count(*) FROM w) AS interval_count,
+  (SELECT min(duration) FROM w) AS minimum_interval, (SELECT CAST(median(duration) AS DOUBLE) FROM w) AS median_interval, (SELECT max(duration) FROM w) AS maximum_interval FROM c
+"""
+
+
+@query("sampling_summary", STEPS_SQL.format(ts="o_orderdate", t="orders") + SAMPLING_SQL)
+def sampling_summary(spark, sf_dir):
+    return temporal.sampling_frame(orders_axis(spark, sf_dir))
+
+
+@query(
+    "dominant_interval",
+    STEPS_SQL.format(ts="o_orderdate", t="orders")
+    + "SELECT duration AS dominant_interval, count(*) AS dominant_interval_count FROM w GROUP BY 1 ORDER BY 2 DESC LIMIT 1",
+)
+def dominant_interval(spark, sf_dir):
+    return temporal.dominant_frame(orders_axis(spark, sf_dir))
+
+
+@query("axis_from_text", "SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS timestamp FROM events")
+def axis_from_text(spark, sf_dir):
+    texts = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "dd/MM/yyyy").alias("d"), F.date_format("ts", "HH.mm.ss").alias("t"))
+    return temporal.axis_frame(texts, "d", "%d/%m/%Y", "t", "%H.%M.%S").select("event_id", "timestamp")
+
+
+@query("time_series_sorted", "SELECT ts AS timestamp, value FROM events WHERE value >= 1")
+def time_series_sorted(spark, sf_dir):
+    axis = events_axis(spark, sf_dir).withColumn("value", F.when(F.col("value") >= 1, F.col("value")))
+    return temporal.series_frame(axis, "value").drop("_ordinal")
+
+
+@query(
+    "chronological_downsample",
+    "WITH n AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS k, count(*) OVER () AS c FROM events) "
+    "SELECT event_id FROM n WHERE c <= 100 OR k IN (SELECT i * (c - 1) // 99 FROM range(100) t(i))",
+)
+def chronological_downsample(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("_ordinal", F.col("event_id"))
+    return dataflow.downsample_chronological(events, "ts", 100).select("event_id")
+
+
+@query("observed_values", "SELECT DISTINCT event_type AS value FROM events")
+def observed_values(spark, sf_dir):
+    return dataflow.observed_values(with_ordinal(table(spark, sf_dir, "events")), "event_type")
+
+
+@query("chi_square_tail", "SELECT CAST(k AS BIGINT) AS x, round(exp(-k / 2.0) * (1 + k / 2.0), 4) AS p FROM range(1, 20) t(k)")
+def chi_square_tail(spark, sf_dir):
+    return rounded(spark.createDataFrame([(x, chi2_above(x, 4)) for x in range(1, 20)], "x long, p double"))
