@@ -129,4 +129,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+NEARDUP_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT y, root FROM r JOIN both_ways ON x = doc_id)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id, r.doc_id = min(root) AS kept
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
+def secrets_sql() -> str:
+    """The secret scan in SQL: texts between matches and the matches alternate."""
+    from tabscope.llm.secrets import BASE_RULES, RULES
+
+    found = []
+    for k, rule in enumerate(RULES):
+        pattern = rule.regex.replace("'", "''")
+        if pattern[0] == "[" and pattern.endswith("]+"):  # runs of one class: the least size goes into the pattern
+            pattern = f"{pattern[:-1]}{{{rule.least},}}"
+        found.append(f"""
+  SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
+      'own': length(g[i]), 's': list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
+      'n': length(m[i])}}), lambda x: x.own >= {rule.least})) AS x
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g,
+    string_split_regex(t, '{pattern}') AS p FROM d)""")
+    count = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    listed = "coalesce(string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, k){}, '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(found)}),
+x AS (SELECT doc_id, k, kind, CAST(x.s AS BIGINT) AS s, x.n AS n FROM f)
+SELECT d.doc_id, {count}, sha256({listed.format(f" FILTER (WHERE k < {len(BASE_RULES)})")}) AS base_sha256, {listed.format("")} AS spans
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+#: Only for queries that SQL can express; tests hold the others against brute force.
+ORACLE_SQL: dict[str, str] = {"op7_neardup": NEARDUP_SQL, "op10_secrets": secrets_sql()}
