@@ -53,7 +53,7 @@ KINDS = np.array(
     np.uint8,
 )
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
-ENDS = np.array([chr(b) in ".!?" for b in range(256)])
+ENDS = np.array([chr(b) in ".!?:" for b in range(256)])
 
 
 def plain_hash(word: str) -> np.uint64:
@@ -90,7 +90,7 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     head, second = data[start], data[np.minimum(start + 1, len(data) - 1)]
     capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     digits = np.add.reduceat((kind[solid] == DIGIT).astype(np.int64), place) > 0
-    # a sentence starts with a text or line, or after a token that ends in . ! ?
+    # a sentence starts with a text or line, or after a token that ends in . ! ? :
     blanks = np.flatnonzero(kind == BLANK)
     before = np.r_[False, ENDS[data[np.maximum(blanks - 1, 0)]]]
     line = np.r_[True, data[blanks] == 10]
