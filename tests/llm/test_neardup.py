@@ -61,6 +61,8 @@ def cases():
 @pytest.mark.parametrize(("words", "percent", "longest"), [(3, 85, 4000), (5, 80, 4000), (3, 85, 7)])
 def test_against_all_pairs(spark, monkeypatch, words, percent, longest):
     monkeypatch.setattr(neardup, "LIST", longest)
+    monkeypatch.setattr(neardup, "BLOCK", longest)
+    monkeypatch.setattr(neardup, "COLUMNS", 10 * longest)
     rows = cases()
     data = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     found = neardup.near_duplicates(data, neardup.Likeness(words, percent)).collect()
@@ -83,11 +85,21 @@ def test_odd_rows(spark):
 
 
 def test_miss_bound():
-    from math import comb
-
     for like in (neardup.Likeness(3, 85), neardup.Likeness(5, 80)):
         p = like.percent / 100
-        assert sum(comb(64, t) * p**t * (1 - p) ** (64 - t) for t in range(like.matches)) <= neardup.MISS
+        assert neardup.below(neardup.COORDINATES, p, like.matches) <= neardup.MISS
+        assert all(neardup.below(like.prefix(r), p, r) <= neardup.MISS for r in (1, 2))
+
+
+def test_intersections(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, 30)).astype(np.uint64) for _ in range(9)]
+    truth = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    off = ~np.eye(9, dtype=bool)  # of different sets
+    assert (neardup.intersections(sets)[off] == truth[off]).all()
 
 
 def test_components(spark):
