@@ -92,7 +92,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
         F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.length(text)).alias("draw")
     )
     share = labelled.groupBy("label").agg((F.lit(SAMPLE_ROWS * 2.0**20) / F.count(F.lit(1))).alias("below"))
-    sample = labelled.join(F.broadcast(share), "label").where(  # a row for each language
+    sample = labelled.join(share, "label").where(
         F.pmod("draw", F.lit(1 << 20)) < F.col("below")
     )
 
