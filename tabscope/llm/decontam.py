@@ -4,9 +4,9 @@ Tokens become templates: numbers, names (capitalised within a sentence) and unit
 into typed placeholders, all others stay as lower-case literals without punctuation.
 Windows of ``WINDOW`` template tokens of the benchmark are hash-joined with those of the
 documents, which finds a question again after its numbers, names or units were changed.
-For each document and item, the windows that lie closest together give the share of the
-item's tokens found; and the slots must be consistent, each value of the item standing
-for one value in the document.
+For each document and item, every place is judged: the windows near one diagonal give the
+share of the item's tokens found there, and the slots must be consistent, each value of
+the item standing for one value in the document.
 
 A fixed-size filter of the benchmark's window hashes, whatever the benchmark's size,
 keeps the documents' other windows from the shuffle.
@@ -35,6 +35,8 @@ LITERALS = 5
 COVERED = 0.5
 #: Share of the item's slots whose values must map consistently.
 CONSISTENT = 0.8
+#: Diagonals that small edits move a window by.
+DRIFT = 4
 
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million"
 UNIT_WORDS = (
@@ -152,35 +154,45 @@ def windows(rows: DataFrame, sizes: list[int], bits=None, short: bool = False) -
 def judged(at: np.ndarray, of: np.ndarray, slots: np.ndarray, item_slots: np.ndarray, sizes: np.ndarray, tokens: int):
     """(covered, consistent, exact, first, end) of the best place of an item in a document.
 
-    ``at`` are window places in the document, ``of`` those in the item.
+    ``at`` are window places in the document, ``of`` those in the item.  Windows of one
+    place lie near one diagonal; each window of the item counts once for a place, where it
+    is nearest.  A consistent place goes before one that isn't, then the greater coverage.
     """
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at - of, kind="stable")
     at, of, slots, item_slots, sizes = at[order], of[order], slots[order], item_slots[order], sizes[order]
-    reach = tokens + tokens // 2
-    best = (0.0, 0, 0)
-    held = np.zeros(tokens, np.int64)
-    end = covered = 0
-    for k in range(len(at)):  # windows k to end lie within reach of window k
-        while end < len(at) and at[end] < at[k] + reach:
-            part = held[of[end] : of[end] + sizes[end]]
-            covered += int((part == 0).sum())
-            part += 1
-            end += 1
-        if covered > best[0] * tokens:
-            best = (covered / tokens, k, end)
-        part = held[of[k] : of[k] + sizes[k]]
-        part -= 1
-        covered -= int((part == 0).sum())
-    share, a, b = best
-    mine, theirs = np.concatenate(item_slots[a:b]), np.concatenate(slots[a:b])
-    used = mine != 0
-    pairs, counts = np.unique(np.stack([mine[used], theirs[used]]), axis=1, return_counts=True)
-    agreeing = 0
-    for value in np.unique(pairs[0]) if pairs.size else ():
-        agreeing += int(counts[pairs[0] == value].max())
-    total = int(counts.sum())
-    exact = bool((mine == theirs).all())
-    return share, agreeing / total if total else 1.0, exact, int(at[a]), int((at[a:b] + sizes[a:b]).max())
+    diagonal = at - of
+    best, seen = None, set()
+    for d in np.unique(diagonal).tolist():
+        for drift in (DRIFT, tokens // 2):  # insertions and deletions move the windows after them
+            a, b = np.searchsorted(diagonal, [d - drift, d + drift + 1])
+            near = a + np.lexsort((np.abs(diagonal[a:b] - d), sizes[a:b], of[a:b]))
+            first = np.r_[True, (of[near[1:]] != of[near[:-1]]) | (sizes[near[1:]] != sizes[near[:-1]])]
+            own = near[first]
+            if own.tobytes() in seen:
+                continue
+            seen.add(own.tobytes())
+            held = np.zeros(tokens + 1, np.int64)
+            np.add.at(held, of[own], 1)
+            np.add.at(held, of[own] + sizes[own], -1)
+            share = int((np.cumsum(held)[:tokens] > 0).sum()) / tokens
+            if share < COVERED and best is not None:
+                continue
+            mine, theirs = np.concatenate(item_slots[own]), np.concatenate(slots[own])
+            used = mine != 0
+            slot = np.concatenate([np.arange(o, o + n) for o, n in zip(of[own], sizes[own], strict=True)]).astype(np.uint64)
+            # each slot once, not for each window that holds it
+            once = np.unique(np.stack([slot[used], mine[used], theirs[used]]), axis=1)
+            pairs, counts = np.unique(once[1:], axis=1, return_counts=True)
+            agreeing = 0
+            for value in np.unique(pairs[0]) if pairs.size else ():
+                agreeing += int(counts[pairs[0] == value].max())
+            total = int(counts.sum())
+            consistent = agreeing / total if total else 1.0
+            exact = bool((mine == theirs).all())
+            rank = (share >= COVERED and consistent >= CONSISTENT, share, exact, consistent)
+            if best is None or rank > best[0]:
+                best = rank, (share, consistent, exact, int(at[own].min()), int((at[own] + sizes[own]).max()))
+    return best[1]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -47,3 +47,14 @@ def test_templates():
 
 def test_empty(spark):
     assert run(spark, [], [(1, ITEM)]) == {} == run(spark, [(1, ITEM)], [])
+
+
+def test_every_place_is_judged(spark):
+    """A copy is found although a variant with other values comes right before or after it."""
+    item = "alpha beta gamma delta epsilon 7 zeta eta theta iota kappa 9 lambda mu nu xi omicron 11 pi rho"
+    variant = item.replace(" 7 ", " 70 ").replace(" 9 ", " 90 ").replace(" 11 ", " 110 ")
+    assert set(run(spark, [(1, f"{item} {variant}"), (2, f"{variant} {item}")], [(1, item)])) == {(1, 1), (2, 1)}
+    twice = "red box 7 with blue lid and green box 7 with brown lid and black box 7 with white lid"
+    spoiled = twice.replace("7", "1", 1).replace("7", "2", 1).replace("7", "3", 1)
+    found = run(spark, [(1, f"{spoiled} {twice}")], [(1, twice)])
+    assert found[1, 1]["exact"]
