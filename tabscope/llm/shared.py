@@ -10,12 +10,12 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 #: Texts in a batch for Python workers.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 _shipped: dict[str, str] = {}
 
@@ -57,19 +57,46 @@ def prepare(spark: SparkSession) -> None:
         _shipped["to"] = context.applicationId
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` hasn't, upper and lower case alike."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of ``df`` but for those named, upper and lower case alike."""
+    gone = {n.lower() for n in names}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
+
+
+def with_results(df: DataFrame, found: Column, names: tuple[str, ...]) -> DataFrame:
+    """``df`` with the named fields of the struct ``found`` as columns.
+
+    Columns of ``df`` that have the name of a result give way to it; all others stay.
+    """
+    own = unused(df, "found")
+    return df.withColumn(own, found).select(*without(df, *names), *[F.col(own)[n].alias(n) for n in names])
+
+
 #: Bits of a key filter.  Its size is fixed; a fuller filter only lets more keys pass.
 FILTER_BITS = 1 << 23
 
 
-def key_filter(places: DataFrame) -> np.ndarray:
-    """Bits set at the values of the one column, each in [0, FILTER_BITS)."""
+def key_filter(places: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
+    """Bits set at the values of the one column, each in [0, size)."""
     place = F.col(places.columns[0])
     parts = (
         places.groupBy(F.shiftright(place, 15).alias("part"))
         .agg(F.bitmap_construct_agg(place.bitwiseAND(32767)).alias("bits"))
-        .collect()  # FILTER_BITS / 32768 rows at most
+        .collect()  # size / 32768 rows at most
     )
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for r in parts:
         bits[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     return bits

@@ -15,7 +15,11 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b in BLANKS else b for b in ran
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
+#: Bytes up to which the hashes of all words are read off running sums; longer texts go word by word.
+SUMMED = 1 << 21
+
 _powers = np.cumprod(np.r_[np.uint64(1), np.full(255, STEP)], dtype=np.uint64)
+_inverses = np.ones(1, np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -32,6 +36,15 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+def inverses(n: int) -> np.ndarray:
+    """What the first n powers must be multiplied by to give 1."""
+    global _inverses
+    if n > len(_inverses):
+        inverse = np.uint64(pow(int(STEP), -1, 1 << 64))
+        _inverses = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, inverse)], dtype=np.uint64)
+    return _inverses[:n]
+
+
 @dataclass
 class Words:
     """The words of some texts, one after the other."""
@@ -50,18 +63,25 @@ def words_of(texts: list[str | None], table: bytes = LOWER) -> Words:
     data = b" ".join(raw).translate(table)
     starts_of = np.cumsum([0, *(len(r) + 1 for r in raw)])
     points = np.frombuffer(data, np.uint8)
-    inside = points != 32
-    edge = np.diff(np.r_[False, inside, False].astype(np.int8))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inside = np.zeros(len(points) + 2, bool)
+    np.not_equal(points, 32, out=inside[1:-1])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
     first = np.searchsorted(start, starts_of)
     if not len(start):
         return Words(np.empty(0, np.int64), np.empty(0, np.uint64), first, start, end, data)
     sizes = end - start
-    kept = points[inside].astype(np.uint64) + np.uint64(1)
-    places = np.cumsum(sizes) - sizes
-    offset = np.arange(len(kept)) - np.repeat(places, sizes)
-    kept *= powers(int(sizes.max()))[offset]
-    hashed = mixed(np.add.reduceat(kept, places) ^ (sizes.astype(np.uint64) * STEP))
+    if len(points) <= SUMMED:
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points + np.uint64(1)) * powers(len(points)), out=total[1:])
+        sums = (total[end] - total[start]) * inverses(len(points))[start]
+    else:
+        kept = points[inside[1:-1]].astype(np.uint64) + np.uint64(1)
+        places = np.cumsum(sizes) - sizes
+        offset = np.arange(len(kept)) - np.repeat(places, sizes)
+        kept *= powers(int(sizes.max()))[offset]
+        sums = np.add.reduceat(kept, places)
+    hashed = mixed(sums ^ (sizes.astype(np.uint64) * STEP))
     return Words(np.repeat(np.arange(len(texts)), np.diff(first)), hashed, first, start, end, data)
 
 
@@ -75,7 +95,7 @@ def joined(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
-def slices(rows: list, size_of, most: int = 1_000_000) -> Iterator[list]:
+def slices(rows: list, size_of, most: int = 300_000) -> Iterator[list]:
     """Runs of rows of about ``most`` in size."""
     part, size = [], 0
     for row in rows:
