@@ -11,8 +11,9 @@ before, in batches:
 Ids travel packed, as little-endian unsigned 32-bit integers in a binary column.
 
 Nulls and empty texts have no tokens and decode to the empty string.  Rows are
-independent: repeated rows give repeated results, an empty table an empty one, and
-all other columns, whatever their names, pass through.
+independent: repeated rows give repeated results, an empty table an empty one.  Other
+columns pass through, but for those that have the name of a result, which it replaces.
+Texts of any length are taken whole; a long word is merged with a queue, in n log n.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm.shared import prepare
+from tabscope.llm.shared import prepare, with_results
 
-#: Words remembered by a Python worker (some 200 bytes each) before it starts anew.
-WORD_MEMORY = 150_000
+#: Words remembered by a Python worker (some 300 bytes each) before it starts anew.
+WORD_MEMORY = 60_000
 #: Texts are taken in slices of this many characters.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 #: Failing words up to this many bytes are merged together, longer ones one by one.
 SHORT_WORD = 48
 
@@ -131,7 +132,7 @@ class Vocabulary:
 
     def merge_short(self, words: list[bytes]) -> list[bytes]:
         """Exact merging of many words at once: the best pair of each word, again and again."""
-        sizes = np.array([len(w) for w in words])
+        sizes = np.array([len(w) for w in words], np.int64)
         ids = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
         done: list[bytes] = [b""] * len(words)
@@ -183,7 +184,7 @@ class Vocabulary:
         found = list(self.longest.iter_long(lined))
         ends = np.fromiter((e for e, _ in found), np.int64, len(found))
         ids = np.fromiter((k for _, k in found), np.int64, len(found))
-        sizes = np.array([len(w) for w in raw])
+        sizes = np.array([len(w) for w in raw], np.int64)
         word = np.searchsorted(np.cumsum(sizes + 1), ends, side="right")
         bad = np.zeros(len(words), bool)
         same = word[1:] == word[:-1]
@@ -274,6 +275,19 @@ class Codec:
             text = f.read()
         shipped = spark.sparkContext.broadcast(text)
 
+        @F.pandas_udf("token_ids binary, n_tokens long, decoded string")
+        def round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            vocabulary = held(shipped)
+            for texts in batches:
+                packed = [x for part in slices(texts) for x in vocabulary.encode(part)]
+                yield pd.DataFrame(
+                    {
+                        "token_ids": pd.Series(packed, dtype=object),
+                        "n_tokens": np.array([len(x) // 4 for x in packed], np.int64),
+                        "decoded": pd.Series([vocabulary.decode(x) for x in packed], dtype=object),
+                    }
+                )
+
         @F.pandas_udf("binary")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             vocabulary = held(shipped)
@@ -286,7 +300,7 @@ class Codec:
             for packed in batches:
                 yield pd.Series([vocabulary.decode(x) for x in packed], dtype=object)
 
-        self._encode, self._decode = encode, decode
+        self._encode, self._decode, self._round_trip = encode, decode, round_trip
 
     def encode(self, text: Column | str) -> Column:
         """Binary: the ids of a text, four bytes each, little end first."""
@@ -296,12 +310,12 @@ class Codec:
         """String: the text of packed ids; bytes that aren't UTF-8 become U+FFFD."""
         return self._decode(packed)
 
+    def round_trip(self, text: Column | str) -> Column:
+        """Struct: token_ids, n_tokens and the decoded text, in one pass."""
+        return self._round_trip(text)
+
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``token_ids`` (packed), ``n_tokens`` and ``decoded`` (the round trip)."""
     codec = Codec(docs.sparkSession, vocabulary_path)
-    return (
-        docs.withColumn("token_ids", codec.encode(F.col(text)))
-        .withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
-        .withColumn("decoded", codec.decode(F.col("token_ids")))
-    )
+    return with_results(docs, codec.round_trip(F.col(text)), ("token_ids", "n_tokens", "decoded"))
