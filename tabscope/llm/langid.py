@@ -6,26 +6,30 @@ one column for each language, and is broadcast.  Scoring treats a batch of texts
 sparse matrix (a bucket list for each text) times that matrix.
 
 The model is fitted on at most about ``SAMPLE_ROWS`` labelled rows of each language,
-taken by a hash of the key, which is the documented bound of the fit.  The matrix holds
-``BUCKETS`` x languages numbers, so it is bounded by the number of languages.
+taken by a hash of the row, which is the documented bound of the fit; class priors come
+from all labelled rows.  The rows are counted first, one number for each language, so only
+the sample leaves the scan.  The matrix holds ``BUCKETS`` x languages numbers; more than
+``MOST_LANGUAGES`` languages are refused.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is every text if
 nothing was learned.  Null languages aren't learned.  Ties go to the language that
 sorts first.  Repeated rows count and are predicted like others; an empty table gives
-an empty one; other columns pass through.
+an empty one.  Other columns pass through, but for those that have the name of a result,
+which it replaces.  Texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.shared import prepare
+from tabscope.llm.shared import prepare, with_results
 
 #: Labelled rows of each language that the fit takes, about.
 SAMPLE_ROWS = 3000
@@ -33,8 +37,10 @@ BUCKETS = 1 << 15
 ORDERS = (2, 3)
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: Bounds the model at 33 MB.
+MOST_LANGUAGES = 256
 #: Texts are scored in slices of this many characters.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -42,9 +48,9 @@ _tables: dict[str, np.ndarray] = {}
 def folding() -> np.ndarray:
     """For every code point its lower-case letter, or a space."""
     if "fold" not in _tables:
-        chars = [chr(c) for c in range(0x110000)]
         fold = np.full(0x110000, 32, np.uint32)
-        for c, x in enumerate(chars):
+        for c in range(0x110000):
+            x = chr(c)
             if unicodedata.category(x)[0] == "L":
                 low = x.lower()
                 fold[c] = ord(low) if len(low) == 1 else c
@@ -86,15 +92,38 @@ def slices(texts: pd.Series) -> Iterator[list[str | None]]:
         yield part
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (buckets x languages) learned from labelled rows."""
-    labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.length(text)).alias("draw")
-    )
-    share = labelled.groupBy("label").agg((F.lit(SAMPLE_ROWS * 2.0**20) / F.count(F.lit(1))).alias("below"))
-    sample = labelled.join(share, "label").where(
-        F.pmod("draw", F.lit(1 << 20)) < F.col("below")
-    )
+@dataclass(frozen=True)
+class Model:
+    """Languages, log probabilities (buckets x languages) and log priors."""
+
+    languages: list[str]
+    table: np.ndarray
+    priors: np.ndarray
+
+    def guess(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the best language of each text (-1 if none) and its posterior probability."""
+        if not self.languages or not texts:
+            return np.full(len(texts), -1), np.zeros(len(texts))
+        buckets, owner, lettered = features(texts)
+        own = [np.bincount(owner, weights=self.table[:, k][buckets], minlength=len(texts)) for k in range(len(self.languages))]
+        total = np.stack(own, axis=1) + self.priors
+        chance = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        return np.where(lettered, total.argmax(axis=1), -1), np.where(lettered, chance, 0.0)
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
+    """The model of the labelled rows."""
+    prepare(docs.sparkSession)
+    labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(text).alias("text"))
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    size = {r["label"]: r["n"] for r in sizes}
+    languages = sorted(size)
+    if not languages:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+    below = F.create_map(*[F.lit(x) for name in languages for x in (name, SAMPLE_ROWS * 2.0**20 / size[name])])
+    sample = labelled.where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)) < below[F.col("label")])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -112,41 +141,28 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
         .agg(F.sum("n").alias("n"))
         .toPandas()  # at most BUCKETS rows for each language
     )
-    languages = sorted(counts["label"].unique())
     table = np.full((BUCKETS, len(languages)), SMOOTHING)
-    if languages:
+    if len(counts):
         table[counts["bucket"], np.searchsorted(languages, counts["label"])] += counts["n"]
-    return languages, np.log(table / table.sum(axis=0)).astype(np.float32)
+    priors = np.log(np.array([size[name] for name in languages]) / sum(size.values()))
+    return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32), priors)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``, the posterior probability."""
     prepare(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, lang_score double")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        languages, table = shipped.value
-        names = np.array([*languages, UNKNOWN], dtype=object)
+        names = np.array([*shipped.value.languages, UNKNOWN], dtype=object)
         for texts in batches:
-            named, scored = [], []
-            for part in slices(texts):
-                buckets, owner, lettered = features(part)
-                if not languages:
-                    named += [UNKNOWN] * len(part)
-                    scored += [0.0] * len(part)
-                    continue
-                total = np.stack(
-                    [np.bincount(owner, weights=table[:, k][buckets], minlength=len(part)) for k in range(len(languages))],
-                    axis=1,
-                )
-                best = total.argmax(axis=1)
-                chance = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                named += names[np.where(lettered, best, len(languages))].tolist()
-                scored += np.where(lettered, chance, 0.0).tolist()
-            yield pd.DataFrame({"lang_pred": named, "lang_score": scored})
-
-    return docs.withColumn("__guess", guess(F.col(text))).select(*docs.columns, "__guess.lang_pred", "__guess.lang_score")
+            found = [shipped.value.guess(part) for part in slices(texts)]
+            best = np.concatenate([b for b, _ in found]) if found else np.empty(0, np.int64)
+            chance = np.concatenate([c for _, c in found]) if found else np.empty(0)
+            yield pd.DataFrame({"lang_pred": names[best], "lang_score": chance})
+
+    return with_results(docs, guess(F.col(text)), ("lang_pred", "lang_score"))
 
 
 def held_out(key: str = "doc_id"):
