@@ -1,7 +1,10 @@
 """From raw documents to token files: five stages over the documents table.
 
 Each stage takes what the one before it kept.  Rows that share a ``doc_id`` count as one
-document and stay or go together; rows without one are dropped with the near duplicates.
+document and stay or go together; those without one are known by their text.  Null and
+empty texts are in no language and go; texts of any length are taken whole; of equally
+good duplicates the smallest ``doc_id`` stays.  Columns beyond those of ``documents`` pass
+through up to the last stage.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -10,25 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.llm import bpe, decontam, langid, neardup, secrets
-from tabscope.llm.shared import Scratch
+from tabscope.llm.shared import Scratch, quoted, unused
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key that every row has, and its name: the id, or a hash of the text beyond all ids."""
+    key = unused(docs, "row_key")
+    of_text = F.xxhash64("text").bitwiseAND((1 << 61) - 1).bitwiseOR(1 << 62)
+    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), of_text)), key
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language: those without text or letters."""
-    found = langid.predict(docs, langid.fit(docs))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    """Drop documents in no language, those without text or letters; ``lang`` becomes the predicted one."""
+    found = langid.predict(docs, langid.fit(docs)).where(F.col("lang_pred") != langid.UNKNOWN)
+    return found.withColumn("lang", F.col("lang_pred")).select(*map(quoted, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group that shares four fifths of its 5-word shingles."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    rows, key = keyed(docs)
+    kept = neardup.near_duplicates(rows, key=key).where("kept").select(key).distinct()
+    return rows.join(kept, key, "left_semi").select(*map(quoted, docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold benchmark items, re-parameterised ones included."""
-    found = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    rows, key = keyed(docs)
+    found = decontam.leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=key)
+    return rows.join(found.select(key).distinct(), key, "left_anti").select(*map(quoted, docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

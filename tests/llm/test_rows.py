@@ -68,6 +68,39 @@ def test_bpe_words_of_all_kinds():
     assert own.decode(np.array([own.byte_id[0xFF]], "<u4").tobytes()) == "�"
 
 
+def test_bpe_small_batches():
+    """Batches in which no word needs merging, or none is new, are encoded like others."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from tabscope.llm.bpe import Vocabulary
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path) as f:
+        text = f.read()
+    library, rng = Tokenizer.from_file(path), random.Random(4)
+    words = ["abc", "the", "hello", " world", "", "x", "qzx", "ing", " of", "zzzzqq", "é", "1", "\n"]
+    own = Vocabulary(text)
+    for n in range(10_000):
+        if n % 2000 == 0:
+            own = Vocabulary(text)
+        batch = ["".join(rng.choices(words, k=rng.randint(0, 2))) for _ in range(rng.randint(0, 2))]
+        for t, packed in zip(batch, own.encode(batch), strict=True):
+            assert np.frombuffer(packed, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    for batch in (["abc"], ["the"], ["hello world"], [None], [""], []):
+        fresh = Vocabulary(text)
+        assert fresh.encode(batch) == fresh.encode(batch)
+
+
+@pytest.mark.parametrize("text", ["abc", "hello world", "a", "", None])
+def test_bpe_one_row_tables(spark, tmp_path, text):
+    folder = corpus.write(spark, tmp_path, [(1, text, None, None, 0), (1, text, "en", "s", 0)])
+    found = queries.op1_bpe(spark, folder).collect()
+    assert len(found) == 2 and found[0] == found[1]
+    assert found[0]["decoded_sha256"] == sha((text or "").encode())
+
+
 def test_licenses_base(spark, sf):
     phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
     found = rows(queries.op2_licenses(spark, sf))
@@ -213,6 +246,48 @@ def test_langid_awkward(spark, sf):
     assert found[0]["score"] == 0.0
 
 
+def test_langid_against_plain_scoring(spark):
+    """Learned counts, priors and posteriors are those of a naive Bayes written out n-gram by n-gram."""
+    import random
+    from math import exp, log
+
+    from tabscope.llm import langid
+
+    rng = random.Random(2)
+    rows = [(k, corpus.prose(rng, 12) if k % 3 else "Ça va été où " * rng.randint(1, 4), "en" if k % 3 else "fr") for k in range(60)]
+    rows += [(100, None, "en"), (101, "no label", None), (102, "!!", "fr"), (None, "Le mot", "fr")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts, docs = {}, {}
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            docs[lang] = docs.get(lang, 0) + 1
+            own = counts.setdefault(lang, {})
+            for b in langid.features([text])[0].tolist():
+                own[b] = own.get(b, 0) + 1
+    assert model.languages == sorted(counts) == ["en", "fr"]
+    texts = ["Le mot est là", "thered onti ea", "", None, "?!", "éa"]
+    best, chance = model.guess(texts)
+    for text, b, c in zip(texts, best, chance, strict=True):
+        grams = langid.features([text])[0].tolist()
+        if not grams:
+            assert (b, c) == (-1, 0)
+            continue
+        score = []
+        for lang in model.languages:
+            total = sum(counts[lang].values()) + langid.SMOOTHING * langid.BUCKETS
+            score.append(log(docs[lang] / sum(docs.values())) + sum(log((counts[lang].get(g, 0) + langid.SMOOTHING) / total) for g in grams))
+        assert b == score.index(max(score))
+        assert c == pytest.approx(1 / sum(exp(s - max(score)) for s in score), rel=1e-3)
+
+
+def test_langid_refuses_too_many_labels(spark, monkeypatch):
+    from tabscope.llm import langid
+
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        langid.fit(spark.createDataFrame([(k, "a", str(k)) for k in range(3)], "doc_id long, text string, lang string"))
+
+
 def test_langid_rows_do_not_touch():
     from tabscope.llm.langid import features
 
