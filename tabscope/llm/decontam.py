@@ -2,19 +2,26 @@
 
 Tokens become templates: numbers, names (capitalised within a sentence) and units turn
 into typed placeholders, all others stay as lower-case literals without punctuation.
-Windows of ``WINDOW`` template tokens of the benchmark are hash-joined with those of the
-documents, which finds a question again after its numbers, names or units were changed.
-For each document and item, every place is judged: the windows near one diagonal give the
-share of the item's tokens found there, and the slots must be consistent, each value of
-the item standing for one value in the document.
+Items with one template are one class, which its smallest item stands for.  Windows of
+``WINDOW`` template tokens of the classes are hash-joined with those of the documents,
+which finds a question again after its numbers, names or units were changed.  For each
+document and class, every place is judged: the windows near one diagonal give the share of
+the item's tokens found there, and the slots must be consistent, each value of the item
+standing for one value in the document and the other way round.
+
+Template windows hold at least ``LITERALS`` literals.  What they can't tell, such as items
+of few tokens, or full of numbers and names, is found when it is there verbatim but for
+case and punctuation: windows of the plain tokens are joined in the same way, an item
+shorter than a window being one window, and all tokens of the item must be covered.
 
 A fixed-size filter of the benchmark's window hashes, whatever the benchmark's size,
-keeps the documents' other windows from the shuffle.
+keeps the documents' other windows from the shuffle; the join is salted by document, so
+that a phrase which many documents have doesn't meet in one task.
 
-Windows hold at least ``LITERALS`` literals.  Items shorter than a window are one
-window.  Null and empty texts have no windows; items without literals are never found.
-Rows that share a key count as one; a null key is not reported.  Empty tables give an
-empty table.
+Null and empty texts, and items without a token, are never found.  Texts of any length are
+taken whole.  Rows that share a key count as one; a null key is not reported; of items with
+equal words the smallest is reported.  Empty tables give an empty table; further columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -37,6 +44,8 @@ COVERED = 0.5
 CONSISTENT = 0.8
 #: Diagonals that small edits move a window by.
 DRIFT = 4
+#: Parts that a window shared by many documents is dealt to.
+SALTS = 16
 
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million"
 UNIT_WORDS = (
@@ -104,37 +113,44 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return hashed, sort, np.searchsorted(start, cuts)
 
 
-def windows_of(texts: list[str | None], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """For each text with windows: its index, their hashes, first tokens and slot values, and its tokens."""
+def windows_of(texts: list[str | None], size: int, plain: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For each text with windows: its index, their hashes, first tokens and slot values, and its tokens.
+
+    Plain windows have no slots.
+    """
     hashed, sort, first = tokens_of(texts)
-    template = np.where(sort == LITERAL, hashed, sort.astype(np.uint64))
-    whole = joined(template, size)
+    whole = joined(hashed if plain else template_of(hashed, sort), size) ^ mixed(np.array([2 * size + plain], np.uint64))
     literal = np.cumsum(np.r_[0, sort == LITERAL])
-    slots = np.where(sort == LITERAL, np.uint64(0), hashed)
+    slots = np.where(plain | (sort == LITERAL), np.uint64(0), hashed)
     for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         if b - a < size:
             continue
         at = np.arange(a, b - size + 1)
-        at = at[literal[at + size] - literal[at] >= min(LITERALS, size)]
+        if not plain:
+            at = at[literal[at + size] - literal[at] >= LITERALS]
         if len(at):
             yield k, whole[at], at - a, slots[at[:, None] + np.arange(size)], b - a
 
 
-ROWS = "key long, hash long, size int, at long, slots binary, tokens long"
+def template_of(hashed: np.ndarray, sort: np.ndarray) -> np.ndarray:
+    return np.where(sort == LITERAL, hashed, sort.astype(np.uint64))
+
+
+ROWS = "key long, hash long, size int, plain boolean, at long, slots binary, tokens long"
 
 
-def windows(rows: DataFrame, sizes: list[int], bits=None, short: bool = False) -> DataFrame:
-    """Template windows of (key, text) rows; with ``bits``, those that the filter passes.
+def windows(rows: DataFrame, kinds: list[tuple[int, bool]], bits=None, short: bool = False) -> DataFrame:
+    """Windows of (key, text) rows, for each size, plain or not; with ``bits``, those that the filter passes.
 
-    With ``short``, texts of fewer than WINDOW tokens give one window of their own size.
+    With ``short``, plain windows smaller than WINDOW are only those of texts as short.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in slices(list(zip(batch["key"], batch["text"], strict=True)), lambda r: len(r[1] or "")):
                 texts = [t for _, t in part]
-                for size in sizes:
-                    for k, hashes, at, slots, tokens in windows_of(texts, size):
+                for size, plain in kinds:
+                    for k, hashes, at, slots, tokens in windows_of(texts, size, plain):
                         if short and size < WINDOW and tokens != size:
                             continue
                         if bits is not None:
@@ -143,7 +159,7 @@ def windows(rows: DataFrame, sizes: list[int], bits=None, short: bool = False) -
                         if len(at):
                             yield pd.DataFrame(
                                 {
-                                    "key": part[k][0], "hash": hashes.view(np.int64), "size": size, "at": at,
+                                    "key": part[k][0], "hash": hashes.view(np.int64), "size": size, "plain": plain, "at": at,
                                     "slots": [s.tobytes() for s in slots], "tokens": tokens,
                                 }
                             )
@@ -151,12 +167,36 @@ def windows(rows: DataFrame, sizes: list[int], bits=None, short: bool = False) -
     return rows.mapInPandas(cut, ROWS)
 
 
+def fingerprints(items: DataFrame) -> DataFrame:
+    """Hashes of each item's template, of its slot values and of its plain tokens."""
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in slices(list(zip(batch["key"], batch["text"], strict=True)), lambda r: len(r[1] or "")):
+                hashed, sort, first = tokens_of([t for _, t in part])
+                template = template_of(hashed, sort)
+                out = []
+                for (key, text), a, b in zip(part, first[:-1], first[1:], strict=True):
+                    if b > a:
+                        out.append((key, text, folded(template[a:b]), folded(hashed[a:b][sort[a:b] != LITERAL])))
+                yield pd.DataFrame(out, columns=["key", "text", "template", "values"])
+
+    return items.mapInPandas(name, "key long, text string, template long, values long")
+
+
+def folded(numbers: np.ndarray) -> int:
+    """One number for all of a sequence."""
+    whole = joined(numbers, len(numbers)) if len(numbers) else np.zeros(1, np.uint64)
+    return int((whole ^ mixed(np.array([len(numbers)], np.uint64))).view(np.int64)[0])
+
+
 def judged(at: np.ndarray, of: np.ndarray, slots: np.ndarray, item_slots: np.ndarray, sizes: np.ndarray, tokens: int):
-    """(covered, consistent, exact, first, end) of the best place of an item in a document.
+    """(covered, consistent, values, first, end) of the best place of an item in a document.
 
     ``at`` are window places in the document, ``of`` those in the item.  Windows of one
     place lie near one diagonal; each window of the item counts once for a place, where it
     is nearest.  A consistent place goes before one that isn't, then the greater coverage.
+    ``values`` is a hash of the document's slot values if all tokens are covered, else 0.
     """
     order = np.argsort(at - of, kind="stable")
     at, of, slots, item_slots, sizes = at[order], of[order], slots[order], item_slots[order], sizes[order]
@@ -183,41 +223,51 @@ def judged(at: np.ndarray, of: np.ndarray, slots: np.ndarray, item_slots: np.nda
             # each slot once, not for each window that holds it
             once = np.unique(np.stack([slot[used], mine[used], theirs[used]]), axis=1)
             pairs, counts = np.unique(once[1:], axis=1, return_counts=True)
-            agreeing = 0
-            for value in np.unique(pairs[0]) if pairs.size else ():
-                agreeing += int(counts[pairs[0] == value].max())
             total = int(counts.sum())
-            consistent = agreeing / total if total else 1.0
+            # either value of a pair stands for one other
+            agreeing = [sum(int(counts[side == v].max()) for v in np.unique(side)) for side in pairs] if pairs.size else [0]
+            consistent = min(agreeing) / total if total else 1.0
             exact = bool((mine == theirs).all())
             rank = (share >= COVERED and consistent >= CONSISTENT, share, exact, consistent)
             if best is None or rank > best[0]:
-                best = rank, (share, consistent, exact, int(at[own].min()), int((at[own] + sizes[own]).max()))
+                _, place = np.unique(once[0], return_index=True)
+                values = folded(once[2][place]) if share == 1 else 0
+                best = rank, (share, consistent, values, int(at[own].min()), int((at[own] + sizes[own]).max()))
     return best[1]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each document and benchmark item that it holds.
+    """One row for each document and class of items with one template that it holds.
 
-    ``covered`` is the share of the item's tokens, ``consistent`` that of its slots,
-    ``exact`` whether all slot values are the item's own, ``first_token`` and
-    ``end_token`` the place in the document.
+    ``item`` is the item that the document holds word for word, else the class's smallest;
+    ``template_id`` is the class's smallest item.  ``covered`` is the share of the item's
+    tokens, ``consistent`` that of its slots, ``exact`` whether all slot values are the
+    item's own, ``first_token`` and ``end_token`` the place in the document.
     """
     prepare(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "decontam")
     items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("key"), F.col(item_text).alias("text"))
-    asked = scratch.keep(windows(items, list(range(LITERALS, WINDOW + 1)), short=True), "asked")
+    named = scratch.keep(fingerprints(items), "items")
+    # one item for each template, and for the plain windows one for each wording
+    classes = named.groupBy("template").agg(F.min_by("text", "key").alias("text"), F.min("key").alias("key"))
+    wordings = named.groupBy("template", "values").agg(F.min_by("text", "key").alias("text"), F.min("key").alias("key"))
+    of_class = windows(classes.select("key", "text"), [(WINDOW, False)])
+    plain = windows(wordings.select("key", "text"), [(n, True) for n in range(1, WINDOW + 1)], short=True)
+    asked = scratch.keep(of_class.unionByName(plain), "asked")
     bits = docs.sparkSession.sparkContext.broadcast(key_filter(asked.select(F.col("hash").bitwiseAND(FILTER_BITS - 1))))
-    sizes = [r["size"] for r in asked.select("size").distinct().collect()]  # at most WINDOW
+    kinds = [(r["size"], r["plain"]) for r in asked.select("size", "plain").distinct().collect()]  # at most WINDOW + 1
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    found = windows(rows, sizes, bits).drop("tokens")
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
+    found = windows(rows, kinds, bits).select("key", "hash", "at", "slots", salt.alias("salt"))
     wanted = asked.select(
-        "hash", "size", F.col("key").alias("item"), F.col("at").alias("of"), F.col("slots").alias("item_slots"), "tokens"
-    )
-    met = found.join(wanted, ["hash", "size"])
+        "hash", "size", "plain", F.col("key").alias("item"), F.col("at").alias("of"), F.col("slots").alias("item_slots"), "tokens",
+        F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt"),
+    )
+    met = found.join(wanted, ["hash", "salt"])
     match = F.struct("at", "of", "slots", "item_slots", "size")
-    pairs = met.groupBy("key", "item").agg(F.first("tokens").alias("tokens"), F.collect_list(match).alias("found"))
+    pairs = met.groupBy("key", "item", "plain").agg(F.first("tokens").alias("tokens"), F.collect_list(match).alias("found"))
 
-    @F.pandas_udf("covered double, consistent double, exact boolean, first_token long, end_token long")
+    @F.pandas_udf("covered double, consistent double, values long, first_token long, end_token long")
     def judge(founds: pd.Series, tokens: pd.Series) -> pd.DataFrame:
         out = []
         for found, n in zip(founds, tokens, strict=True):
@@ -226,10 +276,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
             for own, name in zip(arrays, ("slots", "item_slots"), strict=True):
                 own[:] = [np.frombuffer(x, np.uint64) for x in column(name)]
             out.append(judged(np.array(column("at")), np.array(column("of")), *arrays, np.array(column("size")), n))
-        return pd.DataFrame(out, columns=["covered", "consistent", "exact", "first_token", "end_token"])
-
+        return pd.DataFrame(out, columns=["covered", "consistent", "values", "first_token", "end_token"])
+
+    enough = F.when(F.col("plain"), F.col("j.covered") == 1).otherwise((F.col("j.covered") >= COVERED) & (F.col("j.consistent") >= CONSISTENT))
+    held = pairs.withColumn("j", judge("found", "tokens")).where(enough).select("key", "item", "plain", "j.*")
+    # the item whose own values these are
+    template = named.groupBy("template").agg(F.min("key").alias("template_id"))
+    known = named.join(template, "template").groupBy("template_id", "values").agg(F.min("key").alias("own_item"))
+    of_item = named.join(template, "template").select(F.col("key").alias("item"), "template_id").distinct()
+    judged_rows = held.join(of_item, "item").join(known, ["template_id", "values"], "left")
+    own_item = F.when(F.col("plain"), F.col("item")).otherwise(F.when(F.col("covered") == 1, F.col("own_item")))
+    # of a template and a plain match of one class, the exact one counts
+    best = F.struct(own_item.isNotNull().alias("exact"), "covered", "consistent", (-F.coalesce(own_item, "template_id")).alias("item"), "first_token", "end_token")
     return (
-        pairs.withColumn("j", judge("found", "tokens"))
-        .where((F.col("j.covered") >= COVERED) & (F.col("j.consistent") >= CONSISTENT))
-        .select(F.col("key").alias(key), F.col("item").alias(item), "j.*")
+        judged_rows.groupBy("key", "template_id")
+        .agg(F.max(best).alias("b"))
+        .select(F.col("key").alias(key), (-F.col("b.item")).alias(item), "template_id", "b.covered", "b.consistent", "b.exact", "b.first_token", "b.end_token")
     )
