@@ -156,8 +156,6 @@ def secrets_sql() -> str:
     found = []
     for k, rule in enumerate(RULES):
         pattern = rule.regex.replace("'", "''")
-        if pattern[0] == "[" and pattern.endswith("]+"):  # runs of one class: the least size goes into the pattern
-            pattern = f"{pattern[:-1]}{{{rule.least},}}"
         found.append(f"""
   SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
       'own': length(g[i]), 's': list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),

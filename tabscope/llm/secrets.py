@@ -9,9 +9,15 @@ Rules without mandatory trigrams scan every document.
 Trigrams are those of the lower-cased text, so a query never misses a match; the
 expression decides.  Offsets are code points, ends exclusive.
 
+Candidates are written before they are joined, so that the optimiser knows their size:
+few ones go to the texts, and only many make the texts move.
+
 Null and empty texts have no spans.  A null key joins like any other value; rows that
 share a key are verified each on their own text, so repeated rows give repeated
-results.  An empty table gives an empty one; other columns pass through.
+results.  Texts of any length and number of matches are taken whole, in time that grows
+with them; spans that start together are listed in the order of the rules.  An empty table
+gives an empty one.  Other columns pass through, but for one named ``spans``, which the
+result replaces.
 """
 
 from __future__ import annotations
@@ -20,9 +26,15 @@ from dataclasses import dataclass
 from re import _constants as op
 from re import _parser as parser
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabscope.llm.shared import Scratch, quoted, unused, without
+
+#: Elements of an array that are folded at once.
+CHUNK = 128
 #: Alternatives kept apart while a query is derived; beyond it a run of literals ends.
 MOST_STRINGS = 64
 
@@ -39,6 +51,9 @@ class Rule:
 
     @property
     def regex(self) -> str:
+        """What is searched for: for runs of one class, only those that are long enough."""
+        if self.pattern[0] == "[" and self.pattern.find("]") == len(self.pattern) - 2 and self.pattern[-1] == "+":
+            return f"{self.pattern[:-1]}{{{self.least},}}"
         return f"(?i){self.pattern}" if self.any_case else self.pattern
 
 
@@ -140,21 +155,40 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str, text: str) ->
         for trigram in sorted(need)
     ]
     needed = docs.sparkSession.createDataFrame(asked, "kind string, alternative int, trigram string, need long")
-    folded = docs.select(F.col(key), F.lower(F.col(text)).alias("folded"))
+    folded = docs.select(F.col(quoted(key)).alias("key"), F.lower(F.col(quoted(text))).alias("folded"))
     wanted = sorted({t for _, _, t, _ in asked})
     postings = folded.select(
-        key,
+        "key",
         F.explode(
             F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(t)), F.lit(t)) for t in wanted]))
         ).alias("trigram"),
     )
     met = (
         postings.join(F.broadcast(needed), "trigram")  # a few rows for each rule
-        .groupBy(key, "kind", "alternative", "need")
+        .groupBy("key", "kind", "alternative", "need")
         .agg(F.count_distinct("trigram").alias("held"))
         .where("held = need")
     )
-    return met.groupBy(key).agg(F.collect_set("kind").alias("rules_hit"))
+    return met.groupBy("key").agg(F.collect_set("kind").alias("rules_hit"))
+
+
+def folded_in_chunks(items: Column, start: Column, chunk_of: Callable[[Column, Column], Column], finish) -> Column:
+    """Left fold over an array, CHUNK elements at a time, so that what grows is copied once for each chunk.
+
+    ``chunk_of`` takes what was carried on (``at``) and a chunk, and gives a struct of ``at``
+    and ``out``; ``finish`` takes the last ``at`` and the array of all ``out``.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda k: F.slice(items, k * CHUNK + 1, CHUNK))
+    step = lambda s, chunk: named(chunk_of(s["at"], chunk), lambda x: F.struct(x["at"].alias("at"), F.concat(s["out"], F.array(x["out"])).alias("out")))
+    return F.aggregate(chunks, start, step, lambda s: finish(s["at"], s["out"]))
+
+
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+SPANS = "array<struct<start:int,order:int,kind:string,end:int>>"
 
 
 def spans_of(rule: Rule, order: int, text: Column) -> Column:
@@ -170,7 +204,7 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
         F.transform(matches, lambda x: F.length(x)).alias("size"),
         F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)), lambda x: F.length(x)).alias("own"),
     )
-    empty = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
+    empty = F.array().cast(SPANS)
 
     def step(so_far: Column, part: Column) -> Column:
         start = so_far["at"] + part["gap"]
@@ -183,24 +217,26 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
             F.when(part["own"] >= rule.least, F.concat(so_far["out"], F.array(span))).otherwise(so_far["out"]).alias("out"),
         )
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda x: x["out"])
+    chunk_of = lambda at, chunk: F.aggregate(chunk, F.struct(at.alias("at"), empty.alias("out")), step)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
+    return folded_in_chunks(parts, start, chunk_of, lambda _, out: F.flatten(out))
 
 
 def scan(
     docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``docs`` with ``spans``: array of (start, order, kind, end), sorted by start and kind."""
-    own = "__text"  # as the rules see it
-    hit = candidates(docs, rules, key, text).withColumnRenamed(key, "__key")
-    rows = docs.join(hit, docs[key].eqNullSafe(hit["__key"]), "left").withColumn(own, F.coalesce(F.col(text), F.lit("")))
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
-    found = []
+    own, hit_key, hit = (unused(docs, n) for n in ("own_text", "hit_key", "hit_rules"))
+    found = Scratch(docs.sparkSession, "secrets").keep(candidates(docs, rules, key, text), "candidates")
+    found = found.select(F.col("key").alias(hit_key), F.col("rules_hit").alias(hit))
+    rows = docs.join(found, F.col(quoted(key)).eqNullSafe(F.col(hit_key)), "left")
+    rows = rows.withColumn(own, F.coalesce(F.col(quoted(text)), F.lit("")))
+    none = F.array().cast(SPANS)
+    spans = []
     for order, rule in enumerate(rules):
-        spans = spans_of(rule, order, F.col(own))
-        if trigram_query(rule.pattern) != ALWAYS:
-            spans = F.when(F.array_contains("rules_hit", rule.kind), spans).otherwise(none)
-        found.append(spans)
-    return rows.withColumn("spans", F.sort_array(F.concat(*found))).drop("__key", "rules_hit", own)
+        asked = F.array_contains(hit, rule.kind) if trigram_query(rule.pattern) != ALWAYS else F.rlike(F.col(own), F.lit(rule.regex))
+        spans.append(F.when(asked, spans_of(rule, order, F.col(own))).otherwise(none))
+    return rows.select(*without(docs, "spans"), F.sort_array(F.concat(*spans)).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -211,20 +247,24 @@ def spans_text(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span (overlapping ones as one) replaced by a marker of its kind."""
 
-    def step(so_far: Column, s: Column) -> Column:
-        fresh = s["start"] >= so_far["at"]
-        piece = F.concat(
-            F.substring(text, so_far["at"] + 1, s["start"] - so_far["at"]), F.lit("["), s["kind"], F.lit("]")
-        )
-        return F.struct(
-            F.greatest(so_far["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(so_far["out"], piece)).otherwise(so_far["out"]).alias("out"),
-        )
+    def chunk_of(at: Column, chunk: Column) -> Column:
+        to = F.greatest(at, F.array_max(F.transform(chunk, lambda s: s["end"])))
+
+        def within(part: Column) -> Column:
+            def step(so_far: Column, s: Column) -> Column:
+                fresh = s["start"] >= so_far["at"]
+                piece = F.concat(F.substring(part, so_far["at"] - at + 1, s["start"] - so_far["at"]), F.lit("["), s["kind"], F.lit("]"))
+                return F.struct(
+                    F.greatest(so_far["at"], s["end"]).alias("at"),
+                    F.when(fresh, F.concat(so_far["out"], piece)).otherwise(so_far["out"]).alias("out"),
+                )
+
+            return F.aggregate(chunk, F.struct(at.alias("at"), F.lit("").alias("out")), step)
+
+        return named(F.substring(text, at + 1, to - at), within)
 
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda x: F.concat(x["out"], F.substring(text, x["at"] + 1, F.length(text))),
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    done = folded_in_chunks(
+        spans, start, chunk_of, lambda at, out: F.concat(F.array_join(out, ""), F.substring(text, at + 1, F.length(text)))
     )
     return F.when(F.size(spans) > 0, done).otherwise(text)

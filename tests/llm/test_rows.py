@@ -232,6 +232,25 @@ def test_secrets_more_rules_and_redaction(spark):
     assert sorted(r["clean"] or "" for r in found) == ["", "[assign]", "nothing", "é [private_key] x [code_host]. [assign]"]
 
 
+def test_secrets_many_matches(spark):
+    """Thousands of matches in one text are listed and redacted as plain Python does."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tabscope.llm.secrets import redacted, scan
+
+    text = " ".join(f"é{k} token=abc{k:06d} x" for k in range(20_000))
+    data = spark.createDataFrame([(1, text), (2, "token=abc123 " * 300)], "doc_id long, text string")
+    began = time.perf_counter()
+    found = rows(scan(data).withColumn("clean", redacted(F.col("text"), F.col("spans"))))
+    assert time.perf_counter() - began < 60
+    for key, own in ((1, text), (2, "token=abc123 " * 300)):
+        pattern = re.compile(BASE_RULES[0].pattern, re.I | re.A)
+        assert [(s["start"], s["end"]) for s in found[key]["spans"]] == [m.span() for m in pattern.finditer(own)]
+        assert found[key]["clean"] == pattern.sub("[assign]", own)
+
+
 def test_langid(spark, tables):
     found = queries.op4_langid(spark, tables).toPandas()
     truth = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "lang").toPandas()
