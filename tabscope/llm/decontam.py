@@ -113,23 +113,23 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return hashed, sort, np.searchsorted(start, cuts)
 
 
-def windows_of(texts: list[str | None], size: int, plain: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """For each text with windows: its index, their hashes, first tokens and slot values, and its tokens.
+def windows_of(tokens: tuple[np.ndarray, np.ndarray, np.ndarray], size: int, plain: bool, bits: np.ndarray | None = None):
+    """(text, hash, first token, slot values) of all windows, one row for each; with ``bits``, of those that it passes.
 
     Plain windows have no slots.
     """
-    hashed, sort, first = tokens_of(texts)
+    hashed, sort, first = tokens
     whole = joined(hashed if plain else template_of(hashed, sort), size) ^ mixed(np.array([2 * size + plain], np.uint64))
-    literal = np.cumsum(np.r_[0, sort == LITERAL])
+    fine = np.ones(len(whole), bool) if bits is None else passing(bits, (whole & np.uint64(FILTER_BITS - 1)).astype(np.int64))
+    if not plain:
+        literal = np.cumsum(np.r_[0, sort == LITERAL])
+        fine &= literal[size:][: len(whole)] - literal[: len(whole)] >= LITERALS
+    at = np.flatnonzero(fine)
+    text = np.searchsorted(first, at, side="right") - 1
+    inside = at + size <= first[text + 1]
+    at, text = at[inside], text[inside]
     slots = np.where(plain | (sort == LITERAL), np.uint64(0), hashed)
-    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-        if b - a < size:
-            continue
-        at = np.arange(a, b - size + 1)
-        if not plain:
-            at = at[literal[at + size] - literal[at] >= LITERALS]
-        if len(at):
-            yield k, whole[at], at - a, slots[at[:, None] + np.arange(size)], b - a
+    return text, whole[at], at - first[text], slots[at[:, None] + np.arange(size)]
 
 
 def template_of(hashed: np.ndarray, sort: np.ndarray) -> np.ndarray:
@@ -148,21 +148,21 @@ def windows(rows: DataFrame, kinds: list[tuple[int, bool]], bits=None, short: bo
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in slices(list(zip(batch["key"], batch["text"], strict=True)), lambda r: len(r[1] or "")):
-                texts = [t for _, t in part]
+                keys = np.array([k for k, _ in part], np.int64)
+                tokens = tokens_of([t for _, t in part])
+                sizes = np.diff(tokens[2])
                 for size, plain in kinds:
-                    for k, hashes, at, slots, tokens in windows_of(texts, size, plain):
-                        if short and size < WINDOW and tokens != size:
-                            continue
-                        if bits is not None:
-                            hit = passing(bits.value, (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64))
-                            hashes, at, slots = hashes[hit], at[hit], slots[hit]
-                        if len(at):
-                            yield pd.DataFrame(
-                                {
-                                    "key": part[k][0], "hash": hashes.view(np.int64), "size": size, "plain": plain, "at": at,
-                                    "slots": [s.tobytes() for s in slots], "tokens": tokens,
-                                }
-                            )
+                    text, hashes, at, slots = windows_of(tokens, size, plain, None if bits is None else bits.value)
+                    if short and size < WINDOW:
+                        own = sizes[text] == size
+                        text, hashes, at, slots = text[own], hashes[own], at[own], slots[own]
+                    if len(at):
+                        yield pd.DataFrame(
+                            {
+                                "key": keys[text], "hash": hashes.view(np.int64), "size": size, "plain": plain, "at": at,
+                                "slots": [s.tobytes() for s in slots], "tokens": sizes[text],
+                            }
+                        )
 
     return rows.mapInPandas(cut, ROWS)
 

@@ -162,7 +162,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             chance = np.concatenate([c for _, c in found]) if found else np.empty(0)
             yield pd.DataFrame({"lang_pred": names[best], "lang_score": chance})
 
-    return with_results(docs, guess(F.col(text)), ("lang_pred", "lang_score"))
+    # so that a filter on the result doesn't ask for it a second time
+    return with_results(docs, guess.asNondeterministic()(F.col(text)), ("lang_pred", "lang_score"))
 
 
 def held_out(key: str = "doc_id"):
