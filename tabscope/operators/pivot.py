@@ -109,9 +109,15 @@ def tidy_frame(df: DataFrame, dimensions: Sequence[str], value: str | None, how:
 
 
 def column_label(columns: Sequence[str]) -> Column:
-    part = lambda c: F.coalesce(quoted(c).cast("string"), F.lit(MISSING_LABEL))
-    escaped = [F.replace(F.replace(part(c), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for c in columns]
-    return F.concat_ws("|", *escaped) if len(columns) > 1 else part(columns[0])
+    """The values of a column group; a text that reads as the label of missing values gets a backslash."""
+
+    def part(c: str) -> Column:
+        text = quoted(c).cast("string")
+        if len(columns) > 1:
+            text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        return F.when(text.rlike(r"^\\*\(missing\)$"), F.concat(F.lit("\\"), text)).otherwise(F.coalesce(text, F.lit(MISSING_LABEL)))
+
+    return F.concat_ws("|", *[part(c) for c in columns])
 
 
 def matrix_frame(tidy: DataFrame, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -264,3 +264,24 @@ def test_streaming_buckets(spark, tmp_path):
 
 def test_shared_places_of_the_source(spark):
     assert with_ordinal(with_ordinal(spark.range(3))).agg(F.count_distinct("_ordinal")).first()[0] == 3
+
+
+def test_pivot_keeps_missing_apart_from_its_label(spark):
+    """A text that reads as the label of missing values has a column of its own."""
+    df = spark.createDataFrame([("a", None, 1), ("a", "(missing)", 10), ("a", "\\(missing)", 100)], "g string, c string, v int")
+    r = pivot.build_pivot_table(df, ["g"], ["c"], value_column="v", aggregation="sum", include_missing_dimensions=True)
+    assert sorted(r.table.collect()[0][1:]) == [1, 10, 100]
+
+
+def test_streaming_weeks_in_append_mode(spark, tmp_path):
+    """Weeks start on Monday and are given out once the watermark has passed them."""
+    from tabscope.streaming.buckets import streaming_buckets
+
+    days = [(datetime(2026, 1, 1), 1.0), (datetime(2026, 1, 4, 23), 3.0), (datetime(2026, 1, 5), 5.0), (datetime(2026, 2, 1), 7.0)]
+    rows = spark.createDataFrame(days, "ts timestamp, v double")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = streaming_buckets(stream, "ts", "v", "week").writeStream.format("memory").queryName("weeks").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(tuple(r) for r in spark.table("weeks").collect()) == [(datetime(2025, 12, 29), 2.0, 2), (datetime(2026, 1, 5), 5.0, 1)]
