@@ -4,16 +4,20 @@
 each language and source, the minimum covariance determinant of the transformed
 statistics and rejects rows at a large Mahalanobis distance from it.
 
-The estimate takes the ``COVER`` share of a group's rows that lie closest together.
-From medians and spreads, concentration steps follow: estimate mean and covariance of
-the closest rows, measure all rows anew, take the closest again.  "Closest" is read off
-a histogram of distances, so a group needs one small row for each step of distance and
-never meets in one task.  Groups of fewer than ``LEAST_ROWS`` rows use the estimate of
+The estimate takes the ``COVER`` share of a group's rows whose covariance has the least
+determinant.  From two starts, medians with spreads and the plain mean with covariance,
+concentration steps follow: estimate mean and covariance of the closest rows, measure all
+rows anew, take the closest again, which never raises the determinant; of both ends the
+one with the smaller determinant stays.  "Closest" is read off a histogram of distances,
+so a group needs one small row for each step of distance and never meets in one task.
+Groups of fewer than ``LEAST_ROWS`` rows use the estimate of
 their language, then that of all rows; without any of these nothing is rejected.
 
 Null and empty texts have no words and fail the base rule.  Null languages or sources
-count as empty ones.  Repeated rows weigh as often as they occur; an empty table gives
-an empty one; other columns pass through.
+count as empty ones.  Repeated rows weigh as often as they occur, and rows at one distance
+count alike; texts of any length are taken whole.  An empty table gives an empty one.
+``text_statistics`` passes other columns through, but for those with the name of a result,
+which it replaces; ``judged`` returns the key and its results only.
 """
 
 from __future__ import annotations
@@ -178,20 +182,32 @@ def robust_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
         ),
         "sizes",
     )
-    first = reduce(
+    spread = reduce(
         lambda x, y: x + y,
         [
             ((F.col(a) - F.col(f"q_{a}")[1]) / F.greatest((F.col(f"q_{a}")[2] - F.col(f"q_{a}")[0]) / 1.35, F.lit(SPREADS[a]))) ** 2
             for a in names
         ],
     )
-    measured = rows.join(sizes, "g").withColumn("d2", first)
+    plain = scratch.keep(factored(moments_of(rows)), "plain")
+    starts = {"median": rows.join(sizes, "g").withColumn("d2", spread), "plain": distance(rows.join(plain, "g"))}
+    ends = [concentrated(rows, measured, scratch, name) for name, measured in starts.items()]
+    every = reduce(lambda x, y: x.unionByName(y), ends)
+    # the product of the factor's diagonal is the root of the determinant
+    size = reduce(lambda x, y: x + y, [F.log(f"l_{a}_{a}") for a in names])
+    own = [c for c in every.columns if c != "g"]
+    best = every.groupBy("g").agg(F.min_by(F.struct(*own), F.struct(size.alias("size"), *own)).alias("e")).select("g", "e.*")
+    return best.drop("n").join(sizes.select("g", "rows"), "g").where(F.col("rows") >= LEAST_ROWS)
+
+
+def concentrated(rows: DataFrame, measured: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Estimates after STEPS concentration steps from rows with a first distance ``d2``."""
     for step in range(STEPS):
-        limit = scratch.keep(limits(measured), f"limit{step}")
+        limit = scratch.keep(limits(measured), f"{name}-limit{step}")
         closest = measured.join(limit, "g").where(histogram_step() <= F.col("most"))
-        estimate = scratch.keep(factored(moments_of(closest)), f"estimate{step}")
+        estimate = scratch.keep(factored(moments_of(closest)), f"{name}-estimate{step}")
         measured = distance(rows.join(estimate, "g"))
-    return estimate.drop("n").join(sizes.select("g", "rows"), "g").where(F.col("rows") >= LEAST_ROWS)
+    return estimate
 
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
