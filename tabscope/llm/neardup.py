@@ -18,8 +18,10 @@ confirmed.  Links of the first step are confirmed on full sets as well.
 
 Documents with fewer words than a shingle have their whole sequence as the only
 shingle.  Documents without words, null or empty, link with nothing.  Rows that share a
-key count as one document with both texts.  A null key is never linked nor kept.  An
-empty table gives an empty one.
+key count as one document with both texts.  A null key is never linked nor kept.  Texts of
+any length are taken whole; of a component the smallest key stays.  An empty table gives an
+empty one; further columns aren't read.  Thresholds so low that ``POSTED`` coordinates
+can't keep the miss are refused.
 """
 
 from __future__ import annotations
@@ -84,7 +86,10 @@ class Likeness:
     def prefix(self, shared: int) -> int:
         """Coordinates of which such a pair shares so many, but for a chance of MISS."""
         p = self.percent / 100
-        return next(n for n in range(shared, POSTED + 1) if below(n, p, shared) <= MISS or n == POSTED)
+        found = next((n for n in range(shared, POSTED + 1) if below(n, p, shared) <= MISS), None)
+        if found is None:
+            raise ValueError(f"{POSTED} posted coordinates don't find pairs at {self.percent} percent with a miss of {MISS}")
+        return found
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:

@@ -91,6 +91,11 @@ def test_miss_bound():
         assert all(neardup.below(like.prefix(r), p, r) <= neardup.MISS for r in (1, 2))
 
 
+def test_low_thresholds_are_refused():
+    with pytest.raises(ValueError, match="coordinates"):
+        neardup.Likeness(3, 30).prefix(1)
+
+
 def test_intersections(monkeypatch):
     import numpy as np
 

@@ -355,3 +355,59 @@ def test_langid_rows_do_not_touch():
 @pytest.mark.parametrize("name", ["op1_bpe", "op2_licenses", "op4_langid", "op5_quality", "op10_secrets"])
 def test_empty_table(spark, empty, name):
     assert queries.QUERIES[name](spark, empty).collect() == []
+
+
+NAMES = "token_ids n_tokens decoded n_words spans found found_ lang_pred lang_score own_text hit_key hit_rules rules_hit key label draw"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """A row whose further columns have the names of results and of what the operators use within."""
+    names = NAMES.split()
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in [*names, "a.b"])
+    rows = [(1, "token=abcdef12 released under the mit license", "en", "s", *["old"] * (len(names) + 1)), (None, None, None, None, *[None] * (len(names) + 1))]
+    return spark.createDataFrame(rows, schema)
+
+
+def operators():
+    from tabscope.llm import bpe, langid, licenses, secrets
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return {
+        "bpe": (lambda d: bpe.encode_documents(d, path), ("token_ids", "n_tokens", "decoded")),
+        "licenses": (licenses.scan, ("n_words", "spans")),
+        "langid": (lambda d: langid.predict(d, langid.fit(d)), ("lang_pred", "lang_score")),
+        "secrets": (secrets.scan, ("spans",)),
+    }
+
+
+@pytest.mark.parametrize("name", ["bpe", "licenses", "langid", "secrets"])
+def test_clashing_columns(clashing, name):
+    """Columns with the name of a result give way to it, all others pass through."""
+    apply, results = operators()[name]
+    found = apply(clashing)
+    assert found.columns == [c for c in clashing.columns if c not in results] + list(results)
+    row = found.where("doc_id = 1").first()
+    assert all(row[c] == "old" for c in [*NAMES.split(), "a.b"] if c not in results)
+    assert all(row[c] != "old" for c in results)
+    assert found.count() == 2
+
+
+def test_quality_estimate_is_the_smaller_one(spark):
+    """On a small group the estimate's determinant is near the least of all covers, which plain search finds."""
+    from itertools import combinations
+
+    from tabscope.llm import quality
+    from tabscope.llm.shared import Scratch
+
+    rng = np.random.default_rng(3)
+    names = list(quality.SPREADS)
+    data = np.vstack([rng.normal(0, 1, (9, 5)), rng.normal(25, 0.5, (3, 5))])
+    repeated = np.repeat(data, 10, axis=0)  # a group of 120 rows
+    table = spark.createDataFrame([("g", *map(float, x)) for x in repeated], ["g", *names])
+    e = quality.robust_estimates(table, Scratch(spark, "test")).collect()[0]
+    found = 2 * sum(np.log(e[f"l_{a}_{a}"]) for a in names)
+    floor = np.diag([quality.SPREADS[a] ** 2 for a in names])
+    cover = [quality.CONSISTENCY * np.cov(data[list(c)].T, bias=True) + floor for c in combinations(range(12), 9)]
+    assert found <= min(np.linalg.slogdet(c)[1] for c in cover) + 1.0
+    assert abs(e["m_s_length"]) < 2
