@@ -190,26 +190,23 @@ def robust_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
         ],
     )
     plain = scratch.keep(factored(moments_of(rows)), "plain")
-    starts = {"median": rows.join(sizes, "g").withColumn("d2", spread), "plain": distance(rows.join(plain, "g"))}
-    ends = [concentrated(rows, measured, scratch, name) for name, measured in starts.items()]
-    every = reduce(lambda x, y: x.unionByName(y), ends)
+    # both starts go on side by side, as groups of their own
+    from_ = lambda name: F.struct(F.lit(name).alias("start"), F.col("g").alias("own")).alias("g")
+    median = rows.join(sizes, "g").withColumn("d2", spread).select(from_("median"), *names, "d2")
+    measured = median.unionByName(distance(rows.join(plain, "g")).select(from_("plain"), *names, "d2"))
+    both = rows.select(from_("median"), *names).unionByName(rows.select(from_("plain"), *names))
+    for step in range(STEPS):
+        limit = scratch.keep(limits(measured), f"limit{step}")
+        closest = measured.join(limit, "g").where(histogram_step() <= F.col("most"))
+        estimate = scratch.keep(factored(moments_of(closest)), f"estimate{step}")
+        measured = distance(both.join(estimate, "g"))
     # the product of the factor's diagonal is the root of the determinant
     size = reduce(lambda x, y: x + y, [F.log(f"l_{a}_{a}") for a in names])
-    own = [c for c in every.columns if c != "g"]
-    best = every.groupBy("g").agg(F.min_by(F.struct(*own), F.struct(size.alias("size"), *own)).alias("e")).select("g", "e.*")
+    own = [c for c in estimate.columns if c != "g"]
+    best = estimate.groupBy(F.col("g.own").alias("g")).agg(F.min_by(F.struct(*own), F.struct(size.alias("size"), *own)).alias("e")).select("g", "e.*")
     return best.drop("n").join(sizes.select("g", "rows"), "g").where(F.col("rows") >= LEAST_ROWS)
 
 
-def concentrated(rows: DataFrame, measured: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Estimates after STEPS concentration steps from rows with a first distance ``d2``."""
-    for step in range(STEPS):
-        limit = scratch.keep(limits(measured), f"{name}-limit{step}")
-        closest = measured.join(limit, "g").where(histogram_step() <= F.col("most"))
-        estimate = scratch.keep(factored(moments_of(closest)), f"{name}-estimate{step}")
-        measured = distance(rows.join(estimate, "g"))
-    return estimate
-
-
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """One row for each document: its key, the statistics, base_failed, distance2 and kept."""
     scratch = Scratch(docs.sparkSession, "quality")
