@@ -1,7 +1,9 @@
 """Schema, quality, profiles, exploration and transformations on literal tables."""
 
-from datetime import datetime, time
+from datetime import datetime, time, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,74 +39,107 @@ def codes(df, **limits):
     return [str(i.code) for i in quality.analyze_data_quality(df, **limits).issues]
 
 
-def test_schema_mixed(spark):
+def test_schema_of_generated_columns(spark):
+    """Columns drawn to fall on either side of each limit."""
+    rng = np.random.default_rng(4)
+    n = 240
+    drawn = pd.DataFrame(
+        {
+            "parcel_uuid": [f"{k:x}-{k * 7919:x}" for k in rng.permutation(n)],
+            "fragile": rng.random(n) < 0.3,
+            "crates": rng.integers(1, 19, n),
+            "kilos": np.round(rng.gamma(3, 4, n), 3),
+            "depot": rng.choice(["quay", "hangar", "yard", "annex", "silo"], n),
+            "remark": [f"seal {k} of lot {k % 11}" for k in range(n)],
+            "lane": rng.choice(["left", "right"], n),
+        }
+    )
     df = make(
-        spark, "customer_id string, is_active boolean, quantity bigint, revenue double, city string, customer_name string",
-        ("C001", True, 1, 10.5, "Delhi", "Ann"), ("C002", False, 2, 20.25, "Mumbai", "Bob"),
-        ("C003", True, 3, 15.75, "Delhi", "Cid"), ("C004", False, 2, 50.1, "Bengaluru", "Dee"),
+        spark, "parcel_uuid string, fragile boolean, crates long, kilos double, depot string, remark string, lane string",
+        *[(u, bool(f), int(c), float(k), str(d), m, str(e)) for u, f, c, k, d, m, e in drawn.itertuples(index=False)],
     )
-    assert [k for k, *_ in kinds(df)] == ["identifier", "binary", "numeric_discrete", "numeric_continuous", "categorical", "text"]
+    found = schema.infer_schema(df)
+    assert [str(c.semantic_type) for c in found.columns] == ["identifier", "binary", "numeric_discrete", "numeric_continuous", "categorical", "text", "binary"]
+    assert [c.unique_count for c in found.columns] == drawn.nunique().tolist()
+    assert (found.row_count, found.column_count) == drawn.shape
 
 
 @pytest.mark.parametrize(
-    ("values", "expected"),
+    ("pattern", "first", "step", "expected"),
     [
-        (["2026-01-01", "2026-01-02", "2026-01-03", "2026-01-04"], ("datetime", "%Y-%m-%d", 1.0)),
-        (["10/03/2004", "13/03/2004", "31/03/2004"], ("datetime", "%d/%m/%Y", 1.0)),
-        (["18.00.00", "19.00.00", "20.00.00"], ("time", "%H.%M.%S", 1.0)),
-        (["01/02/2026", "02/03/2026", "03/04/2026"], ("datetime", None, 0.60)),
-        (["7578;;", "7255;;", "7502;;"], ("text", None, 0.75)),
-        (["0000-01-01", "1500-01-01", "9999-01-01"], ("text", None, 0.75)),
-        (["2026-001-01", "2026-1-1x", "001/02/2026"], ("text", None, 0.75)),
-        (["2026-1-2", "2026-01-02 ", "31/02/2026", "2026-01-05", "2026-01-06", "2026-02-01"], ("text", None, 0.75)),
+        ("%Y-%m-%d", datetime(1987, 5, 20), timedelta(days=9), ("datetime", "%Y-%m-%d", 1.0)),
+        ("%d/%m/%Y", datetime(1987, 5, 20), timedelta(days=9), ("datetime", "%d/%m/%Y", 1.0)),
+        ("%H.%M.%S", datetime(1987, 5, 20, 6, 2, 41), timedelta(minutes=47), ("time", "%H.%M.%S", 1.0)),
+        ("%d/%m/%Y", datetime(1987, 1, 1), timedelta(days=31 + 1), ("datetime", None, 0.60)),  # days stay below 13
+        ("ref %d of %Y;", datetime(1987, 5, 20), timedelta(days=9), ("text", None, 0.75)),
+        ("%Y-%j-%d", datetime(1987, 5, 20), timedelta(days=9), ("text", None, 0.75)),
     ],
 )
-def test_schema_formats(spark, values, expected):
-    assert kinds(column(spark, "d", "string", *values)) == [expected]
+def test_schema_formats(spark, pattern, first, step, expected):
+    values = [(first + k * step).strftime(pattern) for k in range(6)]
+    assert kinds(column(spark, "stamp", "string", *values)) == [expected]
+
+
+@pytest.mark.parametrize(("bad", "told"), [(0, 1.0), (1, 0.9), (2, 0.8), (3, None)])
+def test_schema_formats_need_four_fifths(spark, bad, told):
+    days = [(datetime(1991, 8, 14) + timedelta(days=5 * k)).strftime("%Y-%m-%d") for k in range(10 - bad)]
+    odd = [f"{1991 + k}-02-30" for k in range(bad)]
+    ((kind, form, sure),) = kinds(column(spark, "stamp", "string", *days, *odd))
+    assert (kind, form, sure) == (("datetime", "%Y-%m-%d", told) if told else ("text", None, 0.75))
 
 
 def test_schema_numbers_and_gaps(spark):
-    assert kinds(column(spark, "x", "bigint", 0, 1, 0, 1, 1))[0][0] == "binary"
-    assert kinds(column(spark, "sensor", "double", *map(float, range(100))))[0] == ("numeric_continuous", None, 0.80)
-    assert kinds(column(spark, "x", "double", 1.0, INF, 2.0, 3.0))[0][0] == "numeric_continuous"
-    assert kinds(column(spark, "x", "timestamp_ntz", datetime(2026, 1, 1), None))[0] == ("datetime", None, 1.0)
-    assert kinds(make(spark, "x array<int>", ([1],), ([2],)))[0] == ("unknown", None, 0.50)
-    empty = schema.infer_schema(column(spark, "x", "string", None, None, None)).columns[0]
-    assert (empty.semantic_type, empty.missing_count, empty.missing_ratio) == (SemanticType.UNKNOWN, 3, 1.0)
-    city = schema.infer_schema(column(spark, "city", "string", "Delhi", "Delhi", "Mumbai", None)).columns[0]
-    assert (city.unique_count, city.missing_count, city.missing_ratio) == (2, 1, 0.25)
-    nans = schema.infer_schema(column(spark, "x", "double", 1.0, NAN, None, 2.5)).columns[0]
-    assert (nans.missing_count, nans.unique_count) == (2, 2)
+    one = lambda kind, *values: kinds(column(spark, "depth", kind, *values))[0]
+    assert one("bigint", 7, 3, 3, 7)[0] == "binary"
+    assert one("double", *[k * 4.0 for k in range(51)]) == ("numeric_continuous", None, 0.80)
+    assert one("double", *[k % 20 * 4.0 for k in range(60)]) == ("numeric_discrete", None, 0.85)
+    assert one("double", 8.0, -INF, 6.0, 9.0)[0] == "numeric_continuous"
+    assert one("timestamp_ntz", None, datetime(1969, 7, 20, 20, 17)) == ("datetime", None, 1.0)
+    assert one("map<string,int>", {"k": 1}, {"k": 2}) == ("unknown", None, 0.50)
+    void = schema.infer_schema(column(spark, "depth", "double", NAN, None, NAN, None)).columns[0]
+    assert (void.semantic_type, void.missing_count, void.missing_ratio) == (SemanticType.UNKNOWN, 4, 1.0)
+    gaps = schema.infer_schema(column(spark, "depth", "double", 6.5, None, 6.5, NAN, 0.25, 6.5, 1.5, None)).columns[0]
+    assert (gaps.unique_count, gaps.missing_count, gaps.missing_ratio) == (3, 3, 0.375)
 
 
 def test_quality_rows(spark):
-    r = quality.analyze_data_quality(make(spark, "a double, b string", (1.0, "x"), (None, "y"), (3.0, None), (NAN, "z")))
-    assert (r.missing_cell_count, r.missing_cell_ratio) == (3, 3 / 8)
-    r = quality.analyze_data_quality(make(spark, "name string, score int", ("Alice", 10), ("Bob", 20), ("Alice", 10)))
-    assert (r.duplicate_row_count, r.duplicate_row_ratio) == (1, 1 / 3)
-    r = quality.analyze_data_quality(make(spark, "a double, b string", (1.0, "x"), (2.0, "y"), (None, None), (NAN, None)))
-    assert (r.all_missing_row_count, r.all_missing_row_ratio, r.duplicate_row_count) == (2, 0.5, 0)
-    assert r.issues[0].message == "2 completely empty row(s) detected (50.0% of rows)."
+    """Missing cells, empty rows and repeats of drawn tables, against pandas."""
+    rng = np.random.default_rng(12)
+    for n in (1, 9, 60):
+        drawn = pd.DataFrame({"reed": rng.choice([0.5, 2.5, np.nan], n), "key": rng.choice(["c", "d", None], n), "bars": rng.choice([8.0, np.nan], n)})
+        rows = [tuple(None if isinstance(x, float) and x != x and j != 0 else x for j, x in enumerate(r)) for r in drawn.itertuples(index=False)]
+        r = quality.analyze_data_quality(make(spark, "reed double, key string, bars double", *rows))
+        gaps, empty = drawn.isna(), drawn.isna().all(axis=1)
+        assert (r.missing_cell_count, r.missing_cell_ratio) == (gaps.sum().sum(), gaps.sum().sum() / (3 * n))
+        assert (r.all_missing_row_count, r.all_missing_row_ratio) == (empty.sum(), empty.mean())
+        again = drawn[~empty].duplicated()
+        assert (r.duplicate_row_count, r.duplicate_row_ratio) == (again.sum(), again.mean() if len(again) else 0)  # of populated rows
+    (said,) = [i.message for i in r.issues if "empty row" in i.message]
+    assert said.startswith(f"{empty.sum()} completely empty row(s)")
 
 
 def test_quality_columns(spark):
-    assert codes(make(spark, "empty_column string, value int", (None, 1), (None, 2), (None, 3))) == ["all_missing", ]
-    assert codes(make(spark, "value int, `Unnamed: 2` string", (1, None), (2, None), (3, None))) == ["structural_empty_column"]
-    assert "constant" in codes(column(spark, "country", "string", *["India"] * 4))
-    assert "high_missingness" in codes(column(spark, "value", "int", 10, None, None, None, 50), high_missingness_threshold=0.5)
-    assert codes(column(spark, "customer_id", "string", *[f"C{k}" for k in range(5)])) == ["probable_identifier"]
-    assert codes(column(spark, "description", "string", *[f"text {k}" for k in range(30)])) == ["high_cardinality"]
-    infinite = quality.analyze_data_quality(column(spark, "value", "double", 1.0, 2.0, INF, -INF, 5.0)).issues
-    assert [(i.code, i.affected_count) for i in infinite] == [(QualityIssueCode.NON_FINITE_VALUES, 2)]
+    void = make(spark, "moor string, `Unnamed: 3` string, peat int", *[(None, None, k * k) for k in range(7)])
+    assert codes(void) == ["all_missing", "structural_empty_column"]
+    assert "constant" in codes(column(spark, "harbour", "double", 0.75, NAN, 0.75))
+    for gaps, limit, told in ((5, 0.5, True), (4, 0.5, False), (4, 0.4, True)):
+        values = [None] * gaps + [11 + k % 2 for k in range(10 - gaps)]
+        assert ("high_missingness" in codes(column(spark, "ebb", "int", *values), high_missingness_threshold=limit)) is told
+    assert codes(column(spark, "vessel_key", "string", *[f"{k:03}/W" for k in range(12)])) == ["probable_identifier"]
+    assert codes(column(spark, "logbook", "string", *[f"wind {k} knots" for k in range(64)])) == ["high_cardinality"]
+    infinite = quality.analyze_data_quality(column(spark, "swell", "double", INF, 0.5, INF, 3.5, -INF, 2.5, 1.5)).issues
+    assert [(i.code, i.affected_count) for i in infinite] == [(QualityIssueCode.NON_FINITE_VALUES, 3)]
 
 
 def test_quality_sentinel(spark):
-    values = [-200.0] * 10 + [10.1, 10.3, 10.5, 10.8, 11.0, 11.2, 11.5, 11.8, 12.0, 12.3]
-    df = column(spark, "sensor", "double", *values)
+    rng = np.random.default_rng(8)
+    rest = np.round(rng.normal(42, 3, 36), 2)
+    df = column(spark, "salinity", "double", *[999.0] * 14, *map(float, rest))
     (issue,) = [i for i in quality.analyze_data_quality(df).issues if i.column]
-    assert (issue.code, issue.observed_value, issue.affected_count, issue.affected_ratio) == (QualityIssueCode.POSSIBLE_SENTINEL, -200.0, 10, 0.5)
-    scores = quality.sentinel_scores(df, [("sensor", -200.0)]).first()
-    assert scores["score"] == pytest.approx(219.0538451)
+    assert (issue.code, issue.observed_value, issue.affected_count, issue.affected_ratio) == (QualityIssueCode.POSSIBLE_SENTINEL, 999.0, 14, 0.28)
+    middle = np.median(rest)
+    own = abs(999 - middle) / (1.4826 * np.median(abs(rest - middle)))
+    assert quality.sentinel_scores(df, [("salinity", 999.0)]).first()["score"] == pytest.approx(own)
 
 
 @pytest.mark.parametrize("limits", [{"high_missingness_threshold": -0.1}, {"high_missingness_threshold": 1.1}, {"high_cardinality_ratio": 1.1}, {"high_cardinality_min_unique": 0}])
@@ -115,18 +150,19 @@ def test_quality_limits(spark, limits):
 
 def test_profiles(spark):
     one = lambda df: profile.profile_dataset(df).columns[0]
-    n = one(column(spark, "revenue", "double", 10.5, 20.25, 30.75, None)).numeric
-    assert (n.count, n.mean, n.median, n.minimum, n.maximum) == (3, 20.5, 20.25, 10.5, 30.75)
-    assert n.standard_deviation == pytest.approx(10.1273145503)
-    c = one(column(spark, "city", "string", *["Delhi"] * 3, "Mumbai", "Bengaluru")).categorical
-    assert (c.count, c.unique_count, c.most_frequent_value, c.most_frequent_count) == (5, 3, "Delhi", 3)
-    t = one(column(spark, "Time", "string", "18.00.00", "01.00.00", "23.00.00")).time
-    assert (t.earliest, t.latest) == (time(1), time(23))
-    d = one(column(spark, "Date", "string", "01/02/2026", "02/03/2026", "03/04/2026")).datetime
-    assert (d.count, d.earliest, d.latest) == (3, None, None)
-    d = one(column(spark, "Date", "string", "10/03/2004", "13/03/2004", "31/03/2004")).datetime
-    assert (d.earliest, d.latest) == (datetime(2004, 3, 10), datetime(2004, 3, 31))
-    nothing = one(column(spark, "empty", "string", None, None))
+    drawn = np.round(np.random.default_rng(2).normal(5, 2, 41), 3)
+    n = one(column(spark, "loaf", "double", *map(float, drawn), None, NAN)).numeric
+    assert (n.count, n.minimum, n.maximum, n.median) == (41, drawn.min(), drawn.max(), np.median(drawn))
+    assert (n.mean, n.standard_deviation) == pytest.approx((drawn.mean(), drawn.std(ddof=1)))
+    c = one(column(spark, "grain", "string", "rye", "oat", *["spelt"] * 4, "oat", None, "rye", "rye")).categorical
+    assert (c.count, c.unique_count, c.most_frequent_value, c.most_frequent_count) == (9, 3, "spelt", 4)
+    t = one(column(spark, "baked", "string", "05.40.10", "21.15.00", "04.59.59", "13.00.30")).time
+    assert (t.earliest, t.latest) == (time(4, 59, 59), time(21, 15))
+    d = one(column(spark, "sold", "string", "07/08/1999", "09/10/1999", "11/12/1999")).datetime
+    assert (d.count, d.earliest, d.latest) == (3, None, None)  # which is the day isn't known
+    d = one(column(spark, "sold", "string", "28/11/1999", "07/08/1999", "30/01/1998")).datetime
+    assert (d.earliest, d.latest) == (datetime(1998, 1, 30), datetime(1999, 11, 28))
+    nothing = one(column(spark, "crumb", "string", *[None] * 5))
     assert (nothing.numeric, nothing.categorical, nothing.datetime, nothing.time) == (None,) * 4
 
 
@@ -135,26 +171,33 @@ def plan(*operations):
 
 
 def test_transformations(spark):
-    df = make(spark, "a double, b string", (1.0, "x"), (None, None), (3.0, "z"), (NAN, None))
+    """A drawn table through each operation, against pandas."""
+    rng = np.random.default_rng(21)
+    drawn = pd.DataFrame({"up": rng.choice([9.0, 4.0, np.nan], 50), "down": rng.choice([9.0, 1.5, np.nan], 50)})
+    df = make(spark, "up double, down double", *[tuple(map(float, r)) for r in drawn.itertuples(index=False)])
+    empty = int(drawn.isna().all(axis=1).sum())
     r = transform.apply_transformation_plan(df, plan(RemoveEmptyRows()))
-    assert (r.original_shape, r.final_shape, r.log[0].affected_rows, r.log[0].affected_cells) == ((4, 2), (2, 2), 2, 4)
-    r = transform.apply_transformation_plan(df, plan(DropColumns(("b",))))
-    assert (r.final_shape, r.data.columns, r.log[0].message) == ((4, 1), ["a"], "Dropped column(s): b.")
-    df = make(spark, "t double, h double", (10.0, -200.0), (-200.0, 50.0), (20.0, -200.0))
-    r = transform.apply_transformation_plan(df, plan(ReplaceValueWithMissing(("t", "h"), -200)))
-    assert (r.log[0].affected_cells, r.log[0].affected_rows, r.operation_count) == (3, 3, 1)
-    only = transform.transform_frame(df, plan(ReplaceValueWithMissing(("t",), -200))).collect()
-    assert [tuple(x) for x in only] == [(10.0, -200.0), (None, 50.0), (20.0, -200.0)]
-    text = make(spark, "s string", "1", "x")
-    assert transform.apply_transformation_plan(text, plan(ReplaceValueWithMissing(("s",), 1))).log[0].affected_cells == 0
+    assert (r.original_shape, r.final_shape, r.log[0].affected_rows, r.log[0].affected_cells) == ((50, 2), (50 - empty, 2), empty, 2 * empty)
+    r = transform.apply_transformation_plan(df, plan(DropColumns(("up",))))
+    assert (r.final_shape, r.data.columns, r.log[0].message) == ((50, 1), ["down"], "Dropped column(s): up.")
+    hits = drawn == 9
+    r = transform.apply_transformation_plan(df, plan(ReplaceValueWithMissing(("up", "down"), 9)))
+    assert (r.log[0].affected_cells, r.log[0].affected_rows, r.operation_count) == (hits.sum().sum(), hits.any(axis=1).sum(), 1)
+    only = transform.transform_frame(df, plan(ReplaceValueWithMissing(("down",), 9))).agg(F.count_if(F.col("down") == 9), F.count_if(F.col("up") == 9)).first()
+    assert tuple(only) == (0, hits["up"].sum())
+    text = column(spark, "s", "string", "9", "nine", None)
+    assert transform.apply_transformation_plan(text, plan(ReplaceValueWithMissing(("s",), 9))).log[0].affected_cells == 0
 
 
 def test_transformation_order_counts(spark):
-    df = make(spark, "a double, b double", (-200.0, -200.0), (1.0, 2.0), (None, None))
-    replace, remove = ReplaceValueWithMissing(("a", "b"), -200), RemoveEmptyRows()
-    assert transform.apply_transformation_plan(df, plan(replace, remove)).final_shape == (1, 2)
-    assert transform.apply_transformation_plan(df, plan(remove, replace)).final_shape == (2, 2)
-    assert df.count() == 3
+    """Rows that a replacement empties go only if the removal comes later; the log counts at each place."""
+    df = make(spark, "up int, down int", *[(6, 6)] * 5, *[(6, 2)] * 3, *[(None, 6)] * 2, (None, None))
+    replace, remove = ReplaceValueWithMissing(("up", "down"), 6), RemoveEmptyRows()
+    late = transform.apply_transformation_plan(df, plan(replace, remove, DropColumns(("up",)), remove))
+    assert (late.final_shape, [x.affected_rows for x in late.log]) == ((3, 1), [10, 8, 3, 0])
+    early = transform.apply_transformation_plan(df, plan(remove, replace))
+    assert (early.final_shape, [(x.affected_rows, x.affected_cells) for x in early.log]) == ((10, 2), [(1, 2), (10, 15)])
+    assert transform.apply_transformation_plan(df, plan()).log == () and df.count() == 11
 
 
 @pytest.mark.parametrize(
@@ -172,26 +215,30 @@ def test_transformation_errors(spark, operation, error):
 
 
 def test_plan_builder():
-    built = transform.build_operations([("a", -200), ("b", -1), ("c", -200)], True, ["x", "y", "x"])
-    assert built.operations == (ReplaceValueWithMissing(("a", "c"), -200), ReplaceValueWithMissing(("b",), -1), RemoveEmptyRows(), DropColumns(("x", "y")))
+    built = transform.build_operations([("mast", 9.5), ("keel", "n/a"), ("boom", 9.5), ("mast", 9.5)], True, ["log", "bell", "log"])
+    by_value = (ReplaceValueWithMissing(("mast", "boom"), 9.5), ReplaceValueWithMissing(("keel",), "n/a"))
+    assert built.operations == (*by_value, RemoveEmptyRows(), DropColumns(("log", "bell")))
 
 
 def test_missingness_and_distribution(spark):
-    r = explore.summarize_missingness(make(spark, "a double, b int", (1.0, 1), (None, 2), (3.0, 3), (NAN, 4)))
-    assert [(x.missing_count, x.missing_ratio) for x in r] == [(2, 0.5), (0, 0.0)]
-    d = explore.summarize_numeric_distribution(column(spark, "value", "double", 1.0, 2.0, 3.0, NAN, INF, -INF), "value", bins=3)
-    assert (d.total_count, d.valid_count, d.missing_count, d.non_finite_count, d.mean) == (6, 3, 1, 2, 2.0)
-    assert [b.count for b in d.histogram] == [1, 1, 1]
-    assert d.histogram[0].right == pytest.approx(5 / 3)
-    none = explore.summarize_numeric_distribution(column(spark, "value", "double", NAN, INF, -INF), "value")
+    rng = np.random.default_rng(31)
+    drawn = rng.choice([2.0, 7.0, np.nan, np.inf, -np.inf], 80, p=[0.3, 0.3, 0.2, 0.1, 0.1])
+    df = column(spark, "tide", "double", *map(float, drawn)).withColumn("whole", F.lit(1))
+    gaps = int(np.isnan(drawn).sum())
+    assert [(x.missing_count, x.missing_ratio) for x in explore.summarize_missingness(df)] == [(gaps, gaps / 80), (0, 0.0)]
+    d = explore.summarize_numeric_distribution(df, "tide", bins=5)
+    own = drawn[np.isfinite(drawn)]
+    assert (d.total_count, d.valid_count, d.missing_count, d.non_finite_count) == (80, len(own), gaps, np.isinf(drawn).sum())
+    assert d.mean == pytest.approx(own.mean())
+    assert [b.count for b in d.histogram] == [(own == 2).sum(), 0, 0, 0, (own == 7).sum()]
+    assert d.histogram[0].right == pytest.approx(3)
+    none = explore.summarize_numeric_distribution(column(spark, "tide", "double", -INF, None, NAN), "tide")
     assert (none.valid_count, none.histogram, none.mean) == (0, (), None)
 
 
 def test_histogram_edges(spark):
-    import numpy as np
-
-    flat = explore.summarize_numeric_distribution(column(spark, "v", "double", 5.0, 5.0), "v", bins=4).histogram
-    assert (flat[0].left, flat[-1].right, [b.count for b in flat]) == (4.5, 5.5, [0, 0, 2, 0])
+    flat = explore.summarize_numeric_distribution(column(spark, "v", "double", *[-2.5] * 3), "v", bins=8).histogram
+    assert (flat[0].left, flat[-1].right, [b.count for b in flat]) == (-3.0, -2.0, [0, 0, 0, 0, 3, 0, 0, 0])
     rng = np.random.default_rng(0)
     for bins in (1, 7, 10):
         values = np.round(rng.normal(0, 3, 400), 1)
@@ -200,17 +247,21 @@ def test_histogram_edges(spark):
 
 
 def test_outliers_frequencies_pairs(spark):
-    o = explore.summarize_numeric_outliers(column(spark, "v", "int", 1, 2, 2, 3, 3, 4, 100), "v")
-    assert (o.first_quartile, o.third_quartile, o.lower_bound, o.upper_bound) == (2.0, 3.5, -0.25, 5.75)
-    assert (o.upper_outlier_count, o.lower_outlier_count, o.outlier_ratio) == (1, 0, 1 / 7)
-    city = column(spark, "city", "string", "Delhi", "Delhi", "Delhi", "Mumbai", "Mumbai", "Bengaluru", "Pune", None)
-    f = explore.summarize_categorical_frequencies(city, "city", top_n=2)
-    assert ([(x.value, x.count, x.ratio) for x in f.frequencies], f.other_count, f.other_ratio) == ([("Delhi", 3, 3 / 8), ("Mumbai", 2, 2 / 8)], 2, 2 / 8)
-    ties = with_ordinal(column(spark, "v", "string", "b", "a", "c", "a", "b").coalesce(1))
-    assert [x.value for x in explore.summarize_categorical_frequencies(ties, "v").frequencies] == ["b", "a", "c"]
-    xy = make(spark, "x double, y double", (1.0, 10.0), (2.0, NAN), (NAN, 30.0), (4.0, 40.0), (INF, 50.0))
-    p = explore.prepare_numeric_pair(xy, "x", "y")
-    assert (sorted((r["x"], r["y"]) for r in p.data.collect()), p.excluded_count) == ([(1.0, 10.0), (4.0, 40.0)], 3)
+    drawn = np.r_[np.round(np.random.default_rng(6).normal(0, 1, 90), 2), [14.0, -9.0, 11.5]]
+    low, high = np.quantile(drawn, [0.25, 0.75])
+    o = explore.summarize_numeric_outliers(column(spark, "v", "double", *map(float, drawn), NAN), "v")
+    assert (o.first_quartile, o.third_quartile, o.lower_bound, o.upper_bound) == pytest.approx((low, high, low - 1.5 * (high - low), high + 1.5 * (high - low)))
+    assert (o.lower_outlier_count, o.upper_outlier_count) == ((drawn < o.lower_bound).sum(), (drawn > o.upper_bound).sum())
+    fish = column(spark, "fish", "string", *["roach"] * 2, *["tench"] * 6, *["perch"] * 5, *["bream"] * 3, None, None)
+    f = explore.summarize_categorical_frequencies(fish, "fish", top_n=3)
+    assert [(x.value, x.count, x.ratio) for x in f.frequencies] == [("tench", 6, 6 / 18), ("perch", 5, 5 / 18), ("bream", 3, 3 / 18)]
+    assert (f.other_count, f.other_ratio) == (2, 2 / 18)
+    ties = with_ordinal(column(spark, "v", "string", "z", "m", "m", "k", "z", "k", "q").coalesce(1))
+    assert [x.value for x in explore.summarize_categorical_frequencies(ties, "v").frequencies] == ["z", "m", "k", "q"]
+    sides = [0.5, -3.0, NAN, INF, -INF]
+    every = make(spark, "x double, y double", *[(x, y) for x in sides for y in sides])
+    p = explore.prepare_numeric_pair(every, "x", "y")
+    assert (sorted((r["x"], r["y"]) for r in p.data.collect()), p.excluded_count) == ([(-3.0, -3.0), (-3.0, 0.5), (0.5, -3.0), (0.5, 0.5)], 21)
 
 
 def test_exploration_errors(spark):
