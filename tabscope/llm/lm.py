@@ -5,12 +5,16 @@ estimates and a uniform one.  The weights depend on how often the context was se
 buckets of powers of two, and are learned by expectation-maximisation on counts that are
 held out: one fold of the training documents is deleted from the counts and predicted.
 
-Counting keeps to keys.  Documents are dealt out to chunks of about ``CHUNK_CHARS``;
-each chunk sends its distinct n-grams, with their counts in training documents, once to
-the range of the key space that they belong to, as sorted and compressed arrays.  The
-range adds up the counts of all chunks and answers each in the order of its question.
-So each n-gram moves once for each chunk, no range or chunk outgrows a task, and a
-frequent word is one key for each chunk.  N-grams are compared as 64-bit hashes.
+Counting keeps to keys.  Documents are dealt out evenly to chunks of about
+``CHUNK_CHARS``, whatever their keys; each chunk sends its distinct n-grams, with their
+counts in training documents, once to the range of the key space that they belong to, as
+sorted and compressed arrays.  The range adds up the counts of all chunks and answers each
+in the order of its question.  Where there are more than ``1 << LEVEL_BITS`` ranges they
+are dealt in levels: as many chunks as a level has ranges merge their keys first, range by
+range, and ask the next level as one; the answers come back the same way.  So a level has
+at most ``1 << LEVEL_BITS`` rows for each chunk, the rows grow with the corpus and not with
+its square, no range or chunk outgrows a task, and a frequent word is one key for each
+chunk.  N-grams are compared as 64-bit hashes.
 
 Null and empty texts have one token, the end.  Documents with a null key are scored but
 neither held out nor learned from.  Repeated rows count and are scored as often as they
@@ -34,6 +38,8 @@ from tabscope.llm.words import STEP, mixed, slices, words_of
 #: Characters of the texts in a chunk, and distinct keys in a range, about.
 CHUNK_CHARS = 12_000_000
 RANGE_KEYS = 1_500_000
+#: Ranges that a chunk sends rows to, as a power of two; beyond them ranges are dealt in levels.
+LEVEL_BITS = 8
 #: Documents whose crc32 of the key leaves these when divided by FOLDS.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 
@@ -122,48 +128,105 @@ class Chunk:
         self.keys[BIGRAM], self.at[BIGRAM] = np.unique(mixed(before * STEP + token), return_inverse=True)
         self.context = np.r_[np.searchsorted(self.keys[UNIGRAM], END), self.at[UNIGRAM][:-1]]
 
-    def questions(self, chunk: int, bits: int) -> Iterator[dict]:
-        """Sorted keys of each range with their counts in training documents."""
+    def questions(self, unit: int, bits: int, deleted: bool) -> Iterator[dict]:
+        """Its keys in each range with their counts in training documents."""
         learned = np.repeat(self.fold != HELD_OUT, self.sizes)
         for kind, keys in self.keys.items():
-            counts = np.bincount(self.at[kind], weights=learned, minlength=len(keys)).astype(np.uint32)
-            part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-            names, first = np.unique(part, return_index=True)
-            for name, a, b in zip(names.tolist(), first, [*first[1:], len(keys)], strict=True):
-                own = keys[a:b]
-                yield {
-                    "kind": kind, "part": name, "chunk": chunk, "n": b - a,
-                    "keys": pressed(np.diff(own, prepend=np.uint64(0))), "counts": pressed(counts[a:b]),
-                }
+            counts = np.bincount(self.at[kind], weights=learned, minlength=len(keys)).astype(np.int64)
+            yield from ranges(kind, unit, bits, keys, counts, counts * deleted)
 
     def answers(self, rows: pd.DataFrame, column: str) -> dict[int, np.ndarray]:
         """For each kind, the answered counts in the order of its keys."""
         rows = rows.sort_values(["kind", "part"])
         return {
-            kind: np.concatenate([unpressed(d, n, np.uint32) for d, n in zip(own[column], own["n"], strict=True)]).astype(np.int64)
+            kind: np.concatenate([unpressed(d, n, np.int64) for d, n in zip(own[column], own["n"], strict=True)])
             for kind, own in rows.groupby("kind")
         }
 
 
-def answered(batch: pd.DataFrame, deleted_from: int) -> pd.DataFrame:
-    """Add up one range of keys; a row of counts for each question, and one of totals."""
-    sizes = batch["n"].to_numpy()
-    keys = np.concatenate([np.cumsum(unpressed(d, n, np.uint64), dtype=np.uint64) for d, n in zip(batch["keys"], sizes, strict=True)])
-    counts = np.concatenate([unpressed(d, n, np.uint32) for d, n in zip(batch["counts"], sizes, strict=True)])
-    distinct, at = np.unique(keys, return_inverse=True)
-    total = np.bincount(at, weights=counts, minlength=len(distinct))
-    gone = np.repeat(batch["chunk"].to_numpy() >= deleted_from, sizes)
-    deleted = np.bincount(at, weights=counts * gone, minlength=len(distinct))
-    kind, part = batch["kind"].iloc[0], batch["part"].iloc[0]
-    ends = np.cumsum(sizes)
-    out = [
-        {"kind": kind, "part": part, "chunk": c, "n": n, "total": pressed(total[at[e - n : e]].astype(np.uint32)),
-         "deleted": pressed(deleted[at[e - n : e]].astype(np.uint32)), "seen": 0, "tokens": 0, "gone": 0}
-        for c, n, e in zip(batch["chunk"], sizes, ends, strict=True)
-    ]
-    seen = {"seen": int((total > 0).sum()), "tokens": int(total.sum()), "gone": int(deleted.sum())}
-    out.append({"kind": kind, "part": part, "chunk": -1, "n": 0, "total": b"", "deleted": b""} | seen)
-    return pd.DataFrame(out)
+ASKED = "kind int, part long, unit long, n long, keys binary, total binary, deleted binary"
+ANSWERED = "kind int, part long, unit long, n long, total binary, deleted binary"
+
+
+def ranges(kind: int, unit: int, bits: int, keys: np.ndarray, total: np.ndarray, deleted: np.ndarray) -> Iterator[dict]:
+    """The sorted keys of a unit (a chunk, or a block of them) in each range of the first ``bits``."""
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    names, first = np.unique(part, return_index=True)
+    for name, a, b in zip(names.tolist(), first, [*first[1:], len(keys)], strict=True):
+        yield {
+            "kind": kind, "part": name, "unit": unit, "n": b - a, "keys": pressed(np.diff(keys[a:b], prepend=np.uint64(0))),
+            "total": pressed(total[a:b]), "deleted": pressed(deleted[a:b]),
+        }
+
+
+class Merged:
+    """The distinct keys of some questions of one range, with their counts added up."""
+
+    def __init__(self, asked: pd.DataFrame):
+        self.rows = asked
+        keys = [np.cumsum(unpressed(d, n, np.uint64), dtype=np.uint64) for d, n in zip(asked["keys"], asked["n"], strict=True)]
+        self.keys, self.at = np.unique(np.concatenate(keys), return_inverse=True)
+
+    def summed(self, column: str) -> np.ndarray:
+        counts = np.concatenate([unpressed(d, n, np.int64) for d, n in zip(self.rows[column], self.rows["n"], strict=True)])
+        return np.bincount(self.at, weights=counts, minlength=len(self.keys)).astype(np.int64)  # exact below 2 ** 53
+
+    def replies(self, total: np.ndarray, deleted: np.ndarray) -> pd.DataFrame:
+        """The counts of the distinct keys, for each question in its order."""
+        ends = np.cumsum(self.rows["n"].to_numpy())
+        own = [self.at[e - n : e] for n, e in zip(self.rows["n"], ends, strict=True)]
+        out = self.rows[["kind", "part", "unit", "n"]].copy()
+        return out.assign(total=[pressed(total[at]) for at in own], deleted=[pressed(deleted[at]) for at in own])
+
+
+def levels_of(bits: int) -> list[int]:
+    """Bits of the ranges at each level, the last one with all of them."""
+    levels = max(1, -(-bits // LEVEL_BITS))
+    return [bits * (k + 1) // levels for k in range(levels)]
+
+
+def answered(asked: DataFrame, levels: list[int], scratch: Scratch, before: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The counts of all units for every question, and rows of what each range has seen.
+
+    ``levels`` are the bits of the ranges here and at each further level, ``before`` those of the level before.
+    """
+    group = ["kind", "part"]
+    if len(levels) == 1:
+
+        def add_up(batch: pd.DataFrame) -> pd.DataFrame:
+            own = Merged(batch)
+            total, deleted = own.summed("total"), own.summed("deleted")
+            out = own.replies(total, deleted).assign(seen=0, tokens=0, gone=0)
+            last = {"kind": batch["kind"].iloc[0], "part": batch["part"].iloc[0], "unit": -1, "n": 0, "total": b"", "deleted": b""}
+            last |= {"seen": int((total > 0).sum()), "tokens": int(total.sum()), "gone": int(deleted.sum())}
+            return pd.concat([out, pd.DataFrame([last])])
+
+        found = asked.groupBy(*group).applyInPandas(add_up, ANSWERED + ", seen long, tokens long, gone long")
+        found = scratch.keep(found, "counts")
+        return found.where("unit >= 0").drop("seen", "tokens", "gone"), found.where("unit < 0")
+
+    # as many units as the level has ranges become one: a group of one range of a block holds about a unit's keys
+    asked = scratch.keep(asked, f"asked{len(levels)}")
+    own_bits = levels[0] - before
+    block = F.shiftright("unit", own_bits).alias("block")
+
+    def merge(batch: pd.DataFrame) -> pd.DataFrame:
+        own = Merged(batch)
+        kind, unit = batch["kind"].iloc[0], batch["unit"].iloc[0] >> own_bits
+        return pd.DataFrame(list(ranges(kind, unit, levels[1], own.keys, own.summed("total"), own.summed("deleted"))))
+
+    def reply(batch: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        total, deleted = (np.concatenate([unpressed(d, n, np.int64) for d, n in zip(rows[c], rows["n"], strict=True)]) for c in ("total", "deleted"))
+        return Merged(batch).replies(total, deleted)
+
+    asked_next = asked.groupBy(*group, block).applyInPandas(merge, ASKED)
+    replies, seen = answered(asked_next, levels[1:], scratch, levels[0])
+    coarse = F.shiftright("part", levels[1] - levels[0])
+    back = asked.groupBy(*group, block).cogroup(
+        replies.groupBy("kind", coarse.alias("coarse"), F.col("unit").alias("block"))
+    ).applyInPandas(reply, ANSWERED)
+    return back, seen
 
 
 def estimates(context: np.ndarray, pair: np.ndarray, word: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,28 +267,23 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     chars = docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
     chunks = chars // CHUNK_CHARS + 1
     bits = max(0, int(np.ceil(np.log2(max(1, chars / 4 / RANGE_KEYS)))))
-    own = F.pmod(F.xxhash64(F.col(key)), F.lit(chunks))
+    # drawn by the row's place, since keys and texts may repeat; kept, so that all steps see the same chunks
+    drawn = F.xxhash64(F.monotonically_increasing_id())
     is_deleted = F.coalesce(fold(key) == DELETED, F.lit(False))
     # the deleted fold has chunks of its own, so that it can be read alone
-    chunk = F.when(is_deleted, chunks + F.pmod(F.xxhash64(F.col(key)), F.lit(chunks // (FOLDS - 1) + 1))).otherwise(own)
-    dealt = packed(docs, key, text, chunk)
+    chunk = F.when(is_deleted, chunks + F.pmod(drawn, F.lit(chunks // (FOLDS - 1) + 1))).otherwise(F.pmod(drawn, F.lit(chunks)))
+    dealt = scratch.keep(packed(docs, key, text, chunk), "dealt")
 
     def ask(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(Chunk(batch["docs"]).questions(batch["chunk"].iloc[0], bits)))
-
-    def answer(batch: pd.DataFrame) -> pd.DataFrame:
-        return answered(batch, chunks)
-
-    asked = dealt.groupBy("chunk").applyInPandas(ask, "kind int, part long, chunk long, n long, keys binary, counts binary")
-    counts = scratch.keep(
-        asked.groupBy("kind", "part").applyInPandas(
-            answer, "kind int, part long, chunk long, n long, total binary, deleted binary, seen long, tokens long, gone long"
-        ),
-        "counts",
-    )
-    sums = counts.where((F.col("chunk") == -1) & (F.col("kind") == UNIGRAM)).agg(F.sum("seen"), F.sum("tokens"), F.sum("gone")).first()
+        own = batch["chunk"].iloc[0]
+        return pd.DataFrame(list(Chunk(batch["docs"]).questions(own, levels[0], own >= chunks)))
+
+    levels = levels_of(bits)
+    asked = dealt.groupBy("chunk").applyInPandas(ask, ASKED)
+    replies, totals = answered(asked, levels, scratch)
+    replies = replies.withColumnRenamed("unit", "chunk")
+    sums = totals.where(F.col("kind") == UNIGRAM).agg(F.sum("seen"), F.sum("tokens"), F.sum("gone")).first()
     seen, tokens, gone = (int(x or 0) for x in sums)
-    replies = counts.where("chunk >= 0").select("kind", "part", "chunk", "n", "total", "deleted")
 
     def predict(docs_of: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         c = Chunk(docs_of["docs"])
@@ -237,9 +295,9 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         cells, n = np.unique(np.stack([bucket, *steps]), axis=1, return_counts=True)
         return pd.DataFrame({"bucket": cells[0], "q1": cells[1], "q2": cells[2], "n": n})
 
-    fold_docs = packed(docs.where(is_deleted), key, text, chunk)
     histogram = (
-        fold_docs.groupBy("chunk")
+        dealt.where(F.col("chunk") >= chunks)
+        .groupBy("chunk")
         .cogroup(replies.where(F.col("chunk") >= chunks).groupBy("chunk"))
         .applyInPandas(predict, "bucket long, q1 long, q2 long, n long")
         .groupBy("bucket", "q1", "q2")
