@@ -68,19 +68,22 @@ def applied(df: DataFrame, operation: object) -> DataFrame:
         return df.where(~empty_row(df))
     if isinstance(operation, DropColumns):
         return df.drop(*operation.columns)
-    return df.withColumns({c: F.when(~matches(df, c, operation.value), quoted(c)) for c in operation.columns})
+    return applied_to(df, df, operation)
 
 
-def counted(df: DataFrame, operation: object) -> tuple[Column, Column]:
-    """Aggregates for the affected rows and cells."""
+def applied_to(rows: DataFrame, df: DataFrame, operation: ReplaceValueWithMissing) -> DataFrame:
+    """The replacement in ``rows``, which has the columns of ``df`` and perhaps more."""
+    return rows.withColumns({c: F.when(~matches(df, c, operation.value), quoted(c)) for c in operation.columns})
+
+
+def affected_cells(df: DataFrame, operation: object) -> Column:
+    """How many cells of a row the operation affects; none means that it leaves the row alone."""
     if isinstance(operation, RemoveEmptyRows):
-        rows = F.count_if(empty_row(df))
-        return rows, rows * len(data_columns(df))
+        return F.when(empty_row(df), len(data_columns(df)))
     if isinstance(operation, DropColumns):
-        rows = F.count(F.lit(1))
-        return rows, rows * len(operation.columns)
-    hits = [matches(df, c, operation.value) for c in operation.columns]
-    return F.count_if(reduce(lambda a, b: a | b, hits)), F.coalesce(F.sum(reduce(lambda a, b: a + b, [h.cast("long") for h in hits])), F.lit(0))
+        return F.lit(len(operation.columns))
+    hits = reduce(lambda a, b: a + b, [matches(df, c, operation.value).cast("int") for c in operation.columns])
+    return F.when(hits > 0, hits)
 
 
 def transform_frame(df: DataFrame, plan: TransformationPlan) -> DataFrame:
@@ -99,17 +102,27 @@ def log_frame(df: DataFrame, plan: TransformationPlan) -> DataFrame:
     """Rows and cells that each operation affects, where it stands in the plan."""
     transform_frame(df, plan)
     names = {RemoveEmptyRows: "remove_empty_rows", DropColumns: "drop_columns", ReplaceValueWithMissing: "replace_value_with_missing"}
-    parts = []
-    for k, operation in enumerate(plan.operations):
-        rows, cells = counted(df, operation)
-        parts.append(
-            df.agg(rows.cast("long").alias("affected_rows"), cells.cast("long").alias("affected_cells")).select(
-                F.lit(k).alias("position"), F.lit(names[type(operation)]).alias("operation"), "affected_rows", "affected_cells"
-            )
-        )
+    free = "_" * (1 + max(map(len, df.columns), default=0))  # longer than any column's name
+    alive, marks = f"{free}alive", [f"{free}{k}" for k in range(len(plan.operations))]
+    rows = df.withColumn(alive, F.lit(True))
+    for mark, operation in zip(marks, plan.operations, strict=True):  # rows and dropped columns stay, so that one scan sees all
+        rows = rows.withColumn(mark, F.when(F.col(alive), affected_cells(df, operation)).cast("long"))
+        if isinstance(operation, RemoveEmptyRows):
+            rows = rows.withColumn(alive, F.col(alive) & F.col(mark).isNull())
+        elif isinstance(operation, ReplaceValueWithMissing):
+            rows = applied_to(rows, df, operation)
         df = applied(df, operation)
     none = df.sparkSession.createDataFrame([], "position int, operation string, affected_rows long, affected_cells long")
-    return reduce(DataFrame.unionByName, parts, none)
+    if not marks:
+        return none
+    entries = [
+        F.struct(
+            F.lit(k).alias("position"), F.lit(names[type(operation)]).alias("operation"),
+            F.count(mark).alias("affected_rows"), F.coalesce(F.sum(mark), F.lit(0)).alias("affected_cells"),
+        )
+        for k, (mark, operation) in enumerate(zip(marks, plan.operations, strict=True))
+    ]
+    return rows.agg(F.array(*entries).alias("log")).select(F.inline("log"))
 
 
 def apply_transformation_plan(df: DataFrame, plan: TransformationPlan) -> TransformationResult:

@@ -23,6 +23,7 @@ from tabscope.operators.records import (
     ReplaceValueWithMissing,
     TransformationPlan,
 )
+from tabscope.sources import reader
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -277,6 +278,29 @@ def quality_findings(spark, sf_dir):
     return quality.findings_frame(rows).select("code", "column", "affected_count")
 
 
+@query(
+    "quality_numbers",
+    "SELECT 'non_finite_values' AS code, 'price' AS \"column\", count(*) FILTER (WHERE l_linenumber IN (5, 6)) AS affected_count FROM lineitem",
+)
+def quality_numbers(spark, sf_dir):
+    odd = F.when(F.col("l_linenumber") == 6, F.lit(float("inf"))).when(F.col("l_linenumber") == 5, F.lit(float("-inf")))
+    found = quality.findings_frame(table(spark, sf_dir, "lineitem").select(F.coalesce(odd, "l_extendedprice").alias("price")))
+    return found.where("code = 'non_finite_values'").select("code", "column", "affected_count")
+
+
+@query(
+    "quality_texts",
+    "WITH x AS (SELECT 'order ' || o_orderkey AS note FROM orders), u AS (SELECT count(DISTINCT note) AS n, count(*) AS c FROM x) "
+    "SELECT 'high_cardinality' AS code, 'note' AS \"column\", n AS affected_count FROM u WHERE n >= 20 AND n / c >= 0.8 "
+    "UNION ALL SELECT 'structural_empty_column', 'Unnamed: 1', count(*) FROM orders",
+)
+def quality_texts(spark, sf_dir):
+    note = F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))
+    rows = table(spark, sf_dir, "orders").select(note.alias("note"), F.lit(None).cast("string").alias("Unnamed: 1"))
+    found = quality.findings_frame(rows).select("code", "column", "affected_count")
+    return found.withColumn("affected_count", F.coalesce("affected_count", F.lit(rows.count())))
+
+
 SENTINEL_SQL = """
 WITH x AS (SELECT CASE WHEN event_id % 20 = 0 THEN -200.0 ELSE value END AS v FROM events), r AS (SELECT v FROM x WHERE v <> -200),
 m AS (SELECT median(v) AS middle FROM r), s AS (SELECT median(abs(v - middle)) AS mad FROM r, m)
@@ -356,6 +380,19 @@ def transform_log(spark, sf_dir):
     return transform.log_frame(sparse_orders(spark, sf_dir), GAPS)
 
 
+@query(
+    "transform_result",
+    "SELECT count(*) AS original_rows, CAST(2 AS BIGINT) AS original_columns, count(*) FILTER (WHERE o_orderstatus <> 'P' OR o_custkey % 5 <> 0) AS final_rows, "
+    "CAST(2 AS BIGINT) AS final_columns, CAST(3 AS BIGINT) AS operations FROM orders",
+)
+def transform_result(spark, sf_dir):
+    r = transform.apply_transformation_plan(sparse_orders(spark, sf_dir), GAPS)
+    return one_row(
+        spark, original_rows=r.original_shape[0], original_columns=r.original_shape[1], final_rows=r.final_shape[0],
+        final_columns=r.final_shape[1], operations=r.operation_count,
+    )
+
+
 # --- Relationships ----------------------------------------------------------------
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -397,6 +434,18 @@ def spearman_pair(spark, sf_dir):
     return rounded(relate.relationship_frame(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "spearman"))
 
 
+@query(
+    "relationship_states",
+    "SELECT 'constant_input' AS status, count(*) AS valid_count FROM customer UNION ALL SELECT 'insufficient_pairs', count(*) FILTER (WHERE c_custkey < 2) FROM customer",
+)
+def relationship_states(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    flat = customers.select(F.lit(1.5).alias("x"), F.col("c_acctbal").alias("y"))
+    short = customers.select(F.when(F.col("c_custkey") < 2, F.col("c_custkey")).alias("x"), F.col("c_acctbal").alias("y"))
+    found = relate.relationship_frame(flat, "x", "y").unionByName(relate.relationship_frame(short, "x", "y"))
+    return found.select("status", "valid_count")
+
+
 # --- Tests ------------------------------------------------------------------------
 
 
@@ -419,10 +468,19 @@ def welch_t(spark, sf_dir):
     return rounded(one_row(spark, n_a=r.group_a_summary.count, n_b=r.group_b_summary.count, statistic=r.statistic, effect_size=r.effect_size))
 
 
-@query("welch_p_value")
+# tails by Simpson's rule over 2000 steps from 0 to the statistic
+SIMPSON = "CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+WELCH_P_SQL = f"""
+, t AS (SELECT abs(ma - mb) / sqrt(va / na + vb / nb) AS t, (va / na + vb / nb) ^ 2 / ((va / na) ^ 2 / (na - 1) + (vb / nb) ^ 2 / (nb - 1)) AS d FROM p),
+y AS (SELECT 1 - 2 * sum({SIMPSON} * exp(lgamma((d + 1) / 2) - lgamma(d / 2)) / sqrt(d * pi()) * (1 + (t * i / 2000) ^ 2 / d) ^ (-(d + 1) / 2)) * any_value(t) / 6000 AS p FROM t, range(2001) r(i))
+SELECT round(p, 4) AS p_value, p < 0.05 AS significant FROM y
+"""
+
+
+@query("welch_p_value", WELCH_SQL[: WELCH_SQL.index("SELECT na AS")] + WELCH_P_SQL)
 def welch_p_value(spark, sf_dir):
     r = stats.compare_two_numeric_groups(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", "F", "O")
-    return one_row(spark, p_value=r.p_value, significant=r.significant)
+    return rounded(one_row(spark, p_value=r.p_value, significant=r.significant))
 
 
 RANKED_SQL = """
@@ -444,6 +502,27 @@ def mann_whitney(spark, sf_dir):
     return rounded(one_row(spark, statistic=r.statistic, effect_size=r.effect_size))
 
 
+@query(
+    "mann_whitney_p",
+    RANKED_SQL.format(group="o_orderstatus", where="o_orderstatus IN ('F', 'O')")
+    + ", u AS (SELECT a.rank_sum - a.n * (a.n + 1) / 2 AS u, a.n * b.n AS nn, a.n + b.n AS n FROM s a, s b WHERE a.g = 'F' AND b.g = 'O'), "
+    "z AS (SELECT (greatest(u, nn - u) - nn / 2 - 0.5) / sqrt(nn / 12 * (n + 1 - tied / (n * (n - 1)))) AS z FROM u, t) "
+    f"SELECT round(1 - 2 * sum({SIMPSON} * exp(-0.5 * (z * i / 2000) ^ 2) / sqrt(2 * pi())) * any_value(z) / 6000, 4) AS p_value FROM z, range(2001) r(i)",
+)
+def mann_whitney_p(spark, sf_dir):
+    r = stats.compare_two_numeric_groups(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", "F", "O", method="mann_whitney")
+    return rounded(one_row(spark, p_value=r.p_value))
+
+
+@query(
+    "anova_p",
+    "WITH g AS (SELECT o_orderstatus, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1), "
+    "a AS (SELECT avg(o_totalprice) AS m FROM orders), s AS (SELECT sum(g.n * (g.m - a.m) ^ 2) / 2 AS b, sum((g.n - 1) * g.v) AS w, sum(g.n) - 3 AS d FROM g, a) "
+    "SELECT round((1 + 2 * b / (w / d) / d) ^ (-d / 2), 4) AS p_value FROM s",
+)
+def anova_p(spark, sf_dir):
+    r = stats.compare_multiple_numeric_groups(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", ["F", "O", "P"])
+    return rounded(one_row(spark, p_value=r.p_value))
 
 
 def priorities(spark, sf_dir) -> list[str]:
@@ -595,6 +674,20 @@ def observed_values(spark, sf_dir):
     return dataflow.observed_values(with_ordinal(table(spark, sf_dir, "events")), "event_type")
 
 
+# --- Sources ----------------------------------------------------------------------
+
+
+@query(
+    "read_csv_nations",
+    "SELECT n_nationkey AS \"key\", n_name AS name, CAST(n_regionkey + 0.25 AS DOUBLE) AS number, n_nationkey % 2 = 0 AS even FROM nation",
+)
+def read_csv_nations(spark, sf_dir):
+    """The 25 nations as a file with semicolons and decimal commas, read back."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()
+    lines = [f"{r[0]};{r[1]};{r[2]},25;{r[0] % 2 == 0}" for r in rows]
+    return reader.read_dataset(spark, "\n".join(["key;name;number;even", *lines]).encode(), "nations.csv")
+
+
 @query("chi_square_tail", "SELECT CAST(k AS BIGINT) AS x, round(exp(-k / 2.0) * (1 + k / 2.0), 4) AS p FROM range(1, 20) t(k)")
 def chi_square_tail(spark, sf_dir):
     return rounded(spark.createDataFrame([(x, chi2_above(x, 4)) for x in range(1, 20)], "x long, p double"))

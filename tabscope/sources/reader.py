@@ -11,6 +11,7 @@ import csv
 import hashlib
 import re
 import tempfile
+import uuid
 from io import StringIO
 from pathlib import Path
 
@@ -109,6 +110,22 @@ def head_of(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
+def placed(spark: SparkSession, payload: bytes) -> str:
+    """Path of a file with these bytes in the folder that ``spark.checkpoint.dir`` names, which executors see.
+
+    Where the session names none (tests, a single machine) it lies in a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{folder or 'file://' + tempfile.mkdtemp(prefix='tabscope-')}/upload-{uuid.uuid4().hex}.csv"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    try:
+        stream.write(bytearray(payload))
+    finally:
+        stream.close()
+    return path
+
+
 def header_names(cells: list[str | None]) -> list[str]:
     """Blank names become "Unnamed: N", repeated ones get .1, .2 and so on."""
     out: list[str] = []
@@ -218,9 +235,7 @@ def read_dataset(spark: SparkSession, source: object, filename: str | None = Non
         if isinstance(source, (str, Path)):
             return validated(read_csv(spark, str(source), head_of(spark, str(source))))
         payload = payload_of(source)  # a stream lives on the driver; Spark reads it from a file
-        with tempfile.NamedTemporaryFile(prefix="tabscope-", suffix=".csv", delete=False) as f:
-            f.write(payload)
-        return validated(read_csv(spark, f"file://{f.name}", payload[:SNIFFED]))
+        return validated(read_csv(spark, placed(spark, payload), payload[:SNIFFED]))
     except (EmptyDatasetError, UnsupportedFileTypeError, DatasetReadError):
         raise
     except Exception as error:
