@@ -116,6 +116,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and exact distance of every sound vector after ten rounds."""
+    from tabscope.llm.clusters import clustered, with_inertia
+
+    found, centroids = clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return with_inertia(found, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents towards the benchmark texts, and the tenth that is drawn."""
+    from tabscope.llm.resample import Draw, resample
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
+    return resample(docs, target, Draw(longest=1)).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
@@ -127,6 +144,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pages": op8_pages,
     "op9_substring": op9_substring,
     "op10_secrets": op10_secrets,
+    "op12_centroids": op12_centroids,
+    "op13_resample": op13_resample,
 }
 
 NEARDUP_SQL = r"""
@@ -172,5 +191,48 @@ FROM d LEFT JOIN x ON x.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
+def centroids_sql(rounds: int = 10) -> str:
+    """The clustering in SQL, a few steps for each round."""
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.c[i]) * (v.x[i] - c.c[i])))"
+    nearest = "(SELECT vec_id, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT v.vec_id, c.j, {gap} AS d FROM v CROSS JOIN c{r} c) GROUP BY vec_id)"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED {nearest.format(gap=gap, r=r)}")
+        if r < rounds:
+            steps.append(f"""m{r} AS MATERIALIZED (SELECT j, list(f ORDER BY i) AS c FROM (
+  SELECT a.j, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS f FROM a{r} a JOIN v USING (vec_id), range(1, 65) AS t(i) GROUP BY a.j, i) GROUP BY j),
+c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m ON m.j = c.j)""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS j, x AS c FROM v ORDER BY sha256('3:' || vec_id) LIMIT 8),
+{", ".join(steps)}
+SELECT a.vec_id, CAST(a.j AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.j = a.j
+"""
+
+
+RESAMPLE_SQL = r"""
+WITH code AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+o AS (SELECT doc_id, unnest(w) AS w FROM d),
+h AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT))),
+    lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS k
+  FROM (SELECT w FROM o UNION SELECT w FROM b), code),
+s AS (SELECT k, count(*) AS s FROM o JOIN h USING (w) GROUP BY k), t AS (SELECT k, count(*) AS t FROM b JOIN h USING (w) GROUP BY k),
+g AS (SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM o) + 10000.0::DOUBLE)
+    / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM b) + 10000.0::DOUBLE)))) AS BIGINT) AS g FROM s FULL JOIN t USING (k)),
+x AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS weight FROM o JOIN h USING (w) JOIN g USING (k) GROUP BY doc_id),
+y AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+    (CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN x USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS n, 10 * count(*) OVER () // 100 AS most FROM y WHERE n_features >= 20)
+SELECT y.doc_id, n_features, weight, score, CASE WHEN n <= most THEN n END AS rank FROM y LEFT JOIN r ON r.doc_id = y.doc_id
+"""
+
 #: Only for queries that SQL can express; tests hold the others against brute force.
-ORACLE_SQL: dict[str, str] = {"op7_neardup": NEARDUP_SQL, "op10_secrets": secrets_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_neardup": NEARDUP_SQL, "op10_secrets": secrets_sql(), "op12_centroids": centroids_sql(), "op13_resample": RESAMPLE_SQL}
