@@ -116,6 +116,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 80 % of their 5-word shingles, by an exact join."""
+    from tabscope.llm.setjoin import similar_sets
+
+    return similar_sets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster and exact distance of every sound vector after ten rounds."""
     from tabscope.llm.clusters import clustered, with_inertia
@@ -144,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pages": op8_pages,
     "op9_substring": op9_substring,
     "op10_secrets": op10_secrets,
+    "op11_setjoin": op11_setjoin,
     "op12_centroids": op12_centroids,
     "op13_resample": op13_resample,
 }
