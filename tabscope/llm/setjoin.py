@@ -255,25 +255,33 @@ def filtered(tasks: DataFrame, elements: int, nodes: DataFrame, percent: int) ->
     """
 
     def scan(batch: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for task, rows in batch.groupby("task"):
-            bits = int(rows["bits"].iloc[0])
-            maps = np.frombuffer(b"".join(folded(b, bits) for b in rows["bitmap"]), np.uint64).reshape(len(rows), -1)
-            node, component, n, reach, outside = (rows[c].to_numpy() for c in ("node", "component", "n", "reach", "outside"))
-            hit = np.zeros(len(rows), bool)
-            for k in np.flatnonzero(outside):
-                other = np.flatnonzero(component != component[k])
-                share = -(-percent * (n[other] + n[k]) // (100 + percent))
-                other = other[np.minimum(reach[other], reach[k]) >= share]
-                if len(other):
-                    differing = np.bitwise_count(maps[other] ^ maps[k]).sum(axis=1, dtype=np.int64)
-                    other = other[differing <= n[other] + n[k] - 2 * -(-percent * (n[other] + n[k]) // (100 + percent))]
-                    hit[other] = True
-                    hit[k] |= bool(len(other))
+        batch = batch.sort_values("task", kind="stable")
+        node, component, n, reach, outside, bits = (batch[c].to_numpy() for c in ("node", "component", "n", "reach", "outside", "bits"))
+        bitmap = batch["bitmap"].to_numpy()
+        starts = np.unique(batch["task"].to_numpy(), return_index=True)[1]
+        hits, same = [], []
+        for start, end in zip(starts, np.r_[starts[1:], len(batch)], strict=True):
+            # what sizes and places rule out for every pair of the block needs no look at bitmaps
+            rows = np.arange(start, end)
+            own = rows[outside[start:end]]
+            share = -(-percent * (n[own, None] + n[None, rows]) // (100 + percent)) if len(own) * len(rows) <= 64 else None
+            if share is not None and not ((np.minimum(reach[own, None], reach[None, rows]) >= share) & (component[own, None] != component[None, rows])).any():
+                continue
+            maps = np.frombuffer(b"".join(folded(m, int(bits[start])) for m in bitmap[start:end]), np.uint64).reshape(end - start, -1)
+            hit = np.zeros(end - start, bool)
+            for k in own:
+                share = -(-percent * (n[rows] + n[k]) // (100 + percent))
+                other = np.flatnonzero((component[rows] != component[k]) & (np.minimum(reach[rows], reach[k]) >= share))
+                differing = np.bitwise_count(maps[other] ^ maps[k - start]).sum(axis=1, dtype=np.int64)
+                other = other[differing <= n[rows[other]] + n[k] - 2 * share[other]]
+                hit[other] = True
+                hit[k - start] |= bool(len(other))
             if hit.any():
-                same = xxhash.xxh3_128_digest(np.sort(node[hit]).tobytes() + np.sort(node[hit & outside]).tobytes())
-                found.append(pd.DataFrame({"same": same, "node": node[hit], "component": component[hit], "outside": outside[hit], "n": n[hit]}))
-        return pd.concat(found) if found else pd.DataFrame(columns=["same", "node", "component", "outside", "n"])
+                left = rows[hit]
+                hits.append(left)
+                same += [xxhash.xxh3_128_digest(np.sort(node[left]).tobytes() + np.sort(node[left][outside[left]]).tobytes())] * len(left)
+        at = np.concatenate(hits) if hits else np.empty(0, np.int64)
+        return pd.DataFrame({"same": same, "node": node[at], "component": component[at], "outside": outside[at], "n": n[at]}).drop_duplicates()
 
     rows = tasks.join(nodes.select("node", F.col("n_shingles").alias("n"), "bitmap"), ["node", "n"])
     kind = "same binary, node long, component long, outside boolean, n long"
