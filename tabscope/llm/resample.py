@@ -34,8 +34,9 @@ from tabscope.llm.shared import Scratch, prepare, quoted
 # A word is a run of digits, letters a-z and everything beyond ASCII; A-Z are lower-cased.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-#: Characters of text in a slice, about.
-SLICE = 4_000_000
+#: Distinct words and occurrences of words in a slice, about; no more than the text over which it gets there.
+WORDS = 60_000
+OCCURRENCES = 4_000_000
 #: Drawn or considered rows of a stretch of scores, about, and the most stretches.
 STRETCH_ROWS = 100_000
 STRETCHES = 2000
@@ -75,55 +76,70 @@ def grams_of(tokens: np.ndarray, text: np.ndarray, n_words: int, draw: Draw) ->
     return np.concatenate(which), np.concatenate(whose), distinct
 
 
+def small(values: np.ndarray) -> bytes:
+    """Numbers from 0 up in two bytes each if these do, else in four."""
+    size = "<u2" if not len(values) or values.max() < 1 << 16 else "<u4"
+    return size.encode() + values.astype(size).tobytes()
+
+
+def opened(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw[3:], raw[:3].decode())
+
+
 def sliced(docs: DataFrame, draw: Draw, key: str, text: str) -> DataFrame:
-    """Rows of slices: words, grams (places in words, and how often), and of each document its key, n_words and grams."""
+    """Rows of slices: words, grams (places in words, by length), how often each, and of each document its key, n_words and grams."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def slice_of(part: list[tuple]) -> dict:
-        own = [(t or "").encode("utf-8", "replace").translate(LETTERS).split() for _, t in part]
-        index: dict[bytes, int] = {}
-        tokens = np.array([index.setdefault(w, len(index)) for words in own for w in words], np.int64)
-        sizes = np.array([len(words) for words in own], np.int64)
-        which, whose, distinct = grams_of(tokens, np.repeat(np.arange(len(part)), sizes), len(index), draw)
-        order = np.argsort(whose, kind="stable")
+    def slice_of(index: dict[bytes, int], keys: list, texts: list[np.ndarray]) -> dict:
+        sizes = np.array([len(t) for t in texts], np.int64)
+        tokens = np.concatenate(texts).astype(np.int64)
+        which, whose, distinct = grams_of(tokens, np.repeat(np.arange(len(texts)), sizes), len(index), draw)
         return {
             "words": [w.decode("utf-8", "replace") for w in index],
-            "grams": [g.tolist() for grams in distinct for g in grams],
-            "often": np.bincount(which, minlength=sum(map(len, distinct))),
-            "keys": [k for k, _ in part],
+            "grams": [small(grams.ravel()) for grams in distinct],
+            "often": small(np.bincount(which, minlength=sum(map(len, distinct)))),
+            "keys": keys,
             "n_words": sizes,
-            "n_features": np.bincount(whose, minlength=len(part)),
-            "held": which[order].astype("<u4").tobytes(),
+            "n_features": np.bincount(whose, minlength=len(texts)),
+            "held": small(which[np.argsort(whose, kind="stable")]),
         }
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, size = [], 0
+        index, keys, texts, size = {}, [], [], 0
         for batch in batches:
             for k, t in zip(batch["key"].astype(object).where(batch["key"].notna(), None), batch["text"], strict=True):
-                part.append((k, t))
-                size += len(t or "")
-                if size >= SLICE:
-                    yield pd.DataFrame([slice_of(part)])
-                    part, size = [], 0
-        if part:
-            yield pd.DataFrame([slice_of(part)])
+                words = (t or "").encode("utf-8", "replace").translate(LETTERS).split()
+                keys.append(k)
+                texts.append(np.array([index.setdefault(w, len(index)) for w in words], np.int32))
+                size += len(words)
+                if len(index) >= WORDS or size >= OCCURRENCES or len(keys) >= OCCURRENCES:
+                    yield pd.DataFrame([slice_of(index, keys, texts)])
+                    index, keys, texts, size = {}, [], [], 0
+        if keys:
+            yield pd.DataFrame([slice_of(index, keys, texts)])
 
     rows = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))
     return rows.mapInPandas(
         cut,
-        f"words array<string>, grams array<array<int>>, often array<long>, keys array<{kind}>, "
-        "n_words array<long>, n_features array<long>, held binary",
+        f"words array<string>, grams array<binary>, often binary, keys array<{kind}>, n_words array<long>, n_features array<long>, held binary",
     ).withColumn("slice", F.monotonically_increasing_id())
 
 
-def numbered(slices: DataFrame, dictionary: DataFrame) -> DataFrame:
+def numbered(slices: DataFrame, dictionary: DataFrame, draw: Draw) -> DataFrame:
     """(slice, place, tuple, often): the distinct n-grams of each slice as tuples of the dictionary's integers."""
-    local = slices.select("slice", F.posexplode("words").alias("place", "word")).join(dictionary, "word")
-    ids = local.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("own"))  # as many as the slice has
-    ids = ids.select("slice", F.transform("own", lambda w: w["id"]).alias("ids"))
-    whole = F.transform("grams", lambda g: F.transform(g, lambda i: F.get("ids", i)))  # before the explode, which would copy ids for each row
-    grams = slices.select("slice", "grams", "often").join(ids, "slice").select("slice", F.arrays_zip(whole.alias("tuple"), "often").alias("own"))
-    return grams.select("slice", F.posexplode("own").alias("place", "g")).select("slice", "place", "g.tuple", "g.often")
+
+    def number(whole: pd.DataFrame, local: pd.DataFrame) -> pd.DataFrame:
+        ids = np.empty(len(local), np.int64)
+        ids[local["place"].to_numpy()] = local["id"].to_numpy()
+        tuples = []
+        for n, raw in zip(range(draw.shortest, draw.longest + 1), whole["grams"].iloc[0], strict=True):
+            tuples += list(ids[opened(raw).reshape(-1, n)])
+        return pd.DataFrame({"slice": whole["slice"].iloc[0], "place": np.arange(len(tuples)), "tuple": tuples, "often": opened(whole["often"].iloc[0])})
+
+    local = slices.select("slice", F.posexplode("words").alias("place", "word")).join(dictionary, "word").select(F.col("slice").alias("of"), "place", "id")
+    grams = slices.where(F.size("words") > 0).select("slice", "grams", "often")
+    met = grams.groupBy("slice").cogroup(local.groupBy("of"))  # one row of grams, and as many of words as the slice has
+    return met.applyInPandas(number, "slice long, place int, tuple array<long>, often long")
 
 
 def hashed(tuples: DataFrame, dictionary: DataFrame, buckets: int) -> DataFrame:
@@ -154,35 +170,31 @@ def weighed(docs: DataFrame, target: DataFrame, draw: Draw | None = None, key: s
     prepare(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "resample")
     kind = docs.schema[key].dataType.simpleString()
-    own = scratch.keep(sliced(docs, draw, key, text), "slices")
+    own = scratch.keep(sliced(docs, draw, key, text), "slices", "zstd")
     aim = scratch.keep(sliced(target.select(F.lit(0).alias("key"), F.col(quoted(text)).alias("text")), draw, "key", "text"), "target")
 
     words = own.select("words").union(aim.select("words")).select(F.explode("words").alias("word")).distinct()
     dictionary = scratch.keep(words.withColumn("id", F.monotonically_increasing_id()), "dictionary")
-    grams = scratch.keep(numbered(own, dictionary), "grams")
+    grams = scratch.keep(numbered(own, dictionary, draw), "grams", "zstd")
     nothing = F.lit(0).cast("long")
     both = grams.select("tuple", F.col("often").alias("raw"), nothing.alias("target")).union(
-        numbered(aim, dictionary).select("tuple", nothing, "often")
+        numbered(aim, dictionary, draw).select("tuple", nothing, "often")
     )
     distinct = both.groupBy("tuple").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     counted = scratch.keep(hashed(scratch.keep(distinct, "tuples"), dictionary, draw.buckets), "counted")
     gain = counted.join(F.broadcast(gains(counted, draw.buckets)), "bucket").select("tuple", "gain")
-
-    back = grams.join(gain, "tuple").groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("place", "gain"))).alias("g"))
-    back = back.select("slice", F.transform("g", lambda g: g["gain"]).alias("gains"))
-
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for keys, n_words, n_features, held, gain in batch.itertuples(index=False):
-                each = np.asarray(gain if gain is not None else [], np.int64)[np.frombuffer(held, "<u4")]
-                ends = np.cumsum(n_features)
-                total = np.r_[0, np.cumsum(each)]
-                yield pd.DataFrame(
-                    {"key": keys, "n_words": n_words, "n_features": n_features, "weight": total[ends] - total[ends - n_features]}
-                )
-
-    rows = own.join(back, "slice", "left").select("keys", "n_words", "n_features", "held", "gains")
-    return rows.mapInPandas(add_up, f"key {kind}, n_words long, n_features long, weight long").withColumnRenamed("key", key)
+    back = grams.select("slice", "place", "tuple").join(gain, "tuple").select(F.col("slice").alias("of"), "place", "gain")
+
+    def add_up(whole: pd.DataFrame, gains: pd.DataFrame) -> pd.DataFrame:
+        keys, n_words, n_features, held = whole[["keys", "n_words", "n_features", "held"]].iloc[0]
+        each = np.zeros(len(gains), np.int64)
+        each[gains["place"].to_numpy()] = gains["gain"].to_numpy()
+        total = np.r_[0, np.cumsum(each[opened(held)])]
+        ends = np.cumsum(n_features)
+        return pd.DataFrame({"key": keys, "n_words": n_words, "n_features": n_features, "weight": total[ends] - total[ends - n_features]})
+
+    rows = own.select("slice", "keys", "n_words", "n_features", "held").groupBy("slice").cogroup(back.groupBy("of"))
+    return rows.applyInPandas(add_up, f"key {kind}, n_words long, n_features long, weight long").withColumnRenamed("key", key)
 
 
 def resample(docs: DataFrame, target: DataFrame, draw: Draw | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

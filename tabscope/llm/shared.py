@@ -119,9 +119,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, table: str) -> DataFrame:
+    def keep(self, df: DataFrame, table: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{table}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: str) -> None:

@@ -46,9 +46,9 @@ def found_by(frame, columns=("doc_id", "n_features", "weight", "score", "rank"))
 
 
 @pytest.mark.parametrize("draw", [Draw(longest=1), Draw(), Draw(shortest=2, longest=3, buckets=50, least_words=3, percent=60, seed=7)])
-@pytest.mark.parametrize("size", [resample.SLICE, 900])
+@pytest.mark.parametrize("size", [resample.WORDS, 90])
 def test_against_plain_python(spark, monkeypatch, draw, size):
-    monkeypatch.setattr(resample, "SLICE", size)
+    monkeypatch.setattr(resample, "WORDS", size)
     monkeypatch.setattr(resample, "STRETCH_ROWS", 20)
     rows = [(k, t) for k, t, *_ in corpus.documents(5, 90)] + [(None, "a b c " * 10), (12, "one more row of a key " * 5), (12, "one more row of a key " * 5)]
     target = [t for _, t, *_ in corpus.documents(8, 40)]
