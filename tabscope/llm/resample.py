@@ -35,8 +35,8 @@ from tabscope.llm.shared import Scratch, prepare, quoted
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 #: Distinct words and occurrences of words in a slice, about; no more than the text over which it gets there.
-WORDS = 60_000
-OCCURRENCES = 4_000_000
+WORDS = 500_000
+OCCURRENCES = 2_000_000
 #: Drawn or considered rows of a stretch of scores, about, and the most stretches.
 STRETCH_ROWS = 100_000
 STRETCHES = 2000
