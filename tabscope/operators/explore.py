@@ -8,6 +8,7 @@ from math import isfinite
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabscope.functions.selection import QUARTILES, quantiles
 from tabscope.functions.values import (
     data_columns,
     finite,
@@ -53,14 +54,15 @@ def missingness_ranking(df: DataFrame) -> DataFrame:
 def distribution_frame(df: DataFrame, column: str) -> DataFrame:
     """One row of counts, moments and exact quartiles."""
     x = finite(df, column)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(
+    q = quantiles(df.select(x.alias("x")), [], "x", QUARTILES).select("q")
+    own = df.agg(
         F.count(F.lit(1)).alias("total_count"), F.count(x).alias("valid_count"),
         F.count_if(is_missing(df, column)).alias("missing_count"),
         F.count_if(F.coalesce(is_infinite(df, column), F.lit(False))).alias("non_finite_count"),
         F.avg(x).alias("mean"), F.stddev_samp(x).alias("standard_deviation"), F.min(x).alias("minimum"),
-        q.alias("q"), F.max(x).alias("maximum"),
-    ).select(
+        F.max(x).alias("maximum"),
+    )
+    return own.join(F.broadcast(q)).select(  # one row each
         "total_count", "valid_count", "missing_count", "non_finite_count", "mean", "standard_deviation", "minimum",
         F.col("q")[0].alias("first_quartile"), F.col("q")[1].alias("median"), F.col("q")[2].alias("third_quartile"), "maximum",
     )
@@ -103,8 +105,9 @@ def summarize_numeric_distribution(df: DataFrame, column: str, *, bins: int = 20
 def outlier_frame(df: DataFrame, column: str, multiplier: float = 1.5) -> DataFrame:
     """One row: quartiles, Tukey's fences and the counts strictly beyond them."""
     x = finite(df, column)
-    fences = df.agg(F.count(F.lit(1)).alias("total_count"), F.count(x).alias("valid_count"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    fences = fences.select("total_count", "valid_count", F.col("q")[0].alias("first_quartile"), F.col("q")[1].alias("third_quartile"))
+    total = df.agg(F.count(F.lit(1)).alias("total_count"))
+    quartiles = quantiles(df.select(x.alias("x")), [], "x", (0.25, 0.75)).withColumnRenamed("n", "valid_count")
+    fences = total.join(F.broadcast(quartiles)).select("total_count", "valid_count", F.col("q")[0].alias("first_quartile"), F.col("q")[1].alias("third_quartile"))
     iqr = F.col("third_quartile") - F.col("first_quartile")
     fences = fences.withColumn("iqr", iqr).withColumn("lower_bound", F.col("first_quartile") - multiplier * F.col("iqr")).withColumn(
         "upper_bound", F.col("third_quartile") + multiplier * F.col("iqr")

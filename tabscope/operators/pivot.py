@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabscope.functions.selection import with_medians
 from tabscope.functions.values import family_of, is_count, is_missing, present, quoted, require_column
 from tabscope.operators.records import PivotAggregation, PivotCardinality, PivotResult
 
@@ -97,13 +98,16 @@ def estimate_pivot_cardinality(
 def tidy_frame(df: DataFrame, dimensions: Sequence[str], value: str | None, how: PivotAggregation, include_missing: bool = False) -> DataFrame:
     """One row for each observed group: the dimensions and ``value``.  Infinities take part."""
     own = included(df, dimensions, include_missing)
+    if how is PivotAggregation.MEDIAN:
+        cells = own.select(*[present(df, d).alias(d) for d in dimensions], present(df, value).cast("double").alias("_x"))
+        return with_medians(cells.select(*map(quoted, dimensions)).distinct(), cells, list(dimensions), "_x", "value")
     if how is PivotAggregation.ROW_COUNT:
         cell = F.count(F.lit(1))
     else:
         x = present(df, value)
         cell = {
             PivotAggregation.COUNT: F.count, PivotAggregation.SUM: F.sum, PivotAggregation.MEAN: F.avg,
-            PivotAggregation.MEDIAN: F.median, PivotAggregation.MIN: F.min, PivotAggregation.MAX: F.max,
+            PivotAggregation.MIN: F.min, PivotAggregation.MAX: F.max,
         }[how](x)
     return own.groupBy(*[present(df, d).alias(d) for d in dimensions]).agg(cell.alias("value"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.functions.formats import day_micros, parsed
+from tabscope.functions.selection import with_medians
 from tabscope.functions.values import data_columns, family_of, finite, quoted
 from tabscope.operators.quality import quality_from
 from tabscope.operators.records import (
@@ -28,10 +29,12 @@ COUNTED = (SemanticType.IDENTIFIER, SemanticType.BINARY, SemanticType.CATEGORICA
 
 def numeric_frame(df: DataFrame, column: str) -> DataFrame:
     x = finite(df, column)
-    return df.agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.median(x).alias("median"),
-        F.stddev_samp(x).alias("standard_deviation"), F.min(x).alias("minimum"), F.max(x).alias("maximum"),
+    own = df.agg(
+        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("standard_deviation"),
+        F.min(x).alias("minimum"), F.max(x).alias("maximum"),
     )
+    both = with_medians(own, df.select(x.alias("x")), [], "x", "median")
+    return both.select("count", "mean", "median", "standard_deviation", "minimum", "maximum")
 
 
 def top_value_frame(df: DataFrame, column: str) -> DataFrame:

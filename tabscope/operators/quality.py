@@ -9,6 +9,7 @@ from math import ceil, isnan
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabscope.functions.selection import medians, with_medians
 from tabscope.functions.values import data_columns, family_of, finite, is_missing
 from tabscope.operators.records import DataQualityReport, DatasetSchema, QualityIssue, QualityIssueCode, QualitySeverity, SemanticType
 from tabscope.operators.schema import column_statistics, countable, schema_from
@@ -51,11 +52,11 @@ def sentinel_scores(df: DataFrame, candidates: list[tuple[str, float]]) -> DataF
     middle = long.groupBy("case", "v").agg(
         F.count_if(F.col("x") == F.col("v")).alias("hits"),
         F.count(rest).alias("others"),
-        F.median(rest).alias("middle"),
         F.stddev_samp(rest).alias("spread"),
     )
+    middle = with_medians(middle, long.where("x <> v"), ["case", "v"], "x", "middle")
     off = long.where("x <> v").join(F.broadcast(middle.select("case", "middle")), "case")  # two rows a column
-    mad = off.groupBy("case").agg(F.median(F.abs(F.col("x") - F.col("middle"))).alias("mad"))
+    mad = medians(off.select("case", F.abs(F.col("x") - F.col("middle")).alias("away")), ["case"], "away", "mad")
     scale = F.when(F.col("mad") > 0, F.col("mad") * NORMAL_MAD).when(F.col("spread") > 0, F.col("spread"))
     return middle.join(mad, "case").select(
         "case", "v", "hits", "others", (F.abs(F.col("v") - F.col("middle")) / scale).alias("score")

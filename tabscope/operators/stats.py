@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabscope.functions import special
 from tabscope.functions.ranks import average_ranks
+from tabscope.functions.selection import with_medians
 from tabscope.functions.values import family_of, finite, is_missing, present, require_column
 from tabscope.operators.records import (
     CategoricalAssociation,
@@ -65,19 +66,22 @@ def selected(df: DataFrame, value: str, group: str, groups: Sequence[object]) ->
 
 
 def group_frame(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("g").agg(
-        F.count(F.lit(1)).alias("selected"), F.count("x").alias("n"), F.avg("x").alias("mean"), F.median("x").alias("median"),
+    own = rows.groupBy("g").agg(
+        F.count(F.lit(1)).alias("selected"), F.count("x").alias("n"), F.avg("x").alias("mean"),
         F.stddev_samp("x").alias("sd"), F.var_samp("x").alias("var"), F.min("x").alias("low"), F.max("x").alias("high"),
     )
+    return with_medians(own, rows, ["g"], "x", "median")
 
 
 def summary_frame(df: DataFrame, value: str, group: str) -> DataFrame:
     """Count, mean, median, deviation, least and greatest finite value of every group."""
     rows = df.select(present(df, group).alias("group"), finite(df, value).alias("x")).where("group is not null and x is not null")
-    return rows.groupBy("group").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.median("x").alias("median"),
-        F.stddev_samp("x").alias("standard_deviation"), F.min("x").alias("minimum"), F.max("x").alias("maximum"),
+    own = rows.groupBy("group").agg(
+        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("standard_deviation"),
+        F.min("x").alias("minimum"), F.max("x").alias("maximum"),
     )
+    both = with_medians(own, rows, ["group"], "x", "median")
+    return both.select("group", "count", "mean", "median", "standard_deviation", "minimum", "maximum")
 
 
 def rank_sums(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.formats import day_micros, micros, parsed
+from tabscope.functions.selection import with_medians
 from tabscope.functions.values import ORDINAL, family_of, finite, quoted, require_column, require_number, with_ordinal
 from tabscope.operators.records import (
     TemporalAggregation,
@@ -100,11 +101,10 @@ def sampling_frame(axis: DataFrame) -> DataFrame:
         F.min("at").alias("earliest"),
         F.max("at").alias("latest"),
     )
-    steps = steps_frame(axis).agg(
-        F.count(F.lit(1)).alias("interval_count"), F.min("duration").alias("minimum_interval"),
-        F.median("duration").alias("median_interval"), F.max("duration").alias("maximum_interval"),
-    )
-    return one.join(F.broadcast(steps))
+    steps = steps_frame(axis)
+    own = steps.agg(F.count(F.lit(1)).alias("interval_count"), F.min("duration").alias("minimum_interval"), F.max("duration").alias("maximum_interval"))
+    own = with_medians(own, steps, [], "duration", "median_interval")
+    return one.join(F.broadcast(own.select("interval_count", "minimum_interval", "median_interval", "maximum_interval")))  # one row
 
 
 def dominant_frame(axis: DataFrame) -> DataFrame:
@@ -207,7 +207,10 @@ def buckets_frame(axis: DataFrame, value: str, frequency: str, aggregation: str)
     """bucket, value and count; buckets without rows don't appear."""
     x = finite(axis, value)
     rows = axis.select(bucket(F.col("timestamp"), frequency).alias("bucket"), x.alias("x")).where("bucket is not null and x is not null")
-    how = {"mean": F.avg, "median": F.median, "sum": F.sum, "min": F.min, "max": F.max}[aggregation]
+    if aggregation == "median":
+        found = with_medians(rows.groupBy("bucket").agg(F.count("x").alias("count")), rows, ["bucket"], "x", "value")
+        return found.select("bucket", "value", "count")
+    how = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[aggregation]
     return rows.groupBy("bucket").agg(how("x").alias("value"), F.count("x").alias("count"))
 
 

@@ -12,6 +12,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscope.functions import selection
 from tabscope.functions.special import chi2_above
 from tabscope.functions.values import with_ordinal
 from tabscope.operators import dataflow, explore, pivot, profile, quality, relate, schema, stats, temporal, transform
@@ -197,6 +198,16 @@ def numeric_pair(spark, sf_dir):
     return explore.pair_frame(rows, "l_quantity", "l_extendedprice").drop("_ordinal")
 
 
+@query(
+    "grouped_quantiles",
+    "SELECT l_returnflag, l_linenumber, count(*) AS n, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 4) AS q{round(100 * p)}" for p in (0.05, 0.25, 0.5, 0.95))
+    + " FROM lineitem GROUP BY 1, 2",
+)
+def grouped_quantiles(spark, sf_dir):
+    found = selection.quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], "l_extendedprice", (0.05, 0.25, 0.5, 0.95))
+    return rounded(found.select("l_returnflag", "l_linenumber", "n", *[F.col("q")[k].alias(f"q{p}") for k, p in enumerate((5, 25, 50, 95))]))
+
+
 @query("missingness_ranking", "SELECT 1 AS position, 'status' AS \"column\", count(*) FILTER (WHERE o_orderstatus = 'P') AS missing_count, "
        "round(count(*) FILTER (WHERE o_orderstatus = 'P') / count(*), 4) AS missing_ratio FROM orders")
 def missingness_ranking(spark, sf_dir):
