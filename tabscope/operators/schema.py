@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabscope.functions.formats import DATETIME_FORMATS, TIME_FORMATS, parsed
 from tabscope.functions.values import (
@@ -38,24 +39,51 @@ def countable(df: DataFrame, column: str) -> Column:
     return present(df, column)
 
 
+def distinct_counts(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """One row: for each name the count of its column's distinct non-null values.
+
+    Every value becomes a row of its column's place and a 128-bit hash; these are counted by
+    one aggregate, with partial counts before the shuffle, for all columns together.
+    """
+    names = list(values)
+    cells = []
+    for k, c in enumerate(values.values()):
+        if isinstance(df.select(c).schema[0].dataType, (T.FloatType, T.DoubleType)):
+            c = c + F.lit(0.0)  # -0.0 is 0.0
+        cells.append(F.struct(F.lit(k).alias("k"), F.when(c.isNotNull(), F.xxhash64(c)).alias("h"), F.xxhash64(F.lit(1), c).alias("i")))
+    if not cells:
+        return df.sparkSession.range(1).select()
+    rows = df.select(F.explode(F.array(*cells)).alias("v")).select("v.*").where("h is not null").distinct()
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(name) for k, name in enumerate(names)])
+
+
 def column_statistics(df: DataFrame) -> DataFrame:
     """One row: row count, and for the k-th column n_k present, u_k distinct and i_k all whole.
 
-    With c_k, f_k, lo_k, hi_k for the quality rules, so that one pass serves all of them.
+    With inf_k, f_k, d_k (finite ones, all and distinct), lo_k and hi_k for the quality rules.
     """
-    aggregates = [F.count(F.lit(1)).alias("rows")]
+    aggregates, values = [F.count(F.lit(1)).alias("rows")], {}
     for k, c in enumerate(data_columns(df)):
-        aggregates += [F.count(countable(df, c)).alias(f"n_{k}"), F.count_distinct(countable(df, c)).alias(f"u_{k}")]
+        aggregates.append(F.count(countable(df, c)).alias(f"n_{k}"))
+        values[f"u_{k}"] = countable(df, c)
         if family_of(df, c) == "number":
+            high, low = (number(df, c) == F.lit(float(side)) for side in ("inf", "-inf"))
             aggregates += [
                 F.min(F.coalesce(number(df, c) % 1 == 0, number(df, c).isNull())).alias(f"i_{k}"),
                 F.count_if(F.coalesce(is_infinite(df, c), F.lit(False))).alias(f"inf_{k}"),
                 F.count(finite(df, c)).alias(f"f_{k}"),
-                F.count_distinct(finite(df, c)).alias(f"d_{k}"),
                 F.min(finite(df, c)).alias(f"lo_{k}"),
                 F.max(finite(df, c)).alias(f"hi_{k}"),
+                (F.coalesce(F.max(high.cast("long")), F.lit(0)) + F.coalesce(F.max(low.cast("long")), F.lit(0))).alias(f"ends_{k}"),
             ]
-    return df.agg(*aggregates)
+            if isinstance(df.schema[c].dataType, (T.LongType, T.DecimalType)):  # several may be one double
+                values[f"d_{k}"] = finite(df, c)
+    both = df.agg(*aggregates).join(F.broadcast(distinct_counts(df, values)))  # one row each
+    for k, c in enumerate(data_columns(df)):
+        if family_of(df, c) == "number" and f"d_{k}" not in values:
+            both = both.withColumn(f"d_{k}", F.col(f"u_{k}") - F.col(f"ends_{k}"))
+    return both
 
 
 def format_scores(df: DataFrame, column: str) -> DataFrame:

@@ -6,6 +6,7 @@ sides.  Doubles are rounded on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -218,21 +219,34 @@ def missingness_ranking(spark, sf_dir):
 
 
 
-@query(
-    "semantic_types",
-    " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", '{kind}' AS semantic_type, CAST({sure} AS DOUBLE) AS confidence, count(*) - count({c}) AS missing_count, count(DISTINCT {c}) AS unique_count FROM {t}"
-        for t, c, kind, sure in (
-            ("events", "event_id", "identifier", 0.95), ("events", "ts", "datetime", 1.0), ("events", "event_type", "categorical", 0.85),
-            ("events", "value", "numeric_continuous", 0.9), ("orders", "o_orderstatus", "categorical", 0.85),
-            ("orders", "o_orderpriority", "categorical", 0.85), ("part", "p_size", "numeric_discrete", 0.85),
-            ("lineitem", "l_linenumber", "numeric_discrete", 0.85), ("lineitem", "l_linestatus", "binary", 0.95),
-        )
-    ),
+TYPED = (
+    ("events", "event_id"), ("events", "ts"), ("events", "event_type"), ("events", "value"), ("orders", "o_orderstatus"), ("orders", "o_orderpriority"),
+    ("part", "p_size"), ("lineitem", "l_linenumber"), ("lineitem", "l_linestatus"), ("documents", "text"), ("customer", "c_acctbal"), ("customer", "c_custkey"),
 )
+
+
+def types_sql() -> str:
+    """The rules of semantic types, from each column's counts."""
+    counts = " UNION ALL ".join(
+        f"""SELECT {k} AS k, '{c}' AS "column", CASE WHEN any_value(typeof({c})) LIKE 'TIMESTAMP%' THEN 'time' WHEN any_value(typeof({c})) = 'VARCHAR' THEN 'text' ELSE 'number' END AS kind,
+  count(*) AS r, count({c}) AS n, count(DISTINCT {c}) AS u, coalesce(bool_and(try_cast({c} AS DOUBLE) % 1 = 0), false) AS whole FROM {t}"""
+        for k, (t, c) in enumerate(TYPED)
+    )
+    few = "u <= 20 OR (u <= 50 AND u / n <= 0.2)"
+    some = "(u <= 20 AND u / n < 0.9) OR (u <= 50 AND u / n <= 0.2)"
+    rule = f"""CASE WHEN n = 0 THEN 'unknown 1.0' WHEN kind = 'time' THEN 'datetime 1.0'
+  WHEN regexp_matches("column", '(^id$|_id$|^id_|uuid|guid|_key$|^key$)', 'i') AND u / n >= 0.9 THEN 'identifier 0.95' WHEN u = 2 THEN 'binary 0.95'
+  WHEN kind = 'number' AND whole AND ({few}) THEN 'numeric_discrete 0.85' WHEN kind = 'number' AND whole THEN 'numeric_continuous 0.8'
+  WHEN kind = 'number' THEN 'numeric_continuous 0.9' WHEN {some} THEN 'categorical 0.85' ELSE 'text 0.75' END"""
+    return f"""WITH c AS ({counts}), t AS (SELECT *, string_split({rule}, ' ') AS t FROM c)
+SELECT "column", t[1] AS semantic_type, CAST(t[2] AS DOUBLE) AS confidence, r - n AS missing_count, u AS unique_count FROM t"""
+
+
+@query("semantic_types", types_sql())
 def semantic_types(spark, sf_dir):
     parts = []
-    for name, columns in (("events", ["event_id", "ts", "event_type", "value"]), ("orders", ["o_orderstatus", "o_orderpriority"]), ("part", ["p_size"]), ("lineitem", ["l_linenumber", "l_linestatus"])):
+    for name in dict.fromkeys(t for t, _ in TYPED):
+        columns = [c for t, c in TYPED if t == name]
         found = schema.schema_frame(table(spark, sf_dir, name).select(*columns))
         parts.append(found.select("column", "semantic_type", "confidence", "missing_count", "unique_count"))
     out = parts[0]
@@ -279,9 +293,12 @@ def quality_rows(spark, sf_dir):
 
 @query(
     "quality_findings",
-    "SELECT 'constant' AS code, 'same' AS \"column\", CAST(NULL AS BIGINT) AS affected_count "
-    "UNION ALL SELECT 'all_missing', 'void', NULL UNION ALL SELECT 'probable_identifier', 'doc_id', NULL "
-    "UNION ALL SELECT 'high_missingness', 'gap', count(*) FILTER (WHERE lang = 'en') FROM documents",
+    "WITH d AS (SELECT doc_id, 'x' AS same, CAST(NULL AS VARCHAR) AS void, nullif(lang, 'en') AS gap FROM documents), c AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS r, count({c}) AS n, count(DISTINCT {c}) AS u FROM d" for c in ("doc_id", "same", "void", "gap"))
+    + ") SELECT 'constant' AS code, \"column\", CAST(NULL AS BIGINT) AS affected_count FROM c WHERE u = 1 "
+    "UNION ALL SELECT 'all_missing', \"column\", NULL FROM c WHERE n = 0 "
+    "UNION ALL SELECT 'probable_identifier', \"column\", NULL FROM c WHERE n > 0 AND u / n >= 0.9 AND regexp_matches(\"column\", '(^id$|_id$|^id_|uuid|guid|_key$|^key$)', 'i') "
+    "UNION ALL SELECT 'high_missingness', \"column\", r - n FROM c WHERE n > 0 AND (r - n) / r >= 0.4",
 )
 def quality_findings(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -447,7 +464,9 @@ def spearman_pair(spark, sf_dir):
 
 @query(
     "relationship_states",
-    "SELECT 'constant_input' AS status, count(*) AS valid_count FROM customer UNION ALL SELECT 'insufficient_pairs', count(*) FILTER (WHERE c_custkey < 2) FROM customer",
+    "WITH c AS (SELECT 0 AS k, 1.5 AS x, c_acctbal AS y FROM customer UNION ALL SELECT 1, CASE WHEN c_custkey < 2 THEN c_custkey END, c_acctbal FROM customer) "
+    "SELECT CASE WHEN count(x) < 3 THEN 'insufficient_pairs' WHEN min(x) = max(x) OR min(y) FILTER (WHERE x IS NOT NULL) = max(y) FILTER (WHERE x IS NOT NULL) THEN 'constant_input' ELSE 'ok' END AS status, "
+    "count(x) AS valid_count FROM c GROUP BY k",
 )
 def relationship_states(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
@@ -688,17 +707,61 @@ def observed_values(spark, sf_dir):
 # --- Sources ----------------------------------------------------------------------
 
 
+def written_csv(df: DataFrame, delimiter: str = ",") -> str:
+    """Path of one CSV file that Spark has written out of a table, with every field quoted."""
+    folder = f"{reader.shared_folder(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.coalesce(1).write.options(header=True, quoteAll=True, escape='"', sep=delimiter, **spaces).csv(folder)
+    return df.sparkSession.read.format("binaryFile").load(f"{folder}/*.csv").select("path").first()["path"]
+
+
 @query(
     "read_csv_nations",
     "SELECT n_nationkey AS \"key\", n_name AS name, CAST(n_regionkey + 0.25 AS DOUBLE) AS number, n_nationkey % 2 = 0 AS even FROM nation",
 )
 def read_csv_nations(spark, sf_dir):
-    """The 25 nations as a file with semicolons and decimal commas, read back."""
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()
-    lines = [f"{r[0]};{r[1]};{r[2]},25;{r[0] % 2 == 0}" for r in rows]
-    return reader.read_dataset(spark, "\n".join(["key;name;number;even", *lines]).encode(), "nations.csv")
+    number = F.concat("n_regionkey", F.lit(",25"))
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), number.alias("number"), (F.col("n_nationkey") % 2 == 0).alias("even"))
+    return reader.read_dataset(spark, written_csv(rows, ";"))
 
 
-@query("chi_square_tail", "SELECT CAST(k AS BIGINT) AS x, round(exp(-k / 2.0) * (1 + k / 2.0), 4) AS p FROM range(1, 20) t(k)")
+@query(
+    "read_csv_line_breaks",
+    "SELECT doc_id, sha256(replace(text, 'a', chr(10) || '\"')) AS text_sha256, CASE WHEN lang = 'en' THEN NULL ELSE lang END AS lang FROM documents",
+)
+def read_csv_line_breaks(spark, sf_dir):
+    """Texts full of line breaks and quotes, out of one file that many tasks read."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.replace("text", F.lit("a"), F.lit('\n"')).alias("text"), F.when(F.col("lang") == "en", "NA").otherwise(F.col("lang")).alias("lang")
+    )
+    return reader.read_dataset(spark, written_csv(rows)).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang")
+
+
+@query(
+    "read_csv_odd_headers",
+    "SELECT o_orderkey AS \"Unnamed: 0\", o_orderstatus AS state, o_totalprice AS \"state.1\", o_orderpriority AS \"Unnamed: 3\" FROM orders",
+)
+def read_csv_odd_headers(spark, sf_dir):
+    """Blank and repeated names, tab-separated, through Spark's own line reader."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    lines = orders.select(F.lit(1).alias("k"), F.concat_ws("\t", *orders.columns).alias("line"))
+    head = spark.createDataFrame([(0, "\tstate\tstate\t")], "k int, line string")
+    folder = f"{reader.shared_folder(spark)}/tsv-{uuid.uuid4().hex}"
+    head.union(lines).coalesce(1).select("line").write.text(folder)  # the header's partition comes first
+    path = spark.read.format("binaryFile").load(f"{folder}/*.txt").select("path").first()["path"]
+    return reader.read_dataset(spark, path, "orders.csv")
+
+
+@query(
+    "chi_square_tail",
+    "WITH s AS (SELECT c_nationkey, c_mktsegment, count(*) AS o FROM customer GROUP BY 1, 2), "
+    "x AS (SELECT c_nationkey, sum(o) AS n, 5 * sum(o * o) / sum(o) - sum(o) AS x FROM s GROUP BY 1) "
+    "SELECT c_nationkey, CAST(n AS BIGINT) AS n, round(x, 4) AS statistic, round(exp(-x / 2) * (1 + x / 2), 4) AS p FROM x",
+)
 def chi_square_tail(spark, sf_dir):
-    return rounded(spark.createDataFrame([(x, chi2_above(x, 4)) for x in range(1, 20)], "x long, p double"))
+    """Whether a nation's customers are spread evenly over the five segments."""
+    counts = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("o"))
+    n = F.sum("o")
+    found = counts.groupBy("c_nationkey").agg(n.alias("n"), (5 * F.sum(F.col("o") * F.col("o")) / n - n).alias("statistic")).collect()  # nations
+    rows = [(*r, chi2_above(r["statistic"], 4)) for r in found]
+    return rounded(spark.createDataFrame(rows, "c_nationkey int, n long, statistic double, p double"))

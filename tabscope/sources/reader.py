@@ -18,8 +18,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.functions.values import quoted
+from tabscope.functions.values import ORDINAL, quoted
 from tabscope.operators.records import DatasetReadError, EmptyDatasetError, UnsupportedFileTypeError
+from tabscope.sources.blocks import records
 from tabscope.sources.xlsx import read_sheet
 
 # What is supported, tried, and taken as missing or as a number.
@@ -110,13 +111,15 @@ def head_of(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
-def placed(spark: SparkSession, payload: bytes) -> str:
-    """Path of a file with these bytes in the folder that ``spark.checkpoint.dir`` names, which executors see.
-
-    Where the session names none (tests, a single machine) it lies in a temporary folder.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one where the session names none (tests, a single machine)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder or 'file://' + tempfile.mkdtemp(prefix='tabscope-')}/upload-{uuid.uuid4().hex}.csv"
+    return folder or "file://" + tempfile.mkdtemp(prefix="tabscope-")
+
+
+def placed(spark: SparkSession, payload: bytes) -> str:
+    """Path of a file with these bytes in the folder that executors share."""
+    path = f"{shared_folder(spark)}/upload-{uuid.uuid4().hex}.csv"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
     try:
@@ -170,23 +173,46 @@ def typed(raw: DataFrame, decimal: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, head: bytes) -> DataFrame:
+    """The table of a CSV file; a large file is read by many tasks.
+
+    Files in which no line break is quoted are split by Spark's own reader, others by
+    ``blocks``; those whose lines end with a carriage return alone are read whole.
+    """
     if not head.strip():
         raise ValueError("No columns to parse from file")
     sample, encoding = decoded(head)
     delimiter = delimiter_of(sample)
     names = header_names(next(csv.reader(StringIO(sample), delimiter=delimiter)))
-    fields = ", ".join("`" + n.replace("`", "``") + "` string" for n in [f"c{k}" for k in range(len(names))])
+    alone = "\r" in sample.replace("\r\n", "")
+    found = None if alone else records(spark, path, delimiter, encoding)
+    raw = of_records(found, len(names)) if found is not None else of_lines(spark, path, len(names), delimiter, encoding, alone)
+    return typed(raw, decimal_of(sample, delimiter)).toDF(*names)
+
+
+TOO_LONG = "Error tokenizing data: a row has more fields than the header."
+
+
+def of_lines(spark: SparkSession, path: str, width: int, delimiter: str, encoding: str, whole: bool) -> DataFrame:
+    fields = ", ".join(f"c{k} string" for k in range(width))
     raw = (
         spark.read.schema(f"{fields}, __corrupt string")
-        .options(header=True, sep=delimiter, encoding=encoding, quote='"', escape='"', multiLine=True, mode="PERMISSIVE")
+        .options(header=True, sep=delimiter, encoding=encoding, quote='"', escape='"', multiLine=whole, mode="PERMISSIVE")
         .options(columnNameOfCorruptRecord="__corrupt", enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         .csv(path)
     )
     # a record longer than the header is an error; a shorter one is padded
-    long = raw.where(F.col("__corrupt").isNotNull() & F.col(f"c{len(names) - 1}").isNotNull())
+    long = raw.where(F.col("__corrupt").isNotNull() & F.col(f"c{width - 1}").isNotNull())
     if not long.select(*raw.columns).limit(1).isEmpty():
-        raise ValueError("Error tokenizing data: a row has more fields than the header.")
-    return typed(raw.drop("__corrupt"), decimal_of(sample, delimiter)).toDF(*names)
+        raise ValueError(TOO_LONG)
+    return raw.drop("__corrupt")
+
+
+def of_records(found: DataFrame, width: int) -> DataFrame:
+    """The records but for the header, as columns c0, c1 ..., longer ones refused and shorter ones padded."""
+    first, longest = found.agg(F.min(ORDINAL), F.max(F.size("fields"))).first()
+    if longest > width:
+        raise ValueError(TOO_LONG)
+    return found.where(F.col(ORDINAL) > first).select(*[F.get("fields", F.lit(k)).alias(f"c{k}") for k in range(width)])
 
 
 def read_xlsx(spark: SparkSession, payload: bytes, sheet: int | str) -> DataFrame:
