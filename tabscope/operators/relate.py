@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.functions.ranks import average_ranks
+from tabscope.functions.gram import pair_moments
+from tabscope.functions.ranks import ranked_series
 from tabscope.functions.values import finite, is_count, require_number
-from tabscope.operators.explore import both_present
 from tabscope.operators.records import (
     CorrelationMatrix,
     CorrelationMethod,
@@ -52,28 +51,59 @@ def moments(x: Column, y: Column) -> Column:
     return F.struct(F.count_if(both).alias("valid_count"), pearson(x, y).alias("coefficient"), F.coalesce(constant, F.lit(True)).alias("constant"))
 
 
-def ranked_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Average ranks x and y of the rows where both numbers are finite."""
-    pairs = df.select(finite(df, x).alias("x"), finite(df, y).alias("y")).where(both_present("x", "y"))
-    rx = average_ranks(pairs.select("x"), "x").select("x", F.col("rank").alias("rx"))
-    ry = average_ranks(pairs.select("y"), "y").select("y", F.col("rank").alias("ry"))
-    return pairs.join(rx, "x").join(ry, "y").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
+def ranked(df: DataFrame, columns: list[str], series: list[tuple[int, int]]) -> DataFrame:
+    """Columns r0, r1 ...: for each (i, j) the average rank of column i among the rows that have both i and j, else null."""
+    own = df.select(F.monotonically_increasing_id().alias("row"), *[finite(df, c).alias(f"c{k}") for k, c in enumerate(columns)])
+    cells = [F.struct(F.lit(s).alias("s"), F.when(F.col(f"c{j}").isNotNull(), F.col(f"c{i}")).alias("x")) for s, (i, j) in enumerate(series)]
+    long = own.select("row", F.explode(F.array(*cells)).alias("v")).select("row", "v.*").where("x is not null")
+    ranks = ranked_series(long, len(series)).groupBy("row")
+    return ranks.agg(*[F.max(F.when(F.col("s") == s, F.col("rank"))).alias(f"r{s}") for s in range(len(series))]).drop("row")
+
+
+def series_of(df: DataFrame, columns: list[str]) -> tuple[list[tuple[int, int]], dict[tuple[int, int], int]]:
+    """What is to be ranked, and for each pair (i, j) of columns which series ranks i.
+
+    Columns that are missing in the same rows leave the same rows of any other column, so
+    they share its series; a table without gaps needs one for each column.
+    """
+    places = range(len(columns))
+    pairs = [(i, j) for i in places for j in places if i <= j]
+    there = [F.when(finite(df, c).isNotNull(), 1.0) for c in columns]
+    n = {pairs[r["pair"]]: r["n"] for r in pair_moments(df, there, pairs).select("pair", "n").collect()}  # a row for each pair
+    count = lambda i, j: n.get((min(i, j), max(i, j)), 0)
+    like = [next(k for k in places if count(k, k) == count(k, j) == count(j, j)) for j in places]
+    series: dict[tuple[int, int], int] = {}
+    place = {(i, j): series.setdefault((i, like[j]), len(series)) for i in places for j in places}
+    return list(series), place
 
 
 def pair_frames(df: DataFrame, pairs: list[tuple[str, str]], method: CorrelationMethod) -> DataFrame:
     """x_column, y_column, valid_count, coefficient and constant of each pair, each on its own complete rows.
 
-    Pearson takes one pass over the table for all pairs; Spearman ranks each pair's rows.
+    A single Pearson pair is one aggregate; all others are pairs of columns, or of ranks, in
+    one matrix of moments.
     """
-    name = lambda x, y: [F.lit(x).alias("x_column"), F.lit(y).alias("y_column")]
+    if method is CorrelationMethod.PEARSON and len(pairs) == 1:
+        (x, y), = pairs
+        own = df.agg(moments(finite(df, x), finite(df, y)).alias("m"))
+        return own.select(F.lit(x).alias("x_column"), F.lit(y).alias("y_column"), "m.*")
+    columns = list(dict.fromkeys(c for p in pairs for c in p))
+    at = {c: k for k, c in enumerate(columns)}
+    places = [(at[x], at[y]) for x, y in pairs]
     if method is CorrelationMethod.PEARSON:
-        one = df.agg(*[moments(finite(df, x), finite(df, y)).alias(f"p_{k}") for k, (x, y) in enumerate(pairs)])
-        rows = F.array(*[F.struct(*name(x, y), F.col(f"p_{k}").alias("m")) for k, (x, y) in enumerate(pairs)])
-        return one.select(F.explode(rows).alias("r")).select("r.x_column", "r.y_column", "r.m.*")
-    parts = [
-        ranked_pairs(df, x, y).agg(moments(F.col("x"), F.col("y")).alias("m")).select(*name(x, y), "m.*") for x, y in pairs
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        found = pair_moments(df, [finite(df, c) for c in columns], places)
+    else:
+        series, which = series_of(df, columns)
+        ranks = ranked(df, columns, series)
+        found = pair_moments(ranks, [F.col(c) for c in ranks.columns], [(which[i, j], which[j, i]) for i, j in places])
+    named = df.sparkSession.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "pair long, x_column string, y_column string")
+    constant = (F.col("lox") == F.col("hix")) | (F.col("loy") == F.col("hiy"))
+    value = F.col("cxy") / F.nullif(F.sqrt("cxx") * F.sqrt("cyy"), F.lit(0.0))
+    return named.join(F.broadcast(found), "pair", "left").select(  # a row for each pair
+        "x_column", "y_column", F.coalesce("n", F.lit(0)).alias("valid_count"),
+        F.when(~constant, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))).alias("coefficient"),
+        F.coalesce(constant, F.lit(True)).alias("constant"),
+    )
 
 
 def relationship_frame(df: DataFrame, x: str, y: str, method: str = "pearson", minimum_pairs: int = 3) -> DataFrame:
@@ -105,18 +135,14 @@ def analyze_numeric_relationship(df: DataFrame, x: str, y: str, *, method="pears
 
 def matrix_cells(df: DataFrame, columns: list[str], method: CorrelationMethod, minimum_pairs: int = 3) -> DataFrame:
     """x_column, y_column, coefficient and valid_count for every pair of columns, both ways, and each with itself."""
-    upper = pair_frames(df, list(combinations(columns, 2)), method)
+    found = pair_frames(df, [*combinations(columns, 2), *[(c, c) for c in columns]], method)
     told = (F.col("valid_count") >= minimum_pairs) & ~F.col("constant")
-    cells = upper.select("x_column", "y_column", F.when(told, F.col("coefficient")).alias("coefficient"), "valid_count")
-    lower = cells.select(F.col("y_column").alias("x_column"), F.col("x_column").alias("y_column"), "coefficient", "valid_count")
-    own = df.agg(
-        *[F.struct(F.count(finite(df, c)).alias("n"), F.coalesce(F.min(finite(df, c)) < F.max(finite(df, c)), F.lit(False)).alias("varies")).alias(f"c_{k}") for k, c in enumerate(columns)]
-    ).select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"c_{k}").alias("s")) for k, c in enumerate(columns)])).alias("r"))
-    diagonal = own.select(
-        F.col("r.c").alias("x_column"), F.col("r.c").alias("y_column"),
-        F.when((F.col("r.s.n") >= minimum_pairs) & F.col("r.s.varies"), F.lit(1.0)).alias("coefficient"), F.col("r.s.n").alias("valid_count"),
-    )
-    return cells.unionByName(lower).unionByName(diagonal)
+    same = F.col("x_column") == F.col("y_column")
+    cells = found.select("x_column", "y_column", F.when(told, F.when(same, 1.0).otherwise(F.col("coefficient"))).alias("coefficient"), "valid_count")
+    both = F.when(same, F.array(F.struct("x_column", "y_column"))).otherwise(
+        F.array(F.struct("x_column", "y_column"), F.struct(F.col("y_column").alias("x_column"), F.col("x_column").alias("y_column")))
+    )
+    return cells.select(F.explode(both).alias("c"), "coefficient", "valid_count").select("c.*", "coefficient", "valid_count")
 
 
 def build_correlation_matrix(df: DataFrame, columns, *, method="pearson", minimum_pairs: int = 3) -> CorrelationMatrix:

@@ -462,6 +462,28 @@ def spearman_pair(spark, sf_dir):
     return rounded(relate.relationship_frame(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "spearman"))
 
 
+RANKED_SQL = """
+WITH t AS (SELECT l_quantity AS a, CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS b, CASE WHEN l_returnflag <> 'R' THEN l_discount END AS c,
+  CASE WHEN l_linenumber <> 3 THEN l_tax END AS d FROM lineitem),
+p AS ({pairs}), r AS (SELECT x_column, y_column, rank() OVER (PARTITION BY x_column, y_column ORDER BY x) + (count(*) OVER (PARTITION BY x_column, y_column, x) - 1) / 2 AS x,
+  rank() OVER (PARTITION BY x_column, y_column ORDER BY y) + (count(*) OVER (PARTITION BY x_column, y_column, y) - 1) / 2 AS y FROM p)
+SELECT x_column, y_column, round(corr(x, y), 4) AS coefficient, count(*) AS valid_count FROM r GROUP BY x_column, y_column
+""".replace("{pairs}", " UNION ALL ".join(
+    f"SELECT '{x}' AS x_column, '{y}' AS y_column, {x} AS x, {y} AS y FROM t WHERE {x} IS NOT NULL AND {y} IS NOT NULL" for x in "abcd" for y in "abcd"
+))
+
+
+@query("spearman_matrix", RANKED_SQL)
+def spearman_matrix(spark, sf_dir):
+    """Rank correlations of four columns, three with gaps, of which two in the same rows."""
+    third = F.col("l_linenumber") != 3
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_quantity").alias("a"), F.when(third, F.col("l_extendedprice")).alias("b"),
+        F.when(F.col("l_returnflag") != "R", F.col("l_discount")).alias("c"), F.when(third, F.col("l_tax")).alias("d"),
+    )
+    return rounded(relate.matrix_cells(rows, list("abcd"), CorrelationMethod.SPEARMAN))
+
+
 @query(
     "relationship_states",
     "WITH c AS (SELECT 0 AS k, 1.5 AS x, c_acctbal AS y FROM customer UNION ALL SELECT 1, CASE WHEN c_custkey < 2 THEN c_custkey END, c_acctbal FROM customer) "
