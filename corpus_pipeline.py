@@ -9,7 +9,9 @@ through up to the last stage.  An empty table gives an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.llm import bpe, decontam, langid, neardup, secrets
@@ -23,10 +25,17 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), of_text)), key
 
 
+def set_aside(docs: DataFrame, *results: str) -> tuple[DataFrame, Callable[[str], Column]]:
+    """``docs`` with other names for columns that are called like results, and what gives a column its name back."""
+    taken = {c: unused(docs, f"aside_{k}") for k, c in enumerate(docs.columns) if c.lower() in results}
+    return docs.withColumnsRenamed(taken), lambda c: F.col(quoted(taken.get(c, c))).alias(c)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no language, those without text or letters; ``lang`` becomes the predicted one."""
-    found = langid.predict(docs, langid.fit(docs)).where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumn("lang", F.col("lang_pred")).select(*map(quoted, docs.columns))
+    own, back = set_aside(docs, "lang_pred", "lang_score")
+    found = langid.predict(own, langid.fit(own)).where(F.col("lang_pred") != langid.UNKNOWN)
+    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else back(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +54,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets by markers of their kind."""
-    clean = secrets.redacted(F.col("text"), F.col("spans"))
-    found = secrets.scan(docs).withColumn("text", clean)
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own, back = set_aside(docs, "spans")
+    found = secrets.scan(own).withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
+    return found.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else back(c) for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
