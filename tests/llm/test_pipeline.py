@@ -52,3 +52,34 @@ def test_stage_columns(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").limit(40)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, tables).columns == docs.columns
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, spans string, lang_pred string, Lang_Score int, `a.b` string, row_key int"
+
+
+def odd_rows():
+    """Null ids and texts, repeated rows, and columns called like the stages' own."""
+    text = "password: hunter22 " + corpus.prose(random.Random(3), 60)
+    other = corpus.prose(random.Random(4), 60)
+    tail = ("mine", "own", 7, "dotted", 1)
+    rows = [(1, text), (1, text), (2, text), (None, other), (None, other), (None, None), (3, None), (4, "??!"), (5, corpus.prose(random.Random(5), 60))]
+    return [(k, t, "en", "s", len(t or ""), *tail) for k, t in rows]
+
+
+def test_odd_columns_and_rows(spark, tables):
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, tables).collect(), ODD)  # as the next stage reads it
+        assert all(tuple(r)[5:] == ("mine", "own", 7, "dotted", 1) for r in docs.collect()), name
+        assert all(r["text"] for r in docs.collect())
+    kept = sorted((r["doc_id"] or 0, r["text"][:10]) for r in docs.collect())
+    assert [k for k, _ in kept] == [0, 0, 1, 1, 5]
+    assert all(t.startswith("[assign] ") for k, t in kept if k == 1)
+    assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, tables).count() == 5
+
+
+def test_empty_table(spark, tmp_path, tables):
+    corpus.write(spark, tmp_path, [])
+    spark.read.parquet(f"{tables}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
