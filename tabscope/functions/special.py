@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import erfc, exp, inf, isfinite, isnan, lgamma, log, nan, sqrt
+from fractions import Fraction
+from math import comb, erfc, exp, inf, isfinite, isnan, lcm, lgamma, log, nan, sqrt
 
 TINY = 1e-300
 
@@ -82,16 +83,38 @@ def normal_above(z: float) -> float:
     return erfc(z / sqrt(2)) / 2
 
 
+def bounded_partitions(u: int, parts: int, most: int) -> int:
+    """How many multisets of ``parts`` numbers from 0 to ``most`` have a sum of ``u`` at most.
+
+    They are counted by the product of (1 - q^(most+k)) / (1 - q^k) over k up to ``parts``,
+    and 1 / (1 - q) for the running sum.  All denominators divide 1 - q^m for their common
+    multiple m, so what stands over its power is one polynomial, of a degree that only
+    ``parts`` decides, and each coefficient of the quotient a few binomials.  The factors
+    above give few terms, each a shift by a multiple of ``most``.  Exact integers; the memory
+    is the polynomial (7000 terms for eight parts), however large ``u`` and ``most`` are.
+    """
+    m = lcm(*range(1, parts + 1))
+    over = [1]
+    for a in (1, *range(1, parts + 1)):  # times (1 - q^m) / (1 - q^a)
+        longer = over + [0] * (m - a)
+        for i in range(a, len(longer)):
+            longer[i] += longer[i - a]
+        over = [w - (longer[i - m] if i >= m else 0) for i, w in enumerate(longer)]
+    shifts = {(0, 0): 1}
+    for k in range(1, parts + 1):
+        for (count, total), sign in list(shifts.items()):
+            at = (count + 1, total + k)
+            shifts[at] = shifts.get(at, 0) - sign
+    out = 0
+    for (count, total), sign in shifts.items():
+        left = u - count * most - total
+        if left >= 0:
+            out += sign * sum(over[j] * comb((left - j) // m + parts, parts) for j in range(left % m, min(len(over) - 1, left) + 1, m))
+    return out
+
+
 def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
-    """Two-sided chance of a U at least as far from its mean, without ties."""
-    ways = [1]  # of each U, as the product of (1 - q^(n2+k)) / (1 - q^k)
-    for k in range(1, n1 + 1):
-        top = [0] * (len(ways) + n2 + k)
-        for i, w in enumerate(ways):
-            top[i] += w
-            top[i + n2 + k] -= w
-        for i in range(k, len(top)):
-            top[i] += top[i - k]
-        ways = top[: n2 * k + 1]
-    high = int(max(u, n1 * n2 - u))
-    return min(1.0, 2 * sum(ways[high:]) / sum(ways))
+    """Two-sided chance of a U at least as far from its mean, without ties; the smaller group decides the work."""
+    few, many = min(n1, n2), max(n1, n2)
+    low = int(min(u, n1 * n2 - u))
+    return min(1.0, float(Fraction(2 * bounded_partitions(low, few, many), comb(n1 + n2, few))))

@@ -489,7 +489,15 @@ class TemporalGapSummary:
     expected_interval: timedelta
     unique_timestamp_count: int
     gap_count: int
-    gaps: tuple[TemporalGap, ...]
+    #: start, end, duration and excess in microseconds; there may be as many as timestamps
+    frame: DataFrame
+
+    @property
+    def gaps(self) -> tuple[TemporalGap, ...]:
+        """All of them on the driver, in order; read anew each time."""
+        span = lambda n: timedelta(microseconds=n)
+        rows = self.frame.orderBy("start").collect()
+        return tuple(TemporalGap(r["start"], r["end"], span(r["duration"]), self.expected_interval, span(r["excess"])) for r in rows)
 
 
 @record

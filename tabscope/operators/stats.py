@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Hashable, Sequence
 from math import inf, isfinite, nan, sqrt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions import special
@@ -235,26 +235,48 @@ def compare_multiple_numeric_groups(
 
 
 def crosstab_frame(df: DataFrame, row: str, column: str) -> DataFrame:
-    """Every pair of levels with its observed and expected count; complete rows only."""
+    """Every observed pair of levels with its count, its margins and what is expected; complete rows only."""
     pairs = df.where(~is_missing(df, row) & ~is_missing(df, column)).select(present(df, row).alias("row"), present(df, column).alias("column"))
     counts = pairs.groupBy("row", "column").agg(F.count(F.lit(1)).alias("observed"))
     rows = counts.groupBy("row").agg(F.sum("observed").alias("row_total"))
     columns = counts.groupBy("column").agg(F.sum("observed").alias("column_total"))
     total = counts.agg(F.sum("observed").alias("total"))
-    cells = rows.crossJoin(columns)  # levels only, within the cell guard
-    filled = cells.join(counts, ["row", "column"], "left").join(F.broadcast(total))
-    return filled.select(
-        "row", "column", F.coalesce("observed", F.lit(0)).alias("observed"),
-        (F.col("row_total") * F.col("column_total") / F.col("total")).alias("expected"),
-    )
+    met = counts.join(rows, "row").join(columns, "column").join(F.broadcast(total))  # one row
+    expected = F.col("row_total") * F.col("column_total") / F.col("total")
+    return met.select("row", "column", "observed", expected.alias("expected"), "row_total", "column_total", "total")
+
+
+def full_crosstab(cells: DataFrame) -> DataFrame:
+    """All pairs of levels, those never observed with a count of 0; for tables within the cell guard."""
+    rows, columns = (cells.groupBy(c).agg(F.first(f"{c}_total").alias("n")).withColumnRenamed("n", f"{c}_n") for c in ("row", "column"))
+    total = cells.agg(F.first("total").alias("total"))
+    every = rows.crossJoin(columns).join(cells.select("row", "column", "observed"), ["row", "column"], "left").join(F.broadcast(total))
+    expected = F.col("row_n") * F.col("column_n") / F.col("total")
+    return every.select("row", "column", F.coalesce("observed", F.lit(0)).alias("observed"), expected.alias("expected"))
 
 
 def chi_square_frame(cells: DataFrame) -> DataFrame:
-    """One row: levels, rows, statistic, and what is expected at least."""
-    return cells.agg(
-        F.count_distinct("row").alias("rows"), F.count_distinct("column").alias("columns"), F.sum("observed").alias("n"),
-        F.sum((F.col("observed") - F.col("expected")) ** 2 / F.col("expected")).alias("statistic"),
-        F.min("expected").alias("least"), F.count_if(F.col("expected") < 5).alias("below"),
+    """One row over all pairs of levels: rows, columns, n, statistic, least (expected at least) and below (expected under 5).
+
+    Pairs never observed aren't listed.  Each adds what is expected of it, so together they
+    add what the observed ones leave of the total; the least expected is that of the smallest
+    margins; and pairs under 5 are counted for each row total over running counts of column
+    totals, as many as there are distinct totals.
+    """
+    sides = [cells.groupBy(F.col(c).alias("level")).agg(F.first(f"{c}_total").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("k")) for c in ("row", "column")]
+    ends = [s.agg(F.sum("k").alias(f"{c}s"), F.min("m").alias(f"{c}_m")) for s, c in zip(sides, ("row", "column"), strict=True)]
+    gap = F.col("observed") - F.col("expected")
+    sums = cells.agg(F.sum("observed").alias("n"), F.sum(gap * gap / F.col("expected")).alias("seen"), F.sum("expected").alias("covered"))
+    one = sums.join(F.broadcast(ends[0])).join(F.broadcast(ends[1]))  # one row each
+    # column totals under 5 n / m, for each row total m: whole numbers, so counted up to the last below it
+    limit = F.ceil(5 * F.col("n") / F.col("m")) - 1
+    marks = sides[0].join(F.broadcast(sums.select("n"))).select(limit.alias("at"), F.col("k").alias("rows"), F.lit(0).cast("long").alias("columns"))
+    line = marks.union(sides[1].select("m", F.lit(0).cast("long"), "k"))
+    upto = F.sum("columns").over(Window.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    below = line.withColumn("upto", upto).agg(F.coalesce(F.sum(F.col("rows") * F.col("upto")), F.lit(0)).alias("below"))
+    return one.join(F.broadcast(below)).select(
+        "rows", "columns", "n", (F.col("seen") + F.greatest(F.lit(0.0), F.col("n") - F.col("covered"))).alias("statistic"),
+        (F.col("row_m") * F.col("column_m") / F.col("n")).alias("least"), "below",
     )
 
 
@@ -280,14 +302,14 @@ def analyze_categorical_association(df: DataFrame, row_column: str, column_colum
     if rows * columns > max_cells:
         raise ValueError(f"Contingency table is too large: {rows * columns:,} potential cells exceeds the limit of {max_cells:,}.")
     cells = crosstab_frame(df, row_column, column_column)
-    r = chi_square_frame(cells).first()
+    full, r = full_crosstab(cells), chi_square_frame(cells).first()
     dof, size = (rows - 1) * (columns - 1), rows * columns
     p = special.chi2_above(r["statistic"], dof)
     strength = sqrt(r["statistic"] / (used * min(rows - 1, columns - 1)))
     return CategoricalAssociation(
         row_column, column_column, alpha, total, used, total - used, rows, columns, size, r["statistic"], dof, p,
         significance(p, alpha), strength, r["least"], r["below"], r["below"] / size,
-        cells.select("row", "column", "observed"), cells.select("row", "column", "expected"),
+        full.select("row", "column", "observed"), full.select("row", "column", "expected"),
     )
 
 

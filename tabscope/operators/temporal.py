@@ -9,14 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.formats import day_micros, micros, parsed
-from tabscope.functions.selection import with_medians
+from tabscope.functions.selection import ACCURACY, CELLS, edge_place, with_medians
 from tabscope.functions.values import ORDINAL, family_of, finite, quoted, require_column, require_number, with_ordinal
 from tabscope.operators.records import (
     TemporalAggregation,
     TemporalAggregationResult,
     TemporalAxis,
     TemporalFrequency,
-    TemporalGap,
     TemporalGapSummary,
     TemporalNumericSeries,
     TemporalSamplingSummary,
@@ -73,17 +72,27 @@ def prepare_temporal_axis(df: DataFrame, date_column: str, *, date_format=None,
     return TemporalAxis(date_column, time_column, total, valid, total - valid, data)
 
 
+def placed_frame(axis: DataFrame) -> DataFrame:
+    """(at, day, cell): the distinct timestamps in microseconds, with the stretch that each is in."""
+    rows = axis.where("timestamp is not null").select(micros(F.col("timestamp")).alias("at"))
+    grid = [k / CELLS for k in range(1, CELLS)]
+    bounds = rows.agg(F.array_distinct(F.percentile_approx("at", grid, ACCURACY)).alias("edges"))  # one row
+    placed = rows.distinct().join(F.broadcast(bounds)).withColumn("cell", edge_place(F.col("at"), F.col("edges")))
+    return placed.select("at", F.floor(F.col("at") / DAY).alias("day"), "cell")
+
+
 def steps_frame(axis: DataFrame) -> DataFrame:
     """Consecutive distinct timestamps with the microseconds between: start, end, duration.
 
-    Timestamps are dealt out by day, and each day's first is joined to the last of the day
-    that has timestamps before, so no task sorts them all; one row for each day is ordered.
+    Timestamps are dealt out to stretches, by day and, within crowded days, between
+    approximate quantiles of all of them; so a table of a single day makes many stretches
+    too.  A stretch's last is joined to the first of the next that has any, so no task sorts
+    them all; one row for each stretch is ordered.
     """
-    at = axis.where("timestamp is not null").select(micros(F.col("timestamp")).alias("at")).distinct()
-    days = at.withColumn("day", F.floor(F.col("at") / DAY))
-    inner = days.withColumn("end", F.lead("at").over(Window.partitionBy("day").orderBy("at")))
-    edges = days.groupBy("day").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    across = edges.withColumn("next", F.lead("first").over(Window.orderBy("day"))).select(F.col("last").alias("at"), F.col("next").alias("end"))
+    dealt = placed_frame(axis)
+    inner = dealt.withColumn("end", F.lead("at").over(Window.partitionBy("day", "cell").orderBy("at")))
+    edges = dealt.groupBy("day", "cell").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    across = edges.withColumn("next", F.lead("first").over(Window.orderBy("day", "cell"))).select(F.col("last").alias("at"), F.col("next").alias("end"))
     steps = inner.select("at", "end").where("end is not null").unionByName(across.where("end is not null"))
     return steps.select(from_micros(F.col("at")).alias("start"), from_micros(F.col("end")).alias("end"), (F.col("end") - F.col("at")).alias("duration"))
 
@@ -170,10 +179,9 @@ def gaps_frame(axis: DataFrame, expected: timedelta) -> DataFrame:
 
 def detect_time_gaps(temporal: TemporalAxis, expected_interval: object) -> TemporalGapSummary:
     expected = interval_of(expected_interval)
-    rows = gaps_frame(temporal.data, expected).orderBy("start").collect()
-    gaps = tuple(TemporalGap(r["start"], r["end"], span_of(r["duration"]), expected, span_of(r["excess"])) for r in rows)
+    found = gaps_frame(temporal.data, expected)
     unique = temporal.data.agg(F.count_distinct("timestamp")).first()[0]
-    return TemporalGapSummary(expected, unique, len(gaps), gaps)
+    return TemporalGapSummary(expected, unique, found.count(), found)
 
 
 def series_frame(axis: DataFrame, value: str) -> DataFrame:

@@ -554,6 +554,27 @@ def mann_whitney(spark, sf_dir):
     return rounded(one_row(spark, statistic=r.statistic, effect_size=r.effect_size))
 
 
+EXACT_SQL = """
+WITH x AS (SELECT c_acctbal + c_custkey / 1e8 AS v, c_custkey < 7 AS few FROM customer), r AS (SELECT few, rank() OVER (ORDER BY v) AS r FROM x),
+g AS (SELECT sum(r) FILTER (WHERE few) - 28 AS u, 7 * count(*) FILTER (WHERE NOT few) AS nn, count(*) FILTER (WHERE NOT few) AS n FROM r),
+w0 AS (SELECT i, CAST(CASE WHEN i = 0 THEN 1 ELSE 0 END AS HUGEINT) AS w FROM (SELECT unnest(range(0, nn + 1)) AS i FROM g)),
+""" + ", ".join(
+    f"""w{k} AS MATERIALIZED (SELECT a.i, sum(a.w - coalesce(b.w, 0)) OVER (PARTITION BY a.i % {k} ORDER BY a.i) AS w
+  FROM w{k - 1} a CROSS JOIN g LEFT JOIN w{k - 1} b ON b.i = a.i - g.n - {k})"""
+    for k in range(1, 8)
+) + """
+SELECT CAST(u AS DOUBLE) AS statistic, round(least(1, 2 * CAST((SELECT sum(w) FROM w7 WHERE i <= least(u, nn - u)) AS DOUBLE) / CAST((SELECT sum(w) FROM w7) AS DOUBLE)), 4) AS p_value FROM g
+"""
+
+
+@query("mann_whitney_exact_p", EXACT_SQL)
+def mann_whitney_exact_p(spark, sf_dir):
+    """Seven customers against all others, without ties: the exact law."""
+    rows = table(spark, sf_dir, "customer").select((F.col("c_acctbal") + F.col("c_custkey") / 1e8).alias("v"), F.when(F.col("c_custkey") < 7, "few").otherwise("rest").alias("g"))
+    r = stats.compare_two_numeric_groups(rows, "v", "g", "few", "rest", method="mann_whitney")
+    return rounded(one_row(spark, statistic=r.statistic, p_value=r.p_value))
+
+
 @query(
     "mann_whitney_p",
     RANKED_SQL.format(group="o_orderstatus", where="o_orderstatus IN ('F', 'O')")
@@ -615,7 +636,23 @@ x AS (SELECT "row", "column", (SELECT count(*) FROM orders WHERE o_orderstatus =
 
 @query("crosstab_expected", CROSSTAB_SQL + 'SELECT "row", "column", observed, round(expected, 4) AS expected FROM x')
 def crosstab_expected(spark, sf_dir):
-    return rounded(stats.crosstab_frame(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority"))
+    return rounded(stats.full_crosstab(stats.crosstab_frame(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")))
+
+
+MANY_SQL = """
+WITH o AS (SELECT l_suppkey AS r, l_linenumber * 100 + l_quantity AS c, count(*) AS o FROM lineitem GROUP BY 1, 2),
+r AS (SELECT r, sum(o) AS a FROM o GROUP BY 1), c AS (SELECT c, sum(o) AS b FROM o GROUP BY 1), n AS (SELECT sum(o) AS n FROM o),
+x AS (SELECT coalesce(o, 0) AS o, CAST(a * b AS DOUBLE) / n AS e FROM r CROSS JOIN c CROSS JOIN n LEFT JOIN o USING (r, c))
+SELECT (SELECT count(*) FROM r) AS "rows", (SELECT count(*) FROM c) AS "columns", CAST(sum(o) AS BIGINT) AS n, round(sum((o - e) ^ 2 / e), 3) AS statistic,
+  round(min(e), 4) AS least, count(*) FILTER (WHERE e < 5) AS below FROM x
+"""
+
+
+@query("chi_square_many_levels", MANY_SQL)
+def chi_square_many_levels(spark, sf_dir):
+    """Suppliers against 350 kinds of lines: most pairs never observed, none of them listed."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_linenumber") * 100 + F.col("l_quantity")).alias("kind"))
+    return rounded(stats.chi_square_frame(stats.crosstab_frame(rows, "l_suppkey", "kind")).withColumn("statistic", F.round("statistic", 3)))
 
 
 @query(
