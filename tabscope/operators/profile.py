@@ -16,6 +16,7 @@ from tabscope.operators.records import (
     ColumnProfile,
     ColumnSchema,
     DatasetProfile,
+    DatasetSchema,
     DatetimeSummary,
     NumericSummary,
     SemanticType,
@@ -54,14 +55,44 @@ def time_frame(df: DataFrame, column: str, form: str) -> DataFrame:
     return df.agg(F.count(at).alias("count"), F.min(at).alias("earliest"), F.max(at).alias("latest"))
 
 
-def column_profile(df: DataFrame, column: ColumnSchema, present: int) -> ColumnProfile:
+def numeric_summaries(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column and what ``numeric_frame`` says of it, for all of them at once; columns without finite values don't appear."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), finite(df, c).alias("x")) for c in columns]))
+    rows = df.select(cells.alias("v")).select("v.*").where("x is not null")
+    own = rows.groupBy("column").agg(
+        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("standard_deviation"),
+        F.min("x").alias("minimum"), F.max("x").alias("maximum"),
+    )
+    both = with_medians(own, rows, ["column"], "x", "median")
+    return both.select("column", "count", "mean", "median", "standard_deviation", "minimum", "maximum")
+
+
+def top_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, value and count of its most frequent value, the smallest of equals, for columns of one type at once."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), countable(df, c).alias("value")) for c in columns]))
+    counts = df.select(cells.alias("v")).select("v.*").where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("less"), "value")).alias("b"))
+    return best.select("column", F.col("b.value").alias("value"), (-F.col("b.less")).alias("count"))
+
+
+def summaries_of(df: DataFrame, schema: DatasetSchema) -> tuple[dict[str, NumericSummary], dict[str, tuple]]:
+    """Of number columns, and the top values of counted ones: a job for the numbers and one for each type of value."""
+    numbers = [c.name for c in schema.columns if c.semantic_type in NUMERIC]
+    found = {r["column"]: NumericSummary(*r[1:]) for r in numeric_summaries(df, numbers).collect()} if numbers else {}
+    by_type: dict[str, list[str]] = {}
+    for c in schema.columns:
+        if c.semantic_type in COUNTED:
+            by_type.setdefault(df.select(countable(df, c.name)).schema[0].dataType.simpleString(), []).append(c.name)
+    tops = {r["column"]: (r["value"], r["count"]) for names in by_type.values() for r in top_values(df, names).collect()}
+    return found, tops
+
+
+def column_profile(df: DataFrame, column: ColumnSchema, present: int, numbers: dict[str, NumericSummary], tops: dict[str, tuple]) -> ColumnProfile:
     kind, name, form = column.semantic_type, column.name, column.temporal_format
     if kind in NUMERIC:
-        return ColumnProfile(column, numeric=NumericSummary(*numeric_frame(df, name).first()))
+        return ColumnProfile(column, numeric=numbers.get(name, NumericSummary(0, None, None, None, None, None)))
     if kind in COUNTED:
-        top = top_value_frame(df, name).first()
-        value, n = (top["value"], top["count"]) if top else (None, None)
-        return ColumnProfile(column, categorical=CategoricalSummary(present, column.unique_count, value, n))
+        return ColumnProfile(column, categorical=CategoricalSummary(present, column.unique_count, *tops.get(name, (None, None))))
     if kind == SemanticType.DATETIME:
         if family_of(df, name) != "time" and form is None:
             return ColumnProfile(column, datetime=DatetimeSummary(present, None, None))
@@ -79,7 +110,8 @@ def profile_dataset(df: DataFrame) -> DatasetProfile:
     stats = column_statistics(df).first()
     schema = schema_from(df, stats)
     quality = quality_from(df, stats, schema, 0.40, 0.80, 20)
-    columns = tuple(column_profile(df, c, stats[f"n_{k}"]) for k, c in enumerate(schema.columns))
+    found = summaries_of(df, schema)
+    columns = tuple(column_profile(df, c, stats[f"n_{k}"], *found) for k, c in enumerate(schema.columns))
     return DatasetProfile(schema.row_count, len(data_columns(df)), schema, quality, columns)
 
 

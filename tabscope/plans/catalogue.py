@@ -354,6 +354,40 @@ def profile_numeric(spark, sf_dir):
     return rounded(profile.numeric_frame(table(spark, sf_dir, "lineitem"), "l_discount"))
 
 
+PROFILED = {"l_quantity": "number", "l_extendedprice": "number", "l_discount": "number", "l_returnflag": "text", "l_linestatus": "text", "l_linenumber": "number"}
+PROFILE_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(count({c}) AS BIGINT) AS \"count\", round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, "
+    f"CAST(max({c}) AS DOUBLE) AS maximum, CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS top_count FROM lineitem"
+    if kind == "number"
+    else f"SELECT '{c}', (SELECT count({c}) FROM lineitem), NULL, NULL, NULL, t, n FROM (SELECT {c} AS t, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)"
+    for c, kind in PROFILED.items()
+)
+
+
+@query("profile_dataset", PROFILE_SQL)
+def profile_dataset(spark, sf_dir):
+    """The whole profile of six columns, as a table."""
+    rows = []
+    for c in profile.profile_dataset(table(spark, sf_dir, "lineitem").select(*PROFILED)).columns:
+        n, t = c.numeric, c.categorical
+        rows.append((c.schema.name, n.count, n.mean, n.median, n.maximum, None, None) if n else (c.schema.name, t.count, None, None, None, str(t.most_frequent_value), t.most_frequent_count))
+    return rounded(spark.createDataFrame(rows, "`column` string, `count` long, mean double, median double, maximum double, top string, top_count long"))
+
+
+@query(
+    "profile_comparison",
+    "SELECT CAST(-count(*) FILTER (WHERE o_orderstatus = 'P' AND o_custkey % 5 = 0) AS BIGINT) AS \"rows\", CAST(0 AS BIGINT) AS columns, "
+    "CAST(count(*) FILTER (WHERE o_orderstatus = 'P') + count(*) FILTER (WHERE o_custkey % 5 = 0) - 2 * count(*) FILTER (WHERE o_orderstatus = 'P' AND o_custkey % 5 = 0) AS BIGINT) AS missing_cells, "
+    "CAST((SELECT count(*) - count(DISTINCT (s, n)) FROM (SELECT nullif(o_orderstatus, 'P') AS s, nullif(o_custkey % 5, 0) AS n FROM orders) WHERE s IS NOT NULL OR n IS NOT NULL) "
+    "- (count(*) - count(DISTINCT (o_orderstatus, o_custkey % 5))) AS BIGINT) AS duplicate_rows FROM orders",
+)
+def profile_comparison(spark, sf_dir):
+    """What a cleaning plan has changed."""
+    raw = sparse_orders(spark, sf_dir)
+    change = profile.compare_profiles(profile.profile_dataset(raw), profile.profile_dataset(transform.transform_frame(raw, GAPS)))
+    return one_row(spark, **{k: change[k] for k in ("rows", "columns", "missing_cells", "duplicate_rows")})
+
+
 @query("profile_categorical", 'SELECT o_orderpriority AS value, count(*) AS "count" FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1')
 def profile_categorical(spark, sf_dir):
     return profile.top_value_frame(table(spark, sf_dir, "orders"), "o_orderpriority")
@@ -758,6 +792,50 @@ def chronological_downsample(spark, sf_dir):
     return dataflow.downsample_chronological(events, "ts", 100).select("event_id")
 
 
+@query(
+    "chart_sample",
+    "SELECT least(count(*), 5000) AS points, least(count(*), 5000) AS distinct_points, bool_and(value IS NOT NULL OR value IS NULL) AS from_table FROM events",
+)
+def chart_sample(spark, sf_dir):
+    """As many points as a chart shows, all of them rows of the table, none twice."""
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    drawn = dataflow.chart_sample(events)
+    met = drawn.join(events.withColumnRenamed("value", "held"), "event_id", "left")
+    same = F.col("value").eqNullSafe(F.col("held"))
+    return met.agg(F.count(F.lit(1)).alias("points"), F.count_distinct("event_id").alias("distinct_points"), F.min(same).alias("from_table"))
+
+
+@query("preview", "SELECT event_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 20")
+def preview(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("_ordinal", -F.col("event_id"))
+    return dataflow.preview(events).select("event_id", "event_type", "value")
+
+
+@query(
+    "columns_by_type",
+    f"""WITH t AS ({types_sql()}) SELECT 'numeric' AS choice, "column" FROM t WHERE semantic_type LIKE 'numeric%' AND "column" LIKE 'l\\_%' ESCAPE '\\'
+UNION ALL SELECT 'categorical', "column" FROM t WHERE semantic_type IN ('categorical', 'binary', 'numeric_discrete') AND "column" LIKE 'l\\_%' ESCAPE '\\'""",
+)
+def columns_by_type(spark, sf_dir):
+    found = schema.infer_schema(table(spark, sf_dir, "lineitem").select("l_linenumber", "l_linestatus"))
+    rows = [("numeric", c) for c in dataflow.numeric_columns(found)] + [("categorical", c) for c in dataflow.categorical_columns(found)]
+    return spark.createDataFrame(rows, "choice string, `column` string")
+
+
+@query(
+    "monotonic_axis",
+    "WITH e AS (SELECT event_id, ts, lag(ts) OVER (ORDER BY event_id) AS a, lag(ts) OVER (ORDER BY ts, event_id) AS b FROM events) "
+    "SELECT 'by id' AS source_order, coalesce(bool_and(ts >= a), true) AS monotonic FROM e UNION ALL SELECT 'by time', coalesce(bool_and(ts >= b), true) FROM e",
+)
+def monotonic_axis(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    rows = []
+    for name, order in (("by id", F.col("event_id")), ("by time", F.unix_micros(F.col("ts").cast("timestamp")))):
+        axis = temporal.prepare_temporal_axis(events.withColumn("_ordinal", order), "ts")
+        rows.append((name, temporal.analyze_temporal_sampling(axis).is_chronologically_sorted))
+    return spark.createDataFrame(rows, "source_order string, monotonic boolean")
+
+
 @query("observed_values", "SELECT DISTINCT event_type AS value FROM events")
 def observed_values(spark, sf_dir):
     return dataflow.observed_values(with_ordinal(table(spark, sf_dir, "events")), "event_type")
