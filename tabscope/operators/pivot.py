@@ -72,20 +72,38 @@ def included(df: DataFrame, dimensions: Sequence[str], include_missing: bool) ->
     return df.where(reduce(lambda a, b: a & b, [~is_missing(df, d) for d in dimensions]))
 
 
-def groups_of(df: DataFrame, dimensions: Sequence[str]) -> Column:
-    """Distinct tuples; a struct, so that missing parts count too."""
-    return F.count_distinct(F.struct(*[present(df, d) for d in dimensions])) if dimensions else F.lit(1)
+def group_counts(df: DataFrame, rows: Sequence[str], columns: Sequence[str] = (), include_missing: bool = False) -> DataFrame:
+    """One row, from one scan: total and used rows, and observed row groups, column groups and cells.
+
+    Grouping sets count the used rows by cell, by row group, by column group and in all;
+    missing parts of a group count too.  Rows left out are one group in each set.
+    """
+    own = [f"d{k}" for k in range(len(rows) + len(columns))]
+    inside = F.lit(True) if include_missing else reduce(lambda a, b: a & b, [~is_missing(df, d) for d in (*rows, *columns)])
+    keyed = df.select(inside.alias("inside"), *[F.when(inside, present(df, d)).alias(k) for k, d in zip(own, (*rows, *columns), strict=True)])
+    sets = {"cells": own, "row_groups": own[: len(rows)], "column_groups": own[len(rows) :], "rows": []}
+    place = {name: sum(1 << (len(own) - 1 - k) for k, d in enumerate(own) if d not in kept) for name, kept in sets.items()}
+    distinct = {place[name]: ["inside", *kept] for name, kept in sets.items()}
+    found = keyed.groupingSets([[F.col(c) for c in s] for s in distinct.values()], "inside", *own).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("of")
+    )
+    of = lambda name: F.col("of") == place[name]
+    groups = [F.count_if(of(name) & F.col("inside")).alias(name) for name in ("row_groups", "column_groups", "cells")]
+    rows_of = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    return found.agg(rows_of(of("rows")).alias("total"), rows_of(of("rows") & F.col("inside")).alias("used"), *groups)
 
 
-def cardinality_frame(df: DataFrame, rows: Sequence[str], columns: Sequence[str] = (), include_missing: bool = False) -> DataFrame:
-    own = included(df, [*rows, *columns], include_missing)
-    counts = own.agg(F.count(F.lit(1)).alias("n"), groups_of(df, rows).alias("r"), groups_of(df, columns).alias("c"))
-    sized = lambda x: F.when(F.col("n") > 0, F.col(x)).otherwise(0).cast("long")
-    return counts.select(sized("r").alias("row_group_count"), sized("c").alias("column_group_count")).withColumn(
+def cardinality_of(counts: DataFrame) -> DataFrame:
+    """Without column dimensions there is one column group, if there are rows."""
+    return counts.select(F.col("row_groups").alias("row_group_count"), F.col("column_groups").alias("column_group_count")).withColumn(
         "potential_cell_count", F.col("row_group_count") * F.col("column_group_count")
     )
 
 
+def cardinality_frame(df: DataFrame, rows: Sequence[str], columns: Sequence[str] = (), include_missing: bool = False) -> DataFrame:
+    return cardinality_of(group_counts(df, rows, columns, include_missing))
+
+
 def estimate_pivot_cardinality(
     df: DataFrame, row_dimensions, column_dimensions=(), *, include_missing_dimensions: bool = False, max_cells: int = 10_000
 ) -> PivotCardinality:
@@ -124,12 +142,14 @@ def column_label(columns: Sequence[str]) -> Column:
     return F.concat_ws("|", *[part(c) for c in columns])
 
 
-def matrix_frame(tidy: DataFrame, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Row dimensions down, column groups across; unseen cells stay missing."""
+def matrix_frame(tidy: DataFrame, rows: Sequence[str], columns: Sequence[str], max_columns: int = 10_000) -> DataFrame:
+    """Row dimensions down, column groups across; unseen cells stay missing.  More column groups than allowed are an error."""
     if not columns:
         return tidy
     keyed = tidy.withColumn("__label", column_label(columns))
-    labels = sorted(r[0] for r in keyed.select("__label").distinct().collect())  # within the cell guard
+    labels = sorted(r[0] for r in keyed.select("__label").distinct().limit(max_columns + 1).collect())
+    if len(labels) > max_columns:
+        raise ValueError(f"Pivot configuration is too large: more than {max_columns:,} column groups.")
     return keyed.groupBy(*[quoted(r) for r in rows]).pivot("__label", labels).agg(F.first("value"))
 
 
@@ -148,16 +168,17 @@ def build_pivot_table(
     how = aggregation_of(aggregation)
     check_dimensions(df, rows, columns, named=True)
     check_value(df, (*rows, *columns), value_column, how)
-    size = PivotCardinality(*cardinality_frame(df, rows, columns, include_missing_dimensions).first(), max_cells)
+    counts = group_counts(df, rows, columns, include_missing_dimensions).first()
+    groups = counts["row_groups"], counts["column_groups"]
+    size = PivotCardinality(*groups, groups[0] * groups[1], max_cells)
     if size.potential_cell_count > max_cells:
         raise ValueError(
             f"Pivot configuration is too large: {size.potential_cell_count:,} potential cells exceeds the limit of {max_cells:,}."
         )
-    total = df.count()
-    used = included(df, [*rows, *columns], include_missing_dimensions).count()
+    total, used = counts["total"], counts["used"]
     tidy = tidy_frame(df, [*rows, *columns], value_column, how, include_missing_dimensions)
     tidy = tidy.orderBy(*[quoted(d).asc_nulls_last() for d in (*rows, *columns)])
-    table = matrix_frame(tidy, rows, columns).orderBy(*[quoted(r).asc_nulls_last() for r in rows])
+    table = matrix_frame(tidy, rows, columns, max_cells).orderBy(*[quoted(r).asc_nulls_last() for r in rows])
     return PivotResult(
-        rows, columns, value_column, how, include_missing_dimensions, total, used, total - used, tidy.count(), size, tidy, table
+        rows, columns, value_column, how, include_missing_dimensions, total, used, total - used, counts["cells"], size, tidy, table
     )
