@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabscope.functions.selection import ACCURACY, CELLS, edge_place
+from tabscope.functions.selection import ACCURACY, CELLS, with_place
 
 #: Stretches of the value range that are ranked side by side.
 STRETCHES = 64
+#: Rows of one value that may meet.
+SPREAD = 100_000
 #: Series whose edges are broadcast: as many times CELLS numbers.
 BROADCAST = 400
 
@@ -37,21 +39,22 @@ def ranked_series(values: DataFrame, series: int) -> DataFrame:
 
     All series go through together.  Edges between approximate quantiles cut a series into
     cells.  A value that is an edge has a cell of its own, and all its rows one rank, which
-    follows from the counts of cells alone: they take it where they are, however many they
-    are.  Other cells are ordered side by side, a small part of a series each.
+    follows from the counts of cells alone, so that its rows may be dealt out at random.
+    Other cells are ordered side by side, a small part of a series each.
     """
     grid = [k / CELLS for k in range(1, CELLS)]
     hint = F.broadcast if series <= BROADCAST else lambda d: d
     edges = values.groupBy("s").agg(F.array_distinct(F.percentile_approx("x", grid, ACCURACY)).alias("edges"))
-    placed = values.join(hint(edges), "s").withColumn("at", edge_place(F.col("x"), F.col("edges")))
+    placed = with_place(values.join(hint(edges), "s"), "x", "edges", "at")
     single = F.coalesce(F.get("edges", "at") == F.col("x"), F.lit(False))
     placed = placed.select("row", "s", "x", (2 * F.col("at") + single.cast("int")).alias("cell"))
     cells = placed.groupBy("s", "cell").agg(F.count(F.lit(1)).alias("rows"))
     upto = F.sum("rows").over(Window.partitionBy("s").orderBy("cell"))
     cells = cells.withColumn("before", upto - F.col("rows"))  # 2 * CELLS rows for each series at most
     known = placed.join(hint(cells), ["s", "cell"])
-    alone = known.where("cell % 2 = 1").select("row", "s", (F.col("before") + (F.col("rows") + 1) / 2).alias("rank"))
-    cell = Window.partitionBy("s", "cell").orderBy("x")
+    single = F.col("cell") % 2 == 1
+    share = F.when(single, F.pmod(F.xxhash64("row"), F.ceil(F.col("rows") / SPREAD))).otherwise(0)
+    cell = Window.partitionBy("s", "cell", "share").orderBy("x")
     ties = F.count(F.lit(1)).over(cell.rangeBetween(Window.currentRow, Window.currentRow))
-    among = known.where("cell % 2 = 0").select("row", "s", (F.col("before") + F.rank().over(cell) + (ties - 1) / 2).alias("rank"))
-    return alone.union(among)
+    own = F.when(single, (F.col("rows") + 1) / 2).otherwise(F.rank().over(cell) + (ties - 1) / 2)
+    return known.withColumn("share", share).select("row", "s", (F.col("before") + own).alias("rank"))

@@ -46,10 +46,13 @@ def holds(ranks: list[Column], before: Column, rows: Column) -> Column:
     return found
 
 
-def edge_place(x: Column, edges: Column) -> Column:
-    """How many of the sorted edges are below x, by bisection."""
-    step = F.array(*[F.lit(CELLS >> k) for k in range(1, CELLS.bit_length())])
-    return F.aggregate(step, F.lit(0), lambda at, s: F.when(F.get(edges, at + s - 1) < x, at + s).otherwise(at))
+def with_place(rows: DataFrame, x: str, edges: str, name: str) -> DataFrame:
+    """``rows`` with how many of the sorted edges are below x, by bisection: a projection for each step, in generated code."""
+    rows = rows.withColumn(name, F.lit(0))
+    for k in range(1, CELLS.bit_length()):
+        step = CELLS >> k
+        rows = rows.withColumn(name, F.col(name) + F.when(F.get(edges, F.col(name) + (step - 1)) < F.col(x), step).otherwise(0))
+    return rows
 
 
 def attached(rows: DataFrame, plan: DataFrame, few: bool, how: str = "inner") -> DataFrame:
@@ -68,7 +71,7 @@ def narrowed(rows: DataFrame, plan: DataFrame, shares: tuple[float, ...], few: b
     dealt = within(attached(rows, plan, few)).select("g", "n", "x", F.col("st.before").alias("before"))
     grid = [k / CELLS for k in range(1, CELLS)]
     edges = dealt.groupBy("g", "before").agg(F.array_distinct(F.percentile_approx("x", grid, ACCURACY)).alias("edges"))
-    placed = dealt.join(F.broadcast(edges) if few else edges, ["g", "before"]).withColumn("at", edge_place(F.col("x"), F.col("edges")))
+    placed = with_place(dealt.join(F.broadcast(edges) if few else edges, ["g", "before"]), "x", "edges", "at")
     cell = 2 * F.col("at") + F.when(F.get("edges", "at") == F.col("x"), 1).otherwise(0)
     cells = placed.groupBy("g", "n", "before", cell.alias("cell")).agg(F.count(F.lit(1)).alias("rows"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     upto = F.sum("rows").over(Window.partitionBy("g", "before").orderBy("cell"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.formats import day_micros, micros, parsed
-from tabscope.functions.selection import ACCURACY, CELLS, edge_place, with_medians
+from tabscope.functions.selection import ACCURACY, CELLS, with_medians, with_place
 from tabscope.functions.values import ORDINAL, family_of, finite, quoted, require_column, require_number, with_ordinal
 from tabscope.operators.records import (
     TemporalAggregation,
@@ -77,7 +77,7 @@ def placed_frame(axis: DataFrame) -> DataFrame:
     rows = axis.where("timestamp is not null").select(micros(F.col("timestamp")).alias("at"))
     grid = [k / CELLS for k in range(1, CELLS)]
     bounds = rows.agg(F.array_distinct(F.percentile_approx("at", grid, ACCURACY)).alias("edges"))  # one row
-    placed = rows.distinct().join(F.broadcast(bounds)).withColumn("cell", edge_place(F.col("at"), F.col("edges")))
+    placed = with_place(rows.distinct().join(F.broadcast(bounds)), "at", "edges", "cell")
     return placed.select("at", F.floor(F.col("at") / DAY).alias("day"), "cell")
 
 
