@@ -15,6 +15,7 @@ from tabscope.operators.records import PivotAggregation, PivotCardinality, Pivot
 MISSING_LABEL = "(missing)"
 
 
+# The argument names and error texts of the checks below, which callers see.
 def names_of(columns: Sequence[str] | str, name: str) -> tuple[str, ...]:
     out = (columns,) if isinstance(columns, str) else tuple(columns)
     if not all(isinstance(c, str) for c in out):

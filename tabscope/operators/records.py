@@ -9,6 +9,7 @@ from enum import StrEnum
 from pyspark.sql import DataFrame
 
 
+# Names and values of all enumerations and fields below, which callers see.
 class SemanticType(StrEnum):
     IDENTIFIER = "identifier"
     DATETIME = "datetime"

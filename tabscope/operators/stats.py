@@ -33,6 +33,7 @@ def check_alpha(alpha: object) -> None:
         raise ValueError("alpha must be between 0 and 1.")
 
 
+# The argument names and error texts of the checks below, which callers see.
 def method_of(value: object, kind: type):
     own = "two-group" if kind is TwoGroupMethod else "multi-group"
     if not isinstance(value, str):
