@@ -101,10 +101,15 @@ def fingerprint(source: object) -> str:
 
 
 def head_of(spark: SparkSession, path: str) -> bytes:
-    """First bytes of a file in any store that Spark reads."""
-    jvm = spark.sparkContext._jvm
+    """First bytes of a file in any store that Spark reads; of a folder, those of its first file that has any."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    if where.getFileSystem(conf).getFileStatus(where).isDirectory():
+        first = spark.read.format("binaryFile").load(path).where("length > 0").agg(F.min("path")).first()[0]
+        if first is None:
+            return b""
+        where = jvm.org.apache.hadoop.fs.Path(first)
+    stream = where.getFileSystem(conf).open(where)
     try:
         return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, SNIFFED)))
     finally:
@@ -173,7 +178,7 @@ def typed(raw: DataFrame, decimal: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, head: bytes) -> DataFrame:
-    """The table of a CSV file; a large file is read by many tasks.
+    """The table of a CSV file, or of a folder of them that each begin with the header; a large file is read by many tasks.
 
     Files in which no line break is quoted are split by Spark's own reader, others by
     ``blocks``; those whose lines end with a carriage return alone are read whole.
@@ -208,11 +213,15 @@ def of_lines(spark: SparkSession, path: str, width: int, delimiter: str, encodin
 
 
 def of_records(found: DataFrame, width: int) -> DataFrame:
-    """The records but for the header, as columns c0, c1 ..., longer ones refused and shorter ones padded."""
-    first, longest = found.agg(F.min(ORDINAL), F.max(F.size("fields"))).first()
-    if longest > width:
+    """The records but for each file's header, as columns c0, c1 ..., longer ones refused and shorter ones padded."""
+    heads = found.groupBy("file").agg(F.min(ORDINAL).alias("head"), F.max(F.size("fields")).alias("longest")).collect()  # a row for each file
+    if max(r["longest"] for r in heads) > width:
         raise ValueError(TOO_LONG)
-    return found.where(F.col(ORDINAL) > first).select(*[F.get("fields", F.lit(k)).alias(f"c{k}") for k in range(width)])
+    fields = [F.get("fields", F.lit(k)).alias(f"c{k}") for k in range(width)]
+    if len(heads) == 1:
+        return found.where(F.col(ORDINAL) > heads[0]["head"]).select(*fields)
+    known = found.sparkSession.createDataFrame([(r["file"], r["head"]) for r in heads], "file long, head long")
+    return found.join(F.broadcast(known), "file").where(F.col(ORDINAL) > F.col("head")).select(*fields)
 
 
 def read_xlsx(spark: SparkSession, payload: bytes, sheet: int | str) -> DataFrame:
@@ -247,7 +256,7 @@ def validated(df: DataFrame) -> DataFrame:
 
 
 def read_dataset(spark: SparkSession, source: object, filename: str | None = None, *, sheet_name: int | str = 0) -> DataFrame:
-    """A path (of any store Spark reads), bytes, or a stream."""
+    """A path (of any store Spark reads; a folder holds CSV files with one header each), bytes, or a stream."""
     name = filename_of(source, filename)
     kind = Path(name).suffix.lower()
     if kind not in SUPPORTED_EXTENSIONS | {PARQUET}:

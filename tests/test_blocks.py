@@ -7,6 +7,7 @@ import random
 import pytest
 
 from tabscope.functions.values import ORDINAL
+from tabscope.plans import catalogue
 from tabscope.sources import blocks
 from tabscope.sources.reader import read_dataset
 
@@ -78,3 +79,22 @@ def test_too_many_fields(spark, tmp_path):
     file.write_bytes(b'a,b\n"1\n2",3\n4,5,6\n')
     with pytest.raises(Exception, match="Unable to read"):
         read_dataset(spark, str(file))
+
+
+@pytest.mark.parametrize("size", [16, 10**6])
+def test_folder(spark, tmp_path, small_blocks, size):
+    """Files with a header each, an empty one and one that ends within quotes among them, are one table."""
+    folder = tmp_path / "t"
+    folder.mkdir()
+    texts = ['id,note\n1,"one\ntwo"\n2,"a ""b""\n\nc"\n', 'id,note\n3,plain\n', "", "id,note\n", 'id,note\n4,"never\nclosed', '\n\nid,note\n5,"x\n' + "y\n" * 30 + '"\n6,z\n']
+    for k, text in enumerate(texts):
+        (folder / f"part-{k}.csv").write_text(text)
+    small_blocks(size)
+    rows = sorted(map(tuple, read_dataset(spark, str(folder), "t.csv").collect()))
+    assert rows == [(1, "one\ntwo"), (2, 'a "b"\n\nc'), (3, "plain"), (4, "never\nclosed"), (5, "x\n" + "y\n" * 30), (6, "z")]
+
+
+def test_queries_write_files_by_many_tasks(spark, tables):
+    folder = catalogue.written_csv(spark.range(1000).repartition(5))
+    assert spark.read.format("binaryFile").load(folder).count() == 5
+    assert sorted(r[0] for r in read_dataset(spark, folder, "t.csv").collect()) == list(range(1000))
