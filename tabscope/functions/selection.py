@@ -3,7 +3,8 @@
 A group's rows are never held together while they are many.  Rank-bounded histograms say in
 which small stretch of its values each wanted rank lies: cells between approximate quantiles
 are counted exactly, those that hold a wanted rank are kept, with the number of rows before
-them, and cut again.  A round leaves at most one row in ``SHRINK`` of a stretch, unless they
+them, and cut again.  Rounds are
+worked out one after the other where few groups are large.  A round leaves at most one row in ``SHRINK`` of a stretch, unless they
 all have one value, so the number of rounds follows from the largest group.  Values that are
 an edge have a cell of their own; so a value that very many rows share ends as a stretch of
 one value.  What is left, ``STRETCH`` rows of a group at most, is counted by value and the
@@ -68,43 +69,54 @@ def within(rows: DataFrame) -> DataFrame:
 
 def narrowed(rows: DataFrame, plan: DataFrame, shares: tuple[float, ...], few: bool) -> DataFrame:
     """The plan after one more round: (g, n, stretches), each stretch (lo, hi, before, rows)."""
-    dealt = within(attached(rows, plan, few)).select("g", "n", "x", F.col("st.before").alias("before"))
+    dealt = within(attached(rows, plan, few)).select("g", "n", "x", "w", F.col("st.before").alias("before"))
     grid = [k / CELLS for k in range(1, CELLS)]
     edges = dealt.groupBy("g", "before").agg(F.array_distinct(F.percentile_approx("x", grid, ACCURACY)).alias("edges"))
     placed = with_place(dealt.join(F.broadcast(edges) if few else edges, ["g", "before"]), "x", "edges", "at")
     cell = 2 * F.col("at") + F.when(F.get("edges", "at") == F.col("x"), 1).otherwise(0)
-    cells = placed.groupBy("g", "n", "before", cell.alias("cell")).agg(F.count(F.lit(1)).alias("rows"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    cells = placed.groupBy("g", "n", "before", cell.alias("cell")).agg(F.sum("w").alias("rows"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     upto = F.sum("rows").over(Window.partitionBy("g", "before").orderBy("cell"))
     cells = cells.withColumn("before", F.col("before") + upto - F.col("rows"))
     kept = cells.where(holds(wanted(shares, F.col("n")), F.col("before"), F.col("rows")))
     return kept.groupBy("g", "n").agg(F.collect_list(F.struct("lo", "hi", "before", "rows")).alias("stretches"))  # two for each share at most
 
 
-def quantiles(values: DataFrame, keys: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+def told(plan: DataFrame) -> DataFrame:
+    """The plan of a few groups as values, so that later rounds don't work it out again."""
+    if "timestamp" in plan.schema["g"].dataType.simpleString():  # would change with the driver's time zone
+        return plan
+    return plan.sparkSession.createDataFrame(plan.collect(), plan.schema)  # BROADCAST groups at most
+
+
+def quantiles(values: DataFrame, keys: list[str], value: str, shares: tuple[float, ...], weight: str | None = None) -> DataFrame:
     """``keys``, ``n`` and ``q``: for each group the count of non-null values and their exact quantiles.
 
     Quantiles lie between neighbours in proportion.  Null keys are a group; groups without
-    values don't appear, but without ``keys`` there is always one row.
+    values don't appear, but without ``keys`` there is always one row.  With ``weight``, a
+    row stands for as many equal ones.
     """
     g = F.struct(*[quoted(k).alias(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
-    rows = values.select(g.alias("g"), quoted(value).alias("x")).where("x is not null")
-    sized = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    large = F.col("n") > STRETCH
-    most, several = sized.agg(F.max("n"), F.count_if(large)).first()
+    w = quoted(weight) if weight else F.lit(1)
+    rows = values.select(g.alias("g"), quoted(value).alias("x"), w.cast("long").alias("w")).where("x is not null")
+    sized = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.sum("w").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    large = F.col("size") > STRETCH
+    most, several = sized.agg(F.max("size"), F.count_if(large)).first()
 
     if not several:
-        left = rows.select("g", "x", F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("n"))
+        left = rows.select("g", "x", "w", F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("n"))
     else:
         few = several <= BROADCAST
         one = F.array(F.struct("lo", "hi", F.lit(0).cast("long").alias("before"), F.col("n").alias("rows")))
         plan = sized.where(large).select("g", "n", one.alias("stretches"))
+        plan = told(plan) if few else plan
         while most > STRETCH:
             plan, most = narrowed(rows, plan, shares, few), most / SHRINK
+            plan = told(plan) if few else plan
         met = attached(rows, plan, few, "left")
-        small = met.where("n is null").select("g", "x", F.lit(0).cast("long").alias("before"), "n")
-        left = small.union(within(met.where("n is not null")).select("g", "x", "st.before", "n"))
+        small = met.where("n is null").select("g", "x", "w", F.lit(0).cast("long").alias("before"), "n")
+        left = small.union(within(met.where("n is not null")).select("g", "x", "w", "st.before", "n"))
 
-    counts = left.groupBy("g", "before", "x").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    counts = left.groupBy("g", "before", "x").agg(F.sum("w").alias("rows"), F.max("n").alias("n"))
     own = Window.partitionBy("g", "before")
     upto = F.sum("rows").over(own.orderBy("x"))
     counts = counts.withColumn("n", F.coalesce("n", F.sum("rows").over(own))).withColumn("before", F.col("before") + upto - F.col("rows"))

@@ -6,6 +6,9 @@ before statistics; booleans are not numbers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +73,28 @@ def finite(df: DataFrame, column: str) -> Column:
     return F.when(F.abs(c) != F.lit(float("inf")), c)
 
 
+def number_columns(df: DataFrame) -> list[str]:
+    return [c for c in data_columns(df) if family_of(df, c) == "number"]
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, x, w): how many rows have each finite value of each number column."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), finite(df, c).alias("x")) for c in columns]))
+    return df.select(cells.alias("v")).select("v.*").where("x is not null").groupBy("column", "x").agg(F.count(F.lit(1)).alias("w"))
+
+
+@contextmanager
+def kept_counts(df: DataFrame) -> Iterator[DataFrame | None]:
+    """``value_counts`` of all number columns, worked out once for the steps within; None if there are no such columns."""
+    columns = number_columns(df)
+    counts = value_counts(df, columns).persist() if columns else None
+    try:
+        yield counts
+    finally:
+        if counts is not None:
+            counts.unpersist()
+
+
 def is_infinite(df: DataFrame, column: str) -> Column:
     return F.abs(number(df, column)) == F.lit(float("inf"))
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.functions.formats import day_micros, parsed
-from tabscope.functions.selection import with_medians
-from tabscope.functions.values import data_columns, family_of, finite, quoted
+from tabscope.functions.selection import quantiles, with_medians
+from tabscope.functions.values import data_columns, family_of, finite, kept_counts, quoted
 from tabscope.operators.quality import quality_from
 from tabscope.operators.records import (
     CategoricalSummary,
@@ -55,16 +55,14 @@ def time_frame(df: DataFrame, column: str, form: str) -> DataFrame:
     return df.agg(F.count(at).alias("count"), F.min(at).alias("earliest"), F.max(at).alias("latest"))
 
 
-def numeric_summaries(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column and what ``numeric_frame`` says of it, for all of them at once; columns without finite values don't appear."""
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), finite(df, c).alias("x")) for c in columns]))
-    rows = df.select(cells.alias("v")).select("v.*").where("x is not null")
-    own = rows.groupBy("column").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("standard_deviation"),
-        F.min("x").alias("minimum"), F.max("x").alias("maximum"),
-    )
-    both = with_medians(own, rows, ["column"], "x", "median")
-    return both.select("column", "count", "mean", "median", "standard_deviation", "minimum", "maximum")
+def numeric_summaries(df: DataFrame, columns: list[str], counts: DataFrame) -> dict[str, NumericSummary]:
+    """What ``numeric_frame`` says of each column, from one scan and the counts of values; columns without finite values don't appear."""
+    parts = [f(finite(df, c)) for c in columns for f in (F.count, F.avg, F.stddev_samp, F.min, F.max)]
+    row = df.agg(*[p.alias(f"a{k}") for k, p in enumerate(parts)]).first()
+    found = quantiles(counts.where(F.col("column").isin(columns)), ["column"], "x", (0.5,), "w").collect()  # a row for each column
+    middle = {r["column"]: r["q"][0] for r in found}
+    own = {c: row[5 * k : 5 * k + 5] for k, c in enumerate(columns)}
+    return {c: NumericSummary(n, mean, middle[c], sd, low, high) for c, (n, mean, sd, low, high) in own.items() if n}
 
 
 def top_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,10 +73,10 @@ def top_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return best.select("column", F.col("b.value").alias("value"), (-F.col("b.less")).alias("count"))
 
 
-def summaries_of(df: DataFrame, schema: DatasetSchema) -> tuple[dict[str, NumericSummary], dict[str, tuple]]:
+def summaries_of(df: DataFrame, schema: DatasetSchema, counts: DataFrame | None) -> tuple[dict[str, NumericSummary], dict[str, tuple]]:
     """Of number columns, and the top values of counted ones: a job for the numbers and one for each type of value."""
     numbers = [c.name for c in schema.columns if c.semantic_type in NUMERIC]
-    found = {r["column"]: NumericSummary(*r[1:]) for r in numeric_summaries(df, numbers).collect()} if numbers else {}
+    found = numeric_summaries(df, numbers, counts) if numbers else {}
     by_type: dict[str, list[str]] = {}
     for c in schema.columns:
         if c.semantic_type in COUNTED:
@@ -109,8 +107,9 @@ def column_profile(df: DataFrame, column: ColumnSchema, present: int, numbers: d
 def profile_dataset(df: DataFrame) -> DatasetProfile:
     stats = column_statistics(df).first()
     schema = schema_from(df, stats)
-    quality = quality_from(df, stats, schema, 0.40, 0.80, 20)
-    found = summaries_of(df, schema)
+    with kept_counts(df) as counts:
+        quality = quality_from(df, stats, schema, counts, 0.40, 0.80, 20)
+        found = summaries_of(df, schema, counts)
     columns = tuple(column_profile(df, c, stats[f"n_{k}"], *found) for k, c in enumerate(schema.columns))
     return DatasetProfile(schema.row_count, len(data_columns(df)), schema, quality, columns)
 

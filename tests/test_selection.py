@@ -91,3 +91,16 @@ def test_joined_to_groups(spark):
     data = spark.createDataFrame(rows, "g string, x double")
     found = with_medians(data.groupBy("g").count(), data, ["g"], "x", "m").collect()
     assert {r["g"]: (r["count"], r["m"]) for r in found} == {None: (2, 2.0), "a": (1, None), "b": (1, 2.0)}
+
+
+@pytest.mark.parametrize("stretch", [10, 10**6])
+def test_weights_stand_for_rows(spark, monkeypatch, stretch):
+    monkeypatch.setattr(selection, "STRETCH", stretch)
+    rng = random.Random(6)
+    rows = [(g, float(x), rng.choice([1, 2, 50])) for g in "ab" for x in range(300)]
+    data = spark.createDataFrame(rows, "g string, x double, w long").repartition(3)
+    found = {r["g"]: (r["n"], r["q"]) for r in quantiles(data, ["g"], "x", SHARES, "w").collect()}
+    for g in "ab":
+        own = [x for k, x, w in rows if k == g for _ in range(w)]
+        assert found[g][0] == len(own)
+        assert found[g][1] == pytest.approx([float(np.quantile(own, p)) for p in SHARES])

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabscope.functions import selection
 from tabscope.functions.values import with_ordinal
 from tabscope.operators import dataflow, explore, profile, quality, schema, transform
 from tabscope.operators.records import (
@@ -286,3 +287,19 @@ def test_dataflow(spark):
     assert [r["value"] for r in dataflow.observed_values(df.limit(3), "t").collect()] == [0, 7, 14]
     assert dataflow.preview(df, 2).collect()[1]["t"] == 7
     assert dataflow.chart_sample(df, 10).count() == 10
+
+
+def test_profile_reads_the_table_a_few_times(spark, tmp_path, monkeypatch):
+    """Medians and sentinels come from counts of values; so rounds of selection add no reads of the table."""
+    monkeypatch.setattr(selection, "STRETCH", 50)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.range(4000).select((F.col("id") % 997).cast("double").alias("x"), (F.col("id") % 7).alias("k")).repartition(2)
+    one = profile.profile_dataset(rows.mapInArrow(seen, "x double, k long"))
+    assert one.columns[0].numeric.median == float(np.median([k % 997 for k in range(4000)]))
+    assert read.value <= 8 * 4000
