@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.formats import day_micros, micros, parsed
-from tabscope.functions.selection import ACCURACY, CELLS, with_medians, with_place
+from tabscope.functions.selection import ACCURACY, CELLS, quantiles, with_medians, with_place
 from tabscope.functions.values import ORDINAL, family_of, finite, quoted, require_column, require_number, with_ordinal
 from tabscope.operators.records import (
     TemporalAggregation,
@@ -72,12 +72,24 @@ def prepare_temporal_axis(df: DataFrame, date_column: str, *, date_format=None,
     return TemporalAxis(date_column, time_column, total, valid, total - valid, data)
 
 
+def counts_frame(axis: DataFrame) -> DataFrame:
+    """(at, n): how many rows have each timestamp, in microseconds, those without one among them."""
+    return axis.groupBy(micros(F.col("timestamp")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_frame(axis: DataFrame) -> DataFrame:
+    return axis.where("timestamp is not null").select(micros(F.col("timestamp")).alias("at")).distinct()
+
+
 def placed_frame(axis: DataFrame) -> DataFrame:
     """(at, day, cell): the distinct timestamps in microseconds, with the stretch that each is in."""
-    rows = axis.where("timestamp is not null").select(micros(F.col("timestamp")).alias("at"))
+    return placed_of(distinct_frame(axis))
+
+
+def placed_of(distinct: DataFrame) -> DataFrame:
     grid = [k / CELLS for k in range(1, CELLS)]
-    bounds = rows.agg(F.array_distinct(F.percentile_approx("at", grid, ACCURACY)).alias("edges"))  # one row
-    placed = with_place(rows.distinct().join(F.broadcast(bounds)), "at", "edges", "cell")
+    bounds = distinct.agg(F.array_distinct(F.percentile_approx("at", grid, ACCURACY)).alias("edges"))  # one row
+    placed = with_place(distinct.join(F.broadcast(bounds)), "at", "edges", "cell")
     return placed.select("at", F.floor(F.col("at") / DAY).alias("day"), "cell")
 
 
@@ -89,7 +101,12 @@ def steps_frame(axis: DataFrame) -> DataFrame:
     too.  A stretch's last is joined to the first of the next that has any, so no task sorts
     them all; one row for each stretch is ordered.
     """
-    dealt = placed_frame(axis)
+    return steps_of(distinct_frame(axis))
+
+
+def steps_of(distinct: DataFrame) -> DataFrame:
+    """As ``steps_frame``, of distinct timestamps in microseconds."""
+    dealt = placed_of(distinct)
     inner = dealt.withColumn("end", F.lead("at").over(Window.partitionBy("day", "cell").orderBy("at")))
     edges = dealt.groupBy("day", "cell").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     across = edges.withColumn("next", F.lead("first").over(Window.orderBy("day", "cell"))).select(F.col("last").alias("at"), F.col("next").alias("end"))
@@ -97,9 +114,17 @@ def steps_frame(axis: DataFrame) -> DataFrame:
     return steps.select(from_micros(F.col("at")).alias("start"), from_micros(F.col("end")).alias("end"), (F.col("end") - F.col("at")).alias("duration"))
 
 
+def durations_frame(steps: DataFrame) -> DataFrame:
+    """(duration, w): how often each step occurs."""
+    return steps.groupBy("duration").agg(F.count(F.lit(1)).alias("w"))
+
+
 def sampling_frame(axis: DataFrame) -> DataFrame:
     """One row: counts, bounds, and the least, median and greatest step in microseconds."""
-    counts = axis.groupBy(micros(F.col("timestamp")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    return sampling_of(counts_frame(axis), durations_frame(steps_frame(axis)))
+
+
+def sampling_of(counts: DataFrame, durations: DataFrame) -> DataFrame:
     known = F.col("at").isNotNull()
     one = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_count"),
@@ -110,18 +135,22 @@ def sampling_frame(axis: DataFrame) -> DataFrame:
         F.min("at").alias("earliest"),
         F.max("at").alias("latest"),
     )
-    steps = steps_frame(axis)
-    own = steps.agg(F.count(F.lit(1)).alias("interval_count"), F.min("duration").alias("minimum_interval"), F.max("duration").alias("maximum_interval"))
-    own = with_medians(own, steps, [], "duration", "median_interval")
+    middle = quantiles(durations, [], "duration", (0.5,), "w").select(F.col("q")[0].alias("median_interval"))
+    own = durations.agg(
+        F.coalesce(F.sum("w"), F.lit(0)).alias("interval_count"), F.min("duration").alias("minimum_interval"), F.max("duration").alias("maximum_interval")
+    ).join(F.broadcast(middle))  # one row
     return one.join(F.broadcast(own.select("interval_count", "minimum_interval", "median_interval", "maximum_interval")))  # one row
 
 
 def dominant_frame(axis: DataFrame) -> DataFrame:
     """The most frequent step (microseconds) if no other is as frequent, and its count."""
-    counts = steps_frame(axis).groupBy("duration").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.agg(F.max("n").alias("n"))
-    best = counts.join(F.broadcast(most), "n").agg(F.count(F.lit(1)).alias("tied"), F.min("duration").alias("duration"), F.max("n").alias("n"))
-    return best.where("tied = 1").select(F.col("duration").alias("dominant_interval"), F.col("n").alias("dominant_interval_count"))
+    return dominant_of(durations_frame(steps_frame(axis)))
+
+
+def dominant_of(durations: DataFrame) -> DataFrame:
+    best = durations.groupBy(F.col("w").alias("n")).agg(F.count(F.lit(1)).alias("tied"), F.min("duration").alias("duration"))
+    most = best.agg(F.max(F.struct("n", "tied", "duration")).alias("b")).select("b.*")
+    return most.where("tied = 1").select(F.col("duration").alias("dominant_interval"), F.col("n").alias("dominant_interval_count"))
 
 
 def is_sorted(axis: DataFrame) -> bool:
@@ -142,8 +171,11 @@ def span_of(value: float | None) -> timedelta | None:
 
 
 def analyze_temporal_sampling(temporal: TemporalAxis) -> TemporalSamplingSummary:
-    r = sampling_frame(temporal.data).first()
-    best = dominant_frame(temporal.data).first()
+    counts = counts_frame(temporal.data).persist()
+    durations = durations_frame(steps_of(counts.where("at is not null").select("at"))).persist()
+    r, best = sampling_of(counts, durations).first(), dominant_of(durations).first()
+    durations.unpersist()
+    counts.unpersist()
     at = lambda x: None if x is None else EPOCH + timedelta(microseconds=x)
     n, low, high = r["interval_count"], r["earliest"], r["latest"]
     return TemporalSamplingSummary(

@@ -345,3 +345,20 @@ def test_streaming_weeks_in_append_mode(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.table("weeks").collect()) == [(datetime(2025, 12, 29), 2.0, 2), (datetime(2026, 1, 5), 5.0, 1)]
+
+
+def test_sampling_reads_the_axis_a_few_times(spark):
+    """Timestamps and steps are counted once, for the summary and the dominant step alike."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    ids = spark.range(2000).repartition(2).mapInArrow(seen, "id long")
+    axis = ids.select(F.col("id").alias("_ordinal"), F.timestamp_micros(F.col("id") * 1000 + F.when(F.col("id") > 1000, 5).otherwise(0)).cast("timestamp_ntz").alias("ts"))
+    s = temporal.analyze_temporal_sampling(temporal.prepare_temporal_axis(axis, "ts"))
+    assert (s.unique_timestamp_count, s.interval_count, s.dominant_interval_count, s.is_chronologically_sorted) == (2000, 1999, 1998, True)
+    assert (s.median_interval.microseconds, s.maximum_interval.microseconds) == (1000, 1005)
+    assert read.value <= 4 * 2000
