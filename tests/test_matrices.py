@@ -71,3 +71,18 @@ def test_ranks_of_series(spark, monkeypatch):
     for s in range(3):
         own = pd.Series({k: x for k, t, x in rows if t == s}).rank()
         assert all(found[k, s] == own[k] for k in own.index)
+
+
+@pytest.mark.parametrize(("small", "spread"), [(0, 3), (0, 10**6), (10**6, 3)])
+def test_ranks_reach_rows_by_value(spark, monkeypatch, small, spread):
+    """By broadcast and by a join in tasks of a bounded size, frequent values and gaps among them."""
+    for name, value in (("SMALL", small), ("SPREAD", spread), ("JOINED", 100)):
+        monkeypatch.setattr(ranks, name, value)
+    data = drawn(3)[["a", "b", "d"]].round(1)
+    frame = spark.createDataFrame(data.astype(object).where(data.notna(), None), "a double, b double, d double").repartition(3)
+    made = relate.ranked(frame, ["a", "b", "d"], [(0, 0), (0, 1), (1, 2)])
+    assert made.count() == len(data)
+    both = data.dropna(subset=["b", "d"])
+    want = [data["a"].rank(), data.dropna(subset=["a", "b"])["a"].rank(), both["b"].rank()]
+    for s, own in enumerate(want):
+        assert sorted(r[0] for r in made.select(f"r{s}").dropna().collect()) == sorted(own.dropna())
