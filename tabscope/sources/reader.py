@@ -12,6 +12,7 @@ import hashlib
 import re
 import tempfile
 import uuid
+from contextlib import suppress
 from io import StringIO
 from pathlib import Path
 
@@ -28,6 +29,7 @@ SUPPORTED_EXTENSIONS = {".csv", ".xlsx"}
 PARQUET = ".parquet"
 DELIMITERS = (",", ";", "\t", "|")
 SNIFFED = 65_536
+HEAD = SNIFFED + 3  # a character that begins within has up to three bytes more
 MISSING_TEXTS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
     "None", "n/a", "nan", "null",
@@ -51,11 +53,11 @@ def filename_of(source: object, filename: str | None) -> str:
 
 
 def decoded(head: bytes) -> tuple[str, str]:
-    """Text and Spark's name of its encoding."""
-    try:
-        return head.decode("utf-8-sig"), "UTF-8"
-    except UnicodeDecodeError:
-        return head.decode("latin-1"), "ISO-8859-1"
+    """Text of the sniffed bytes, its last character whole, and Spark's name of its encoding."""
+    for end in range(SNIFFED, HEAD + 1):
+        with suppress(UnicodeDecodeError):
+            return head[:end].decode("utf-8-sig"), "UTF-8"
+    return head[:SNIFFED].decode("latin-1"), "ISO-8859-1"
 
 
 def delimiter_of(sample: str) -> str:
@@ -111,7 +113,7 @@ def head_of(spark: SparkSession, path: str) -> bytes:
         where = jvm.org.apache.hadoop.fs.Path(first)
     stream = where.getFileSystem(conf).open(where)
     try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, SNIFFED)))
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD)))
     finally:
         stream.close()
 
@@ -270,7 +272,7 @@ def read_dataset(spark: SparkSession, source: object, filename: str | None = Non
         if isinstance(source, (str, Path)):
             return validated(read_csv(spark, str(source), head_of(spark, str(source))))
         payload = payload_of(source)  # a stream lives on the driver; Spark reads it from a file
-        return validated(read_csv(spark, placed(spark, payload), payload[:SNIFFED]))
+        return validated(read_csv(spark, placed(spark, payload), payload[:HEAD]))
     except (EmptyDatasetError, UnsupportedFileTypeError, DatasetReadError):
         raise
     except Exception as error:

@@ -1,6 +1,7 @@
 """CSV files cut into blocks, against the csv module."""
 
 import csv
+import hashlib
 import io
 import random
 
@@ -9,7 +10,7 @@ import pytest
 from tabscope.functions.values import ORDINAL
 from tabscope.plans import catalogue
 from tabscope.sources import blocks
-from tabscope.sources.reader import read_dataset
+from tabscope.sources.reader import HEAD, SNIFFED, decoded, read_dataset
 
 SIZES = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"
 
@@ -98,3 +99,38 @@ def test_queries_write_files_by_many_tasks(spark, tables):
     folder = catalogue.written_csv(spark.range(1000).repartition(5))
     assert spark.read.format("binaryFile").load(folder).count() == 5
     assert sorted(r[0] for r in read_dataset(spark, folder, "t.csv").collect()) == list(range(1000))
+
+
+def test_head_ends_within_a_character():
+    for letter in "é€𝔘":
+        for before in range(1, len(letter.encode())):
+            text = "x" * (SNIFFED - before) + letter
+            assert decoded((text + letter * 9).encode()[:HEAD]) == (text, "UTF-8")
+    for letter in "é\xa0":  # Latin-1 all the same, at the end or whole
+        text = "x" * (SNIFFED - 1) + letter
+        assert decoded((text + "yyy").encode("latin-1")) == (text, "ISO-8859-1")
+        assert decoded(letter.encode("latin-1")) == (letter, "ISO-8859-1")
+
+
+@pytest.mark.parametrize("breaks", [True, False])
+def test_dataset_with_a_head_that_ends_within_a_character(spark, tmp_path, breaks):
+    notes = ["é" * 20_000 + "\n" * breaks, "x" * breaks + "é" * 30_000, "naïve\n" if breaks else "naïve"]
+    data = ("id,note\n" + "".join(f'{k},"{n}"\n' for k, n in enumerate(notes))).encode()
+    data = data.replace(b"id,", b"id," if data[SNIFFED] & 0xC0 == 0x80 else b"key,")
+    assert data[SNIFFED] & 0xC0 == 0x80
+    file = tmp_path / "t.csv"
+    file.write_bytes(data)
+    for source in (str(file), data):
+        assert [r["note"] for r in read_dataset(spark, source, "t.csv").collect()] == notes
+
+
+def test_line_breaks_of_odd_texts(spark, tmp_path):
+    """Empty texts and the likes of NA stay, others are read as they are though the sniffed bytes end within a character."""
+    texts = ["", "NA", "null", None, " x ", "5", "a", '"', "a\r\nb\r", "\n"]
+    for lang, long in [(None, None), ("fr", "é" * 40_000), ("fr", "xé" + "é" * 40_000)]:
+        rows = [(0, long, lang), *((k + 1, t, "NA" if k % 2 else "en") for k, t in enumerate(texts))]
+        folder = tmp_path / f"t{len(long or '')}"
+        spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        digest = lambda t: t if t is None else hashlib.sha256(t.replace("a", '\n"').encode()).hexdigest()
+        found = catalogue.QUERIES["read_csv_line_breaks"](spark, str(folder))
+        assert sorted(map(tuple, found.collect())) == [(k, digest(t), None if x == "en" else x) for k, t, x in rows]
